@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from wickwork.llm.decontamination import op2_decontamination
 from wickwork.llm.embedding_dedup import op9_embedding_dedup
+from wickwork.llm.language_id import op5_language_id
 from wickwork.llm.mixing import op6_mixing
+from wickwork.llm.pii import op4_pii
+from wickwork.llm.quality import op1_quality
 from wickwork.llm.simhash_dedup import op7_simhash_dedup
+from wickwork.llm.token_counts import op10_token_counts
+from wickwork.llm.toxicity import op8_toxicity
+
+FOUND = (
+    op1_quality, op2_decontamination, op4_pii, op5_language_id, op6_mixing, op7_simhash_dedup,
+    op8_toxicity, op9_embedding_dedup, op10_token_counts,
+)
 
 
 def queries() -> dict:
-    found = (op6_mixing, op7_simhash_dedup, op9_embedding_dedup)
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in FOUND}
 
 
 def oracle_sql() -> dict[str, str]:
