@@ -9,11 +9,12 @@ from wickwork.llm.mixing import op6_mixing
 from wickwork.llm.pii import op4_pii
 from wickwork.llm.quality import op1_quality
 from wickwork.llm.simhash_dedup import op7_simhash_dedup
+from wickwork.llm.substring_dedup import op3_substring_dedup
 from wickwork.llm.token_counts import op10_token_counts
 from wickwork.llm.toxicity import op8_toxicity
 
 FOUND = (
-    op1_quality, op2_decontamination, op4_pii, op5_language_id, op6_mixing, op7_simhash_dedup,
+    op1_quality, op2_decontamination, op3_substring_dedup, op4_pii, op5_language_id, op6_mixing, op7_simhash_dedup,
     op8_toxicity, op9_embedding_dedup, op10_token_counts,
 )
 
