@@ -2,39 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wickwork.sources.scratch import cut, shared_dir
+
 #: Characters between words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 GAPS = r"[\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder.
-
-    Only where none is set (local tests) a temporary one is made.
-    """
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wickwork-"))
-    return sc.getCheckpointDir()
+__all__ = ["GAPS", "WORD", "crc_mod", "cut", "held_out", "shared_dir", "table", "text_slices", "word_count"]
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write a table to the shared folder and read it back: no lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def crc_mod(column: Column | str, n: int) -> Column:
