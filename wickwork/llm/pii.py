@@ -10,6 +10,8 @@ that fail their check are no personal data and stay.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,62 +35,84 @@ PATTERNS = {
 CYCLE_START, RADICES = "1800-01-01", (189, 773)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def feistel(values: Column, radices: Column, key: str, kind: str, rounds: int = ROUNDS) -> Column:
     """A keyed permutation of arrays of ints below `radices`, position by position."""
-    n = F.size(values)
-    h = F.floor(n / 2).cast("int")
 
-    def turn(acc: Column, i: Column) -> Column:
-        even = i % 2 == 0
+    def turn(acc: Column, i: Column, r: Column) -> Column:
+        even, n = i % 2 == 0, F.size(acc)
+        h = F.floor(n / 2).cast("int")
         half = F.when(even, F.slice(acc, h + 1, n - h)).otherwise(F.slice(acc, F.lit(1), h))
         digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), n.cast("string"), F.array_join(half.cast("array<string>"), ",")), 256)
-        shift = lambda p: F.pmod(F.xxhash64(digest, p), radices[p].cast("bigint"))
-        return F.transform(acc, lambda x, p: F.when((p < h) == even, F.pmod(x + shift(p), radices[p].cast("bigint")).cast("int")).otherwise(x))
+        round_ = F.struct(digest.alias("d"), h.alias("h"), even.alias("e"))
+
+        def add(x: Column, p: Column, s: Column) -> Column:
+            return F.when((p < s["h"]) == s["e"], F.pmod(x + F.pmod(F.xxhash64(s["d"], p), r[p].cast("bigint")), r[p].cast("bigint")).cast("int")).otherwise(x)
+
+        return let(round_, lambda s: F.transform(acc, lambda x, p: add(x, p, s)))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), values, turn)
+    both = F.struct(values.alias("v"), radices.alias("r"))
+    return let(both, lambda x: F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), x["v"], lambda acc, i: turn(acc, i, x["r"])))
 
 
 def _chars(text: Column) -> Column:
     return F.split(text, "")
 
 
+def _is_digit(c: Column) -> Column:
+    return c.between("0", "9")
+
+
+def _is_upper(c: Column) -> Column:
+    return c.between("A", "Z")
+
+
+def _is_alnum(c: Column) -> Column:
+    return _is_digit(c) | _is_upper(c) | c.between("a", "z")
+
+
 def _digits(text: Column) -> Column:
-    return F.filter(_chars(text), lambda c: c.rlike("[0-9]"))
+    """The digits of a text as ints."""
+    return F.transform(F.filter(_chars(text), _is_digit), lambda c: c.cast("int"))
 
 
-def _refill(shape: Column, core: Column, kept: str) -> Column:
-    """Put the characters of `core` at the places in `shape` that match `kept`."""
+def _refill(shape: Column, core: Column, kept: Callable[[Column], Column]) -> Column:
+    """Put the characters of `core` at the places of `shape` whose characters are `kept`."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("k"))
 
-    def put(acc: Column, c: Column) -> Column:
-        take = c.rlike(kept)
-        return F.struct(F.concat(acc["out"], F.when(take, F.get(core, acc["k"])).otherwise(c)).alias("out"), (acc["k"] + F.when(take, 1).otherwise(0)).alias("k"))
+    def put(acc: Column, c: Column, new: Column) -> Column:
+        return F.struct(F.concat(acc["out"], F.when(kept(c), F.get(new, acc["k"])).otherwise(c)).alias("out"), (acc["k"] + F.when(kept(c), 1).otherwise(0)).alias("k"))
+
+    return let(core, lambda new: F.aggregate(_chars(shape), start, lambda acc, c: put(acc, c, new), lambda acc: acc["out"]))
+
 
-    return F.aggregate(_chars(shape), start, put, lambda acc: acc["out"])
+def _tens(values: Column) -> Column:
+    return F.array_repeat(F.lit(10), F.size(values))
 
 
 def _permute_digits(text: Column, key: str, kind: str) -> Column:
     """Digits permuted among themselves; all else stays in its place."""
-    values = F.transform(_digits(text), lambda c: c.cast("int"))
-    return _refill(text, feistel(values, F.transform(values, lambda _: F.lit(10)), key, kind).cast("array<string>"), "[0-9]")
+    new = let(_digits(text), lambda v: feistel(v, _tens(v), key, kind))
+    return _refill(text, new.cast("array<string>"), _is_digit)
 
 
 def _permute_alnum(text: Column, key: str, kind: str) -> Column:
     """Digits stay digits and letters letters of their case; ASCII only."""
-    core = F.filter(_chars(text), lambda c: c.rlike("[A-Za-z0-9]"))
-    digit = lambda c: c.rlike("[0-9]")
-    values = F.transform(core, lambda c: F.when(digit(c), F.ascii(c) - 48).otherwise(F.ascii(F.lower(c)) - 97))
-    radices = F.transform(core, lambda c: F.when(digit(c), 10).otherwise(26))
-    new = feistel(values, radices, key, kind)
-    render = lambda v, c: F.char(v + F.when(digit(c), 48).when(c.rlike("[A-Z]"), 65).otherwise(97))
-    return _refill(text, F.zip_with(new, core, render), "[A-Za-z0-9]")
+    value = lambda c: F.when(_is_digit(c), F.ascii(c) - 48).otherwise(F.ascii(F.lower(c)) - 97)
+    radix = lambda c: F.when(_is_digit(c), 10).otherwise(26)
+    render = lambda v, c: F.char(v + F.when(_is_digit(c), 48).when(_is_upper(c), 65).otherwise(97))
+    new = let(F.filter(_chars(text), _is_alnum), lambda core: F.zip_with(feistel(F.transform(core, value), F.transform(core, radix), key, kind), core, render))
+    return _refill(text, new, _is_alnum)
 
 
 def _permute_hex(text: Column, key: str) -> Column:
     values = F.transform(_chars(text), lambda c: F.conv(c, 16, 10).cast("int"))
-    new = F.transform(feistel(values, F.transform(values, lambda _: F.lit(16)), key, "secret"), lambda v: F.hex(v))
-    joined = F.array_join(new, "")
-    return F.when(text.rlike("[a-f]") | ~text.rlike("[A-F]"), F.lower(joined)).otherwise(joined)
+    new = let(values, lambda v: feistel(v, F.array_repeat(F.lit(16), F.size(v)), key, "secret"))
+    return let(F.array_join(F.transform(new, lambda v: F.hex(v)), ""), lambda x: F.when(text.rlike("[a-f]") | ~text.rlike("[A-F]"), F.lower(x)).otherwise(x))
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -98,31 +122,37 @@ def luhn_sum(digits: Column) -> Column:
 
 
 def _card(text: Column, key: str) -> Column:
-    digits = F.transform(_digits(text), lambda c: c.cast("int"))
-    body = F.slice(digits, F.lit(1), F.size(digits) - 1)
-    new = feistel(body, F.transform(body, lambda _: F.lit(10)), key, "card")
-    check = (10 - luhn_sum(F.concat(new, F.array(F.lit(0)))) % 10) % 10
-    return F.when(luhn_sum(digits) % 10 == 0, _refill(text, F.concat(new, F.array(check)).cast("array<string>"), "[0-9]"))
+    def check(body: Column) -> Column:
+        return (10 - luhn_sum(F.concat(body, F.array(F.lit(0)))) % 10) % 10
+
+    def new(digits: Column) -> Column:
+        body = let(F.slice(digits, F.lit(1), F.size(digits) - 1), lambda v: feistel(v, _tens(v), key, "card"))
+        return F.when(luhn_sum(digits) % 10 == 0, let(body, lambda v: F.concat(v, F.array(check(v)))))
+
+    return let(let(_digits(text), new), lambda v: F.when(v.isNotNull(), _refill(text, v.cast("array<string>"), _is_digit)))
 
 
 def _mod97(text: Column) -> Column:
     """Remainder of an IBAN's letters and digits read as one number."""
     moved = F.concat(F.substring(text, 5, 40), F.substring(text, 1, 4))
-    step = lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + (F.ascii(c) - 48)) % 97).otherwise((a * 100 + (F.ascii(c) - 55)) % 97)
+    step = lambda a, c: F.when(_is_digit(c), (a * 10 + (F.ascii(c) - 48)) % 97).otherwise((a * 100 + (F.ascii(c) - 55)) % 97)
     return F.aggregate(_chars(moved), F.lit(0), step)
 
 
 def _iban(text: Column, key: str) -> Column:
-    body = _permute_alnum(F.substring(text, 5, 40), key, "iban")
-    check = 98 - _mod97(F.concat(F.substring(text, 1, 2), F.lit("00"), body))
-    return F.when(_mod97(text) == 1, F.concat(F.substring(text, 1, 2), F.lpad(check.cast("string"), 2, "0"), body))
+    country = F.substring(text, 1, 2)
+
+    def join(body: Column) -> Column:
+        check = 98 - _mod97(F.concat(country, F.lit("00"), body))
+        return F.concat(country, F.lpad(check.cast("string"), 2, "0"), body)
+
+    return F.when(_mod97(text) == 1, let(_permute_alnum(F.substring(text, 5, 40), key, "iban"), join))
 
 
 def _date(day: Column, key: str) -> Column:
-    n = F.datediff(day, F.lit(CYCLE_START).cast("date"))
-    halves = F.array(F.floor(n / RADICES[1]).cast("int"), (n % RADICES[1]).cast("int"))
-    new = feistel(halves, F.array(*map(F.lit, RADICES)), key, "date")
-    return F.date_add(F.lit(CYCLE_START).cast("date"), new[0] * RADICES[1] + new[1])
+    start = F.lit(CYCLE_START).cast("date")
+    halves = let(F.datediff(day, start), lambda n: F.array(F.floor(n / RADICES[1]).cast("int"), (n % RADICES[1]).cast("int")))
+    return let(feistel(halves, F.array(*map(F.lit, RADICES)), key, "date"), lambda x: F.date_add(start, x[0] * RADICES[1] + x[1]))
 
 
 def pseudonym(found: Column, key: str = KEY) -> Column:
@@ -135,7 +165,7 @@ def pseudonym(found: Column, key: str = KEY) -> Column:
     whole = lambda kind: found.rlike(f"^(?:{PATTERNS[kind]})$")
     return (
         F.when(at > 0, F.concat(_permute_alnum(F.substring(found, F.lit(1), at - 1), key, "email"), F.substring(found, at, F.length(found))))
-        .when(whole("ip"), F.array_join(feistel(octets, F.transform(octets, lambda _: F.lit(256)), key, "ip").cast("array<string>"), "."))
+        .when(whole("ip"), F.array_join(feistel(octets, F.array_repeat(F.lit(256), 4), key, "ip").cast("array<string>"), "."))
         .when(whole("iso_date"), F.date_format(_date(iso, key), "yyyy-MM-dd"))
         .when(whole("day_date"), F.replace(F.date_format(_date(day, key), "dd-MM-yyyy"), F.lit("-"), dot))
         .when(whole("ssn"), _permute_digits(found, key, "ssn"))
