@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from wickwork.llm.common import crc_mod, held_out, table, text_slices
 
 FOLDS, HELD, CALIBRATE = 5, 0, 1
-BUCKETS, DIM, REACH, NONZERO = 8192, 32, 2, 4
+BUCKETS, DIM, REACH, NONZERO = 8192, 16, 2, 4
+#: Bytes of text whose word vectors are held at once: few enough for the cache.
+SLICE = 1 << 17
 #: Labelled rows that are read at most.
 SAMPLE, HIDDEN, EPOCHS, SEED = 20_000, 24, 60, 5
 TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+")
@@ -32,9 +34,8 @@ def index_vectors() -> np.ndarray:
     """Sparse ternary index vectors, the same everywhere."""
     rng = np.random.default_rng(SEED)
     r = np.zeros((BUCKETS, DIM), np.int64)
-    for b in range(BUCKETS):
-        at = rng.choice(DIM, NONZERO, replace=False)
-        r[b, at] = rng.choice((-1, 1), NONZERO)
+    at = rng.random((BUCKETS, DIM)).argsort(axis=1)[:, :NONZERO]
+    np.put_along_axis(r, at, rng.choice((-1, 1), (BUCKETS, NONZERO)), axis=1)
     return r
 
 
@@ -72,7 +73,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, count, seen = np.zeros((BUCKETS, DIM)), np.zeros(BUCKETS, np.int64), {}
     for batch in batches:
         texts = _texts(batch, 0)
-        for a, b in text_slices(texts, 1 << 20):
+        for a, b in text_slices(texts, SLICE):
             ids, sizes = _buckets(texts[a:b], seen)
             if not len(ids):
                 continue
@@ -109,18 +110,16 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 def pool(texts: list[bytes | None], vectors: np.ndarray, seen: dict) -> np.ndarray:
     """Mean and spread of the word vectors of each text; zeros for a text without words."""
-    out = np.zeros((len(texts), 2 * DIM))
-    for a, b in text_slices(texts, 1 << 20):
+    out, both = np.zeros((len(texts), 2 * DIM)), np.hstack([vectors, vectors * vectors])
+    for a, b in text_slices(texts, SLICE):
         ids, sizes = _buckets(texts[a:b], seen)
         full = np.flatnonzero(sizes)
         if not len(full):
             continue
-        v = vectors[ids].astype(np.float64)
         first = (np.cumsum(sizes) - sizes)[full]
-        n = sizes[full][:, None]
-        mean = np.add.reduceat(v, first, axis=0) / n
-        square = np.add.reduceat(v * v, first, axis=0) / n
-        out[a + full] = np.hstack([mean, np.sqrt(np.maximum(0, square - mean * mean))])
+        mean = np.add.reduceat(both[ids], first, axis=0, dtype=np.float64) / sizes[full][:, None]
+        spread = np.sqrt(np.maximum(0, mean[:, DIM:] - mean[:, :DIM] ** 2))
+        out[a + full] = np.hstack([mean[:, :DIM], spread])
     return out
 
 
