@@ -346,4 +346,9 @@ SUPPLIER_SQUEEZE = f"SELECT symbol, ts AS entry_ts, start AS pattern_start, len:
 def oracle_sql() -> dict[str, str]:
     found = {k: build(v, "bars" if k == "folds" else "units") for k, v in SQL.items()}
     runs = ", ".join(f"{n} AS ({TABLES[n]})" for n in ("b", "rr", "rs", "rn", "ra", "rg", "rsq"))
-    return found | {"supplier_squeeze": f"WITH bars AS ({SUPPLIER_BARS}), {runs} {SUPPLIER_SQUEEZE}"}
+    hourly = f"SELECT *, DATE '2030-01-01' AS expiry, NULL AS typ, NULL AS strike FROM ({SQL['ohlcv_60m']})"
+    rates = f"SELECT *, {pct(T3)} FROM (SELECT symbol, count(*) AS n, count(*) FILTER (state = 'activated') AS activated, count(*) FILTER (state = 'slHit') AS slHit, count(*) FILTER (state = 'pending') AS pending, {hits('ratio', T3)} FROM (SELECT symbol, {STATE} AS state, {RATIO} AS ratio FROM rsq) GROUP BY symbol)"
+    return found | {
+        "supplier_squeeze": f"WITH bars AS ({SUPPLIER_BARS}), {runs} {SUPPLIER_SQUEEZE}",
+        "squeeze_hit_rates": f"WITH ticks AS ({TABLES['ticks']}), bars AS ({hourly}), {runs} {rates}",
+    }

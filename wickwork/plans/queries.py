@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wickwork.functions import bands
-from wickwork.functions.candles import SERIES, distance_pct, is_otm, signed_distance, with_instrument_cols
+from wickwork.functions.candles import SERIES, distance_pct, is_otm, with_instrument_cols
 from wickwork.functions.scalars import half_up
 from wickwork.functions.timegrid import ist_string, with_entry_time
 from wickwork.operators import detect, filters, guarded, indicators, merge, moneyness, report, settlement, trades, universe, walkforward, work
@@ -558,6 +558,7 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
 
 
+@query
 def squeeze_hit_rates(spark: SparkSession, d: str) -> DataFrame:
     """Red squeezes over the hourly candles of each event type, and how many were activated."""
     t = views.ticks(spark, d)
@@ -565,7 +566,3 @@ def squeeze_hit_rates(spark: SparkSession, d: str) -> DataFrame:
     found = annotate_outcomes(detect.detect_red_squeeze(with_peak_after(bars), min_value=0.0))
     shaped = found.select("symbol", "state", F.col("ratio").alias("max_ratio"), F.lit(0.0).alias("univ_ratio"))
     return report.quality(shaped, ["symbol"], "fired", THRESHOLDS)
-
-
-query(squeeze_hit_rates)
-__all__ = ["QUERIES", "signed_distance", "squeeze_hit_rates"]
