@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,13 +39,15 @@ def word_count(text: str = "text") -> Column:
     return F.when(F.col(text).rlike(r"[^\x20\x09-\x0D]"), words).otherwise(0).cast("bigint")
 
 
-def text_slices(texts: list, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Ranges of a list of texts that hold about `limit` bytes each, so that word lists stay small."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t) if t else 0
-        if size >= limit:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def text_slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list]]:
+    """(first row, UTF-8 texts) of runs of an Arrow column that hold about `limit` bytes each, so that few words are held at once."""
+    texts = column.cast(pa.binary())
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for i, n in enumerate(sizes.tolist()):
+        held += n
+        if held >= limit:
+            yield start, texts.slice(start, i + 1 - start).to_pylist()
+            start, held = i + 1, 0
+    if start < len(sizes):
+        yield start, texts.slice(start).to_pylist()

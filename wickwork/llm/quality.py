@@ -63,18 +63,13 @@ def _buckets(texts: list[bytes | None], seen: dict[bytes, int]) -> tuple[np.ndar
     return np.concatenate(out) if out else np.zeros(0, np.int32), np.array(sizes, np.int64)
 
 
-def _texts(batch: pa.RecordBatch, column: int) -> list:
-    return batch.column(column).cast(pa.binary()).to_pylist()
-
-
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per bucket that the partition holds: how often, and the sums of its neighbours' index vectors."""
     r = np.vstack([index_vectors(), np.zeros((1, DIM), np.int64)]).astype(np.float32)
     total, count, seen = np.zeros((BUCKETS, DIM)), np.zeros(BUCKETS, np.int64), {}
     for batch in batches:
-        texts = _texts(batch, 0)
-        for a, b in text_slices(texts, SLICE):
-            ids, sizes = _buckets(texts[a:b], seen)
+        for _, texts in text_slices(batch.column(0), SLICE):
+            ids, sizes = _buckets(texts, seen)
             if not len(ids):
                 continue
             doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -108,11 +103,11 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return (vectors / np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))).astype(np.float32)
 
 
-def pool(texts: list[bytes | None], vectors: np.ndarray, seen: dict) -> np.ndarray:
+def pool(texts: pa.Array, vectors: np.ndarray, seen: dict) -> np.ndarray:
     """Mean and spread of the word vectors of each text; zeros for a text without words."""
     out, both = np.zeros((len(texts), 2 * DIM)), np.hstack([vectors, vectors * vectors])
-    for a, b in text_slices(texts, SLICE):
-        ids, sizes = _buckets(texts[a:b], seen)
+    for a, some in text_slices(texts, SLICE):
+        ids, sizes = _buckets(some, seen)
         full = np.flatnonzero(sizes)
         if not len(full):
             continue
@@ -169,7 +164,7 @@ def _pooler(vectors, network=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict = {}
         for batch in batches:
-            x = pool(_texts(batch, batch.num_columns - 1), vectors.value, seen)
+            x = pool(batch.column(batch.num_columns - 1), vectors.value, seen)
             got = pa.array(network(x)) if network else pa.array(x.astype("<f4").tolist(), pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], got], [*batch.schema.names[:-1], "got"])
 

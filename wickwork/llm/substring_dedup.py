@@ -34,6 +34,8 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: A place packs the text's tag, the start and the number of windows; null ids come first.
 START_BITS, COUNT_BITS, NULL_ID = 36, 4, -(1 << 63)
+#: Words a task remembers the hashes of, and the bits of the largest filter of shared anchors (8 MB).
+REMEMBER, FILTER_BITS = 200_000, 26
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -52,7 +54,7 @@ class _Corpus:
     """The words of some texts in a row, hashed; hashes of any stretch in constant time."""
 
     def __init__(self, texts: list[bytes | None], seen: dict[bytes, int]):
-        if len(seen) > 400_000:
+        if len(seen) > REMEMBER:
             seen.clear()
         self.words = [t.split() if t else [] for t in texts]
         for w in set().union(*self.words).difference(seen):
@@ -99,9 +101,8 @@ def _tag(text: bytes | None) -> int:
 
 
 def _slices(batch: pa.RecordBatch, column: int, seen: dict):
-    texts = batch.column(column).cast(pa.binary()).to_pylist()
-    for a, b in text_slices(texts):
-        yield a, texts[a:b], _Corpus(texts[a:b], seen)
+    for a, texts in text_slices(batch.column(column)):
+        yield a, texts, _Corpus(texts, seen)
 
 
 def _places(corpus: _Corpus, texts: list, start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -110,15 +111,31 @@ def _places(corpus: _Corpus, texts: list, start: np.ndarray, count: np.ndarray)
     return tags[doc] << (START_BITS + COUNT_BITS) | (start - corpus.starts[doc]) << COUNT_BITS | count
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict = {}
     for batch in batches:
-        for a, texts, corpus in _slices(batch, 1, seen):
-            anchor, start, count = corpus.blocks()
-            content = corpus.stretch(start, start + count + WINDOW - 1)
-            ids = batch.column(0).take(pa.array(corpus.doc[start] + a if len(start) else [], pa.int64()))
-            place = _places(corpus, texts, start, count) if len(start) else start
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), ids, pa.array(place, pa.int64())], ["anchor", "content", "id", "place"])
+        for _, _, corpus in _slices(batch, 1, seen):
+            yield pa.RecordBatch.from_arrays([pa.array(corpus.blocks()[0].view(np.int64))], ["anchor"])
+
+
+def _blocks(bits):
+    """Blocks whose anchor may be shared: those that pass the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict = {}
+        words, mask = bits.value, np.uint64(len(bits.value) * 64 - 1)
+        for batch in batches:
+            for a, texts, corpus in _slices(batch, 1, seen):
+                anchor, start, count = corpus.blocks()
+                at = anchor & mask
+                use = (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+                anchor, start, count = anchor[use], start[use], count[use]
+                content = corpus.stretch(start, start + count + WINDOW - 1)
+                ids = batch.column(0).take(pa.array(corpus.doc[start] + a if len(start) else [], pa.int64()))
+                place = _places(corpus, texts, start, count) if len(start) else start
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), ids, pa.array(place, pa.int64())], ["anchor", "content", "id", "place"])
+
+    return run
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,12 +211,27 @@ def _later(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return later.select("id", "place"), firsts
 
 
+def _filter(shared: DataFrame) -> np.ndarray:
+    """A bit for each shared anchor, modulo the filter's size. It spares rows from the exact join and may let any through.
+
+    About 16 bits an anchor, FILTER_BITS at most, so it has a fixed largest size; beyond that it lets more through.
+    """
+    bits = min(FILTER_BITS, max(16, (16 * shared.count()).bit_length()))
+    at = F.col("anchor").bitwiseAND(F.lit((1 << bits) - 1))
+    bit = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(63)).cast("int")))
+    rows = shared.groupBy(F.shiftright(at, 6).alias("word")).agg(bit.alias("bits")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return words
+
+
 def duplicate_places(docs: DataFrame) -> DataFrame:
     """(id, place): the blocks of windows of `docs` (id, text) that stand earlier in the corpus."""
     schema = "anchor bigint, content bigint, id bigint, place bigint"
-    blocks = docs.mapInArrow(_blocks, schema)
-    shared = cut(blocks.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
-    rows = cut(blocks.join(shared, "anchor"), "blocks")
+    anchors = docs.mapInArrow(_anchors, "anchor bigint")
+    shared = cut(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
+    bits = docs.sparkSession.sparkContext.broadcast(_filter(shared))
+    rows = cut(docs.mapInArrow(_blocks(bits), schema).join(shared, "anchor"), "blocks")
     factors, firsts = _later(rows)
     mixed = cut(firsts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "boundaries")
     listed = firsts.join(mixed, "anchor").groupBy(F.col("first_id").alias("id")).agg(F.collect_list("first_place").alias("places"))

@@ -70,10 +70,9 @@ def _counter(model):
         scores, byte = model.value
         known: dict[str, int] = {}
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             tokens, words = [], []
-            for a, b in text_slices(texts):
-                split = [t.split() if t else [] for t in texts[a:b]]
+            for _, texts in text_slices(batch.column(1)):
+                split = [t.decode().split() if t else [] for t in texts]
                 if len(known) > REMEMBER:
                     known.clear()
                 new = set().union(*split).difference(known)
