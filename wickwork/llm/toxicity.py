@@ -56,7 +56,7 @@ class NoisyOr:
         self.bias, rate = -9.0, float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 0.5))
         self.leak = rate / 4
         if not len(y) or not y.any() or y.all():
-            self.leak = float(np.clip(y.mean(), 0.0, 1 - 1e-6)) if len(y) else 0.0
+            self.bias, self.leak = -60.0, float(np.clip(y.mean(), 0.0, 1 - 1e-6)) if len(y) else 0.0
             return
         docs = [np.unique(w) for w, _ in bags]
         words, at = np.unique(np.concatenate(docs), return_inverse=True)
@@ -67,7 +67,7 @@ class NoisyOr:
         use = (df >= max(MIN_DOCS, MIN_SHARE * len(y))) & (lift > 2 * np.sqrt(rate * (1 - rate) / (df + 1)))
         words = words[use]
         if not len(words):
-            self.leak = rate
+            self.bias, self.leak = -60.0, rate
             return
         every = np.concatenate([w for w, _ in bags])
         counts = [n for _, n in bags]
