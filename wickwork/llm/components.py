@@ -2,8 +2,10 @@
 
 Each round is two joins and two grouped minima over the edge table; no
 neighbour list is ever gathered, and nothing but two numbers a round reaches
-the driver. Large hubs are one key of a sort-merge join, which adaptive
-execution splits.
+the driver. A hub may have as many edges as its component has nodes: minima
+are aggregated before they are shuffled, and written before they are joined
+back, so that both sides of the join are shuffled for it and adaptive
+execution can split the hub's rows.
 """
 
 from __future__ import annotations
@@ -33,9 +35,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not mark[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")

@@ -147,8 +147,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, block: int = BLOCK
     found = cut(range_links(alike.where(F.size("vec") == dim), cosine, block), "links")
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     roots = connected_components(found.select(F.col("node").alias("a"), F.col("low").alias("b")))
-    named = alike.join(counts, "node", "left").join(roots, "node", "left").select("node", "first", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
-    named = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "n_links", "component_id")
+    named = cut(alike.join(counts, "node", "left").join(roots, "node", "left").select("node", "first", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")), "rooted")
+    lowest = cut(named.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
+    named = cut(named.join(lowest, "root").select("node", "n_links", "component_id"), "named")
     out = rows.select("vec_id", "node").join(named, "node", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

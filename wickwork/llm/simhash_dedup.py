@@ -81,7 +81,8 @@ def links(fps: DataFrame) -> DataFrame:
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(_signed(m)).alias("mask")) for t, m in enumerate(kept)])
     dropped = F.array(*[F.array(F.lit(0).cast("bigint"), *[F.lit(_signed(1 << i)) for i in range(BITS) if not m >> i & 1]) for m in kept])
     keyed = fps.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", F.col("fp").bitwiseAND(F.col("x.mask")).alias("key"))
-    shared = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written first, so that a bucket with very many members is split in the join.
+    shared = cut(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
     members = keyed.join(shared, ["t", "key"]).select("t", "fp")
     points = members.select("fp", F.explode(F.transform(dropped[F.col("t")], lambda bit: F.col("fp").bitwiseXOR(bit))).alias("point"))
     hub = F.min("fp").over(Window.partitionBy("point"))
@@ -101,9 +102,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = cut(fingerprints(docs), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = connected_components(links(nodes.select("fp"))).select(F.col("node").alias("fp"), "root")
-    rooted = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
+    rooted = cut(nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    lowest = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
+    named = cut(rooted.join(lowest, "root").select("fp", "component_id"), "named")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
