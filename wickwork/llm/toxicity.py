@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. Each sentence has a logistic score from its
-distinct words; a document is toxic with the noisy-or of its sentences and of
+distinct words and their stems; a document is toxic with the noisy-or of its sentences and of
 a constant leak, which takes up labels that no sentence explains:
 1 - (1 - leak) * prod(1 - p). All weights are trained through that formula
 from document labels alone; the sentence scores then locate the offence.
@@ -18,107 +18,116 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wickwork.llm.common import held_out, table
+from wickwork.llm.common import cut, held_out, table
 
 FOLDS, HELD = 4, 2
-#: Labelled documents that are read at most; words of fewer of them than MIN_SHARE (and MIN_DOCS) are left out.
-SAMPLE, MIN_DOCS, MIN_SHARE, SEED = 12_000, 3, 0.002, 7
+#: Labelled documents that are read at most; features of fewer of them than MIN_SHARE (and MIN_DOCS) are left out.
+SAMPLE, MIN_DOCS, MIN_SHARE, MAX_FEATURES, SEED = 20_000, 3, 0.001, 20_000, 7
+#: Lengths of the beginnings that count besides the word itself.
+STEMS = (4, 5)
 ROUNDS, LASSO = 250, 0.35
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, y, words, sizes): the distinct words of each sentence as hashes, and how many each sentence has."""
-    seen: dict[str, int] = {}
+def features(word: str) -> tuple[int, ...]:
+    """Hashes of a word and of its longer beginnings: derived forms share a stem."""
+    parts = [word, *(word[:n] + "*" for n in STEMS if len(word) > n)]
+    return tuple(xxhash.xxh64_intdigest(x, SEED) >> 1 for x in parts)
+
+
+def _of(words: set[str], seen: dict[str, tuple]) -> set[int]:
+    if len(seen) > 200_000:
+        seen.clear()
+    for w in words.difference(seen):
+        seen[w] = features(w)
+    return set().union(*map(seen.__getitem__, words))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, n, hits): documents and toxic documents of each feature; feature -1 counts all documents."""
+    seen: dict = {}
     for batch in batches:
-        words, sizes = [], []
-        for t in batch.column(2).to_pylist():
-            if len(seen) > 400_000:
-                seen.clear()
-            ids, n = [], []
-            for s in SENTENCE.findall((t or "").lower()):
-                own = set(WORD.findall(s))
-                for w in own.difference(seen):
-                    seen[w] = xxhash.xxh64_intdigest(w, SEED) >> 1
-                ids += sorted(seen[w] for w in own)
-                n.append(len(own))
-            words.append(np.array(ids, "<i8").tobytes())
-            sizes.append(np.array(n, "<i4").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.binary()), pa.array(sizes, pa.binary())], ["doc_id", "y", "words", "sizes"])
+        y = np.array(batch.column(1).to_pylist(), float)
+        each = [np.array([-1, *_of(set(WORD.findall((t or "").lower())), seen)], np.int64) for t in batch.column(2).to_pylist()]
+        if each:
+            found, at = np.unique(np.concatenate(each), return_inverse=True)
+            hits = np.bincount(at, weights=np.repeat(y, [len(x) for x in each]))
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(at)), pa.array(hits)], ["feature", "n", "hits"])
+
+
+def _bags(chosen):
+    """(doc_id, y, sentences, sentence, feature): how many sentences there are, and the chosen features of those that have any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, known = {}, set(chosen.value.tolist())
+        for batch in batches:
+            count, sentence, feature = [], [], []
+            for t in batch.column(2).to_pylist():
+                parts = SENTENCE.findall((t or "").lower())
+                own = [(i, f) for i, s in enumerate(parts) for f in sorted(_of(set(WORD.findall(s)), seen) & known)]
+                count.append(len(parts))
+                sentence.append([i for i, _ in own])
+                feature.append([f for _, f in own])
+            columns = [pa.array(count, pa.int64()), pa.array(sentence, pa.list_(pa.int64())), pa.array(feature, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "y", "sentences", "sentence", "feature"])
+
+    return run
 
 
 class NoisyOr:
-    """Sentence weights by word hash, bias and leak."""
+    """Weights by feature, the bias of a sentence and the leak; without training all scores are `leak`."""
 
-    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray):
+    def __init__(self, leak: float = 0.0):
         self.weights: dict[int, float] = {}
-        self.bias, rate = -9.0, float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 0.5))
-        self.leak = rate / 4
-        if not len(y) or not y.any() or y.all():
-            self.bias, self.leak = -60.0, float(np.clip(y.mean(), 0.0, 1 - 1e-6)) if len(y) else 0.0
-            return
-        docs = [np.unique(w) for w, _ in bags]
-        words, at = np.unique(np.concatenate(docs), return_inverse=True)
-        label = np.repeat(y, [len(d) for d in docs])
-        df, hits = np.bincount(at), np.bincount(at, weights=label)
-        # Candidates: words that are frequent enough and commoner among toxic documents than chance.
-        lift = (hits + rate) / (df + 1) - rate
-        use = (df >= max(MIN_DOCS, MIN_SHARE * len(y))) & (lift > 2 * np.sqrt(rate * (1 - rate) / (df + 1)))
-        words = words[use]
-        if not len(words):
-            self.bias, self.leak = -60.0, rate
-            return
-        every = np.concatenate([w for w, _ in bags])
-        counts = [n for _, n in bags]
-        sentence = np.repeat(np.arange(sum(map(len, counts))), np.concatenate(counts))
-        doc = np.repeat(np.arange(len(bags)), [len(n) for n in counts])
-        at = np.minimum(np.searchsorted(words, every), len(words) - 1)
-        hit = words[at] == every
-        at, sentence = at[hit], sentence[hit]
-        self._fit(at, sentence, doc, y, len(words))
-        self.weights = {int(k): float(v) for k, v in zip(words, self.w, strict=True) if abs(v) > 1e-6}
-
-    def _fit(self, word, sentence, doc, y, n_words):
-        """Full-batch Adam on the noisy-or likelihood with an L1 step."""
-        w, bias, leak = np.zeros(n_words), self.bias, np.log(self.leak / (1 - self.leak))
-        m, v = np.zeros(n_words + 2), np.zeros(n_words + 2)
+        self.bias, self.leak = -60.0, leak
+
+    def fit(self, bags: list, y: np.ndarray) -> NoisyOr:
+        """Full-batch Adam on the noisy-or likelihood with an L1 step. bags: (sentences, sentence of each feature, feature)."""
+        names, word = np.unique(np.concatenate([f for _, _, f in bags]), return_inverse=True)
+        doc = np.repeat(np.arange(len(bags)), [len(s) for _, s, _ in bags])
+        pair, sentence = np.unique(np.stack([doc, np.concatenate([s for _, s, _ in bags])]), axis=1, return_inverse=True)
+        doc = pair[0]
+        plain = np.array([n for n, _, _ in bags], float) - np.bincount(doc, minlength=len(y))
+        sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+        w, bias = np.zeros(len(names)), -9.0
+        leak = float(np.log(y.mean() / 4 / (1 - y.mean() / 4)))
+        m, v = np.zeros(len(names) + 2), np.zeros(len(names) + 2)
         for step in range(1, ROUNDS + 1):
-            z = bias + np.bincount(sentence, weights=w[word], minlength=len(doc))
-            p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            lam = 1 / (1 + np.exp(-leak))
-            none = np.log1p(-lam) + np.bincount(doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y))
+            p, base, lam = sigmoid(bias + np.bincount(sentence, weights=w[word], minlength=len(doc))), sigmoid(bias), sigmoid(leak)
+            none = np.log1p(-lam) + np.bincount(doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y)) + plain * np.log1p(-base)
             clear = np.exp(none)
             push = np.where(y > 0, -clear / np.maximum(1e-9, 1 - clear), 1.0)
             g = p * push[doc]
-            grad = np.concatenate([np.bincount(word, weights=g[sentence], minlength=n_words), [g.sum(), (lam * push).sum()]])
+            grad = np.concatenate([np.bincount(word, weights=g[sentence], minlength=len(names)), [g.sum() + (base * plain * push).sum(), (lam * push).sum()]])
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
             move = 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-3)
             w -= move[:-2]
             w = np.sign(w) * np.maximum(0, np.abs(w) - 0.15 * LASSO / (np.sqrt(v[:-2] / (1 - 0.99**step)) + 1))
             bias = min(-6.0, bias - move[-2])
             leak -= move[-1]
-        self.w, self.bias, self.leak = w, float(bias), float(1 / (1 + np.exp(-leak)))
+        self.weights = {int(k): float(x) for k, x in zip(names, w, strict=True) if abs(x) > 1e-6}
+        self.bias, self.leak = float(bias), float(sigmoid(leak))
+        return self
 
 
-def sentence_scores(text: str | None, model: NoisyOr, seen: dict[str, float]) -> tuple[float, list]:
+def sentence_scores(text: str | None, model: NoisyOr, seen: dict[str, tuple]) -> tuple[float, list]:
     """The document's score and its offending sentences (start, end, score): those of 0.5 and more.
 
     Starts and ends count characters of the text; a null or empty text has the leak alone.
     """
     if len(seen) > 400_000:
         seen.clear()
-    lower = (text or "").lower()
-    base, own, n = 1 / (1 + np.exp(-model.bias)), set(WORD.findall(lower)), 0
+    lower, weights = (text or "").lower(), model.weights
+    base, own = 1 / (1 + np.exp(-model.bias)), set(WORD.findall(lower))
     for w in own.difference(seen):
-        seen[w] = model.weights.get(xxhash.xxh64_intdigest(w, SEED) >> 1, 0.0)
+        seen[w] = tuple(f for f in features(w) if f in weights)
     if not any(map(seen.__getitem__, own)):
-        n = len(SENTENCE.findall(lower))
-        return float(1 - (1 - model.leak) * (1 - base) ** n), []
+        return float(1 - (1 - model.leak) * (1 - base) ** len(SENTENCE.findall(lower))), []
     none, found = 1 - model.leak, []
     for m in SENTENCE.finditer(lower):
-        z = model.bias + sum(seen[w] for w in set(WORD.findall(m.group())))
-        p = 1 / (1 + np.exp(-min(40.0, max(-40.0, z))))
+        z = model.bias + sum(weights[f] for f in set().union(*map(seen.__getitem__, set(WORD.findall(m.group())))))
+        p = 1 / (1 + np.exp(-min(60.0, max(-60.0, z))))
         none *= 1 - p
         if p >= 0.5:
             # Lower-casing can lengthen a text; its places are then bounded by the text.
@@ -140,15 +149,34 @@ def _scorer(model):
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = SAMPLE) -> NoisyOr:
-    """The model from at most `limit` labelled documents, chosen by a hash of the id; null labels are left out."""
+    """The model from at most `limit` labelled documents, chosen by a hash of the id; null labels are left out.
+
+    Features are counted by Spark. Candidates are those that are frequent
+    enough and commoner among toxic documents than chance, MAX_FEATURES at
+    most; only they reach the driver.
+    """
+    spark = docs.sparkSession
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
     sample = F.broadcast(known.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(limit))  # `limit` rows at most
-    rows = docs.join(sample, "doc_id").select("doc_id", "y", F.col("text").cast("string"))
+    rows = cut(docs.join(sample, "doc_id").select("doc_id", "y", F.col("text").cast("string")), "labelled")
+    counts = rows.mapInArrow(_counted, "feature bigint, n bigint, hits double").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    counts = cut(counts, "features")
+    whole = counts.where("feature = -1").first()
+    if whole is None or not 0 < whole["hits"] < whole["n"]:
+        return NoisyOr(float(whole["hits"] / whole["n"]) * (1 - 1e-6) if whole else 0.0)
+    rate = whole["hits"] / whole["n"]
+    lift = (F.col("hits") + rate) / (F.col("n") + 1) - rate
+    enough = F.col("n") >= max(MIN_DOCS, MIN_SHARE * whole["n"])
+    chance = 2 * F.sqrt(F.lit(rate * (1 - rate)) / (F.col("n") + 1))
+    best = counts.where((F.col("feature") >= 0) & enough & (lift > chance)).orderBy(F.desc(lift / chance), "feature").limit(MAX_FEATURES).collect()
+    if not best:
+        return NoisyOr(float(rate))
+    chosen = spark.sparkContext.broadcast(np.array(sorted(r["feature"] for r in best), np.int64))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInArrow(_hashed, f"doc_id {kind}, y double, words binary, sizes binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], bytes(r["words"])))
-    bags = [(np.frombuffer(r["words"], "<i8"), np.frombuffer(r["sizes"], "<i4")) for r in got]
-    return NoisyOr(bags, np.array([r["y"] for r in got]))
+    got = rows.mapInArrow(_bags(chosen), f"doc_id {kind}, y double, sentences bigint, sentence array<bigint>, feature array<bigint>").collect()
+    got.sort(key=lambda r: (r["doc_id"], r["sentences"], r["feature"]))
+    bags = [(r["sentences"], np.array(r["sentence"], np.int64), np.array(r["feature"], np.int64)) for r in got]
+    return NoisyOr().fit(bags, np.array([r["y"] for r in got]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
