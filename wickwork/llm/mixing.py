@@ -11,7 +11,7 @@ document gives is then plain arithmetic on its place in the stream.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickwork.llm.common import GAPS, cut, table, word_count
@@ -69,6 +69,11 @@ def sainte_lague(votes, seats: int, most=None) -> np.ndarray:
     return got
 
 
+def _seeded(seed: int, *columns: str) -> Column:
+    """A number below 2^32 from a seed and columns; nulls are skipped."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns])), 1, 8), 16, 10).cast("bigint")
+
+
 def sizes_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", word_count("text").alias("size"))
 
@@ -93,11 +98,11 @@ def plan_mix(sized: DataFrame, weights=WEIGHTS, share=SHARE, repeat=REPEAT, bloc
         "source string, source_size bigint, target double, shards int",
     ) if rows else spark.createDataFrame([], "source string, source_size bigint, target double, shards int")
     # Sources are few (one row each); beyond the session's limit Spark joins them by sorting.
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    keyed = sized.alias("d").join(dim.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("doc_id", "d.source", "size", "source_size", "target", order.alias("o"), F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), "shards").cast("int").alias("shard"))
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string")))
+    keyed = sized.alias("d").join(dim.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("doc_id", "d.source", "size", "source_size", "target", order.alias("o"), (_seeded(seed + 1, "doc_id") % F.col("shards")).cast("int").alias("shard"))
     held = keyed.groupBy("source", "shard").agg(F.sum("size").alias("n")).collect()
     held.sort(key=lambda r: (r["source"] is None, [ord(c) for c in r["source"] or ""], r["shard"]))
-    blocks = sainte_lague(targets, int(sum(targets)) // block, [int(repeat * n) // block for n in sizes])
+    blocks = sainte_lague(targets, int(min(share, repeat) * total) // block, [int(repeat * n) // block for n in sizes])
     quota = []
     for r, seats in zip(rows, blocks.tolist(), strict=True):
         own = [x for x in held if x["source"] == r["source"]]
@@ -112,7 +117,7 @@ def plan_mix(sized: DataFrame, weights=WEIGHTS, share=SHARE, repeat=REPEAT, bloc
         "doc_id", "d.source", "size", "source_size", "target", start.alias("start"), "end", "shard_size",
         F.when(F.col("shard_size") > 0, F.floor(F.col("quota") / F.col("shard_size"))).otherwise(0).alias("passes"),
         F.when(F.col("shard_size") > 0, F.col("quota") % F.col("shard_size")).otherwise(0).alias("rest"),
-        (F.pmod(F.xxhash64(F.lit(seed + 2), "d.source", "d.shard"), F.greatest(F.lit(1), F.ceil(F.col("shard_size") / block))) * block).alias("from"),
+        (_seeded(seed + 2, "d.source", "d.shard") % F.greatest(F.lit(1), F.ceil(F.col("shard_size") / block)) * block).alias("from"),
     )
     # The run [from, from + rest) goes round the shard; a document meets it at one or two places.
     meet = lambda a, b: F.greatest(F.lit(0), F.least("end", b) - F.greatest("start", a))
