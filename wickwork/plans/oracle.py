@@ -150,16 +150,38 @@ TABLES = {
         f"SELECT symbol, expiry, typ, strike, {r('rr', 2)} AS ratio, ets AS entry_ts, ep AS entry_price, pts AS peak_ts, pp AS peak_price, (pn - en)::INT AS hold_candles, {r('(pts - ets) / 3600.0', 1)} AS hold_hours, f AS first_ts, c AS candles FROM "
         "(SELECT *, row_number() OVER (PARTITION BY symbol, expiry ORDER BY rr DESC, en DESC, pp DESC, pn DESC) AS k FROM bt0) JOIN (SELECT symbol, expiry, min(ts) AS f, count(*) AS c FROM b GROUP BY ALL) USING (symbol, expiry) WHERE k = 1"
     ),
+    # Averages by recursion from the mean of the first bars.
+    "e5": "SELECT symbol, expiry, 5::BIGINT AS n, avg(close) AS ema FROM b WHERE n <= 5 GROUP BY ALL HAVING count(*) = 5 UNION ALL SELECT x.symbol, x.expiry, y.n, y.close * (2 / 6.0::DOUBLE) + x.ema * (1 - 2 / 6.0::DOUBLE) FROM e5 x JOIN b y ON y.symbol = x.symbol AND y.expiry = x.expiry AND y.n = x.n + 1",
+    "e10": "SELECT symbol, expiry, 10::BIGINT AS n, avg(close) AS ema FROM b WHERE n <= 10 GROUP BY ALL HAVING count(*) = 10 UNION ALL SELECT x.symbol, x.expiry, y.n, y.close * (2 / 11.0::DOUBLE) + x.ema * (1 - 2 / 11.0::DOUBLE) FROM e10 x JOIN b y ON y.symbol = x.symbol AND y.expiry = x.expiry AND y.n = x.n + 1",
+    # Stretches of bars, each split at its trade.
+    "tl": "SELECT symbol, expiry, list(high ORDER BY ts) AS hs, list(low ORDER BY ts) AS ls, list(ts ORDER BY ts) AS tss FROM bars GROUP BY symbol, expiry",
+    "tr": (
+        "SELECT symbol, expiry, hs, ls, tss, 1::BIGINT AS lo, len(hs)::BIGINT AS hi FROM tl UNION ALL SELECT symbol, expiry, hs, ls, tss, p.lo, p.hi FROM (SELECT *, unnest(CASE WHEN h = lo THEN [{'lo': lo + 1, 'hi': hi}] ELSE [{'lo': lo, 'hi': l - 1}, {'lo': h + 1, 'hi': hi}] END) AS p "
+        "FROM (SELECT *, CASE WHEN h > lo THEN lo + list_position(ls[lo:h - 1], list_min(ls[lo:h - 1])) - 1 END AS l FROM (SELECT *, lo + list_position(hs[lo:hi], list_max(hs[lo:hi])) - 1 AS h FROM tr WHERE hi > lo)))"
+    ),
+    "tx": (
+        "SELECT symbol, expiry, split_part(symbol, '-', 1) AS type, tss[l] AS low_ts, tss[h] AS high_ts, ls[l] AS low_price, hs[h] AS high_price, (h - l)::INT AS hold_candles, floor(hs[h] / ls[l] * 1e2 + 0.5) / 1e2 AS ratio FROM "
+        "(SELECT *, lo + list_position(ls[lo:h - 1], list_min(ls[lo:h - 1])) - 1 AS l FROM (SELECT *, lo + list_position(hs[lo:hi], list_max(hs[lo:hi])) - 1 AS h FROM tr WHERE hi > lo) WHERE h > lo) WHERE ls[l] > 0 AND hs[h] > 0"
+    ),
+    "to2": "SELECT *, row_number() OVER (PARTITION BY expiry, type ORDER BY low_ts, symbol, high_ts) AS i FROM tx WHERE ratio >= 2",
+    "tm": (
+        "SELECT *, high_ts AS ends, 0 AS event FROM to2 WHERE i = 1 UNION ALL SELECT y.*, CASE WHEN y.low_ts <= x.ends AND greatest(x.ends, y.high_ts) - x.ends <= 216000 THEN greatest(x.ends, y.high_ts) ELSE y.high_ts END, "
+        "CASE WHEN y.low_ts <= x.ends AND greatest(x.ends, y.high_ts) - x.ends <= 216000 THEN x.event ELSE x.event + 1 END FROM tm x JOIN to2 y ON y.expiry = x.expiry AND y.type = x.type AND y.i = x.i + 1"
+    ),
+    "te": (
+        "SELECT expiry, type, min(low_ts) AS start_ts, max(high_ts) AS end_ts, count(*)::INT AS n, max(ratio) AS max_ratio, first(symbol ORDER BY ratio DESC, low_ts, symbol DESC) AS max_symbol, first(low_price ORDER BY ratio DESC, low_ts, symbol DESC) AS max_low, "
+        "first(high_price ORDER BY ratio DESC, low_ts, symbol DESC) AS max_high, floor(avg(hold_candles) + 0.5)::INT AS hold_candles, string_agg(symbol, ',' ORDER BY ratio DESC, low_ts, symbol, high_ts) AS instruments FROM tm GROUP BY expiry, type, event"
+    ),
 }
 
 
-def _needs(sql: str, found: list[str]) -> list[str]:
+def _needs(sql: str, found: list[str], inside: tuple[str, ...] = ()) -> list[str]:
     """Common tables that a query uses, those they use first."""
     import re
 
     for name in re.findall(r"\b(?:FROM|JOIN|,)\s*\(*\s*(\w+)", sql):
-        if name in TABLES and name not in found:
-            _needs(TABLES[name].replace("{source}", "units"), found)
+        if name in TABLES and name not in found and name not in inside:
+            _needs(TABLES[name].replace("{source}", "units"), found, (*inside, name))
             found.append(name)
     return found
 
@@ -169,7 +191,7 @@ def build(sql: str, source: str = "units") -> str:
     if "ux" in names and source not in names:
         names = [*_needs(f"FROM {source}", []), *[n for n in names if n not in _needs(f"FROM {source}", [])]]
     tables = ", ".join(f"{n} AS ({TABLES[n].replace('{source}', source)})" for n in names)
-    return f"WITH {tables} {sql}" if tables else sql
+    return f"WITH RECURSIVE {tables} {sql}" if tables else sql
 
 
 def hits(col: str, thresholds: tuple, prefix: str = "hit") -> str:
@@ -319,6 +341,12 @@ SQL |= {
     ),
     "best_trade_moneyness": f"SELECT symbol, {D}, ratio, {r('sp', 2)} AS spot_at_entry, {r('(strike - sp) / sp * 100', 1)} AS entry_distance FROM {asof('bt', 'entry_ts')} WHERE ratio >= 5 AND typ = 'C' AND strike > sp",
     "best_trades_top": f"SELECT {D}, symbol, ratio, hold_candles FROM bt ORDER BY hold_candles DESC, expiry, symbol LIMIT 50",
+    "find_trades": f"SELECT symbol, {D}, low_ts, high_ts, low_price, high_price, hold_candles, ratio FROM tx WHERE ratio >= 2",
+    "merge_trades": f"SELECT {D}, type, start_ts, end_ts, n, max_ratio, max_symbol, max_low, max_high, hold_candles, instruments FROM te",
+    "trade_summary": f"SELECT 'EVT' AS spot, {D}, coalesce(max(max_ratio) FILTER (type = 'C'), 0.0) AS best_call, coalesce(max(max_ratio) FILTER (type = 'P'), 0.0) AS best_put, {_SIDES}, '120' AS durations FROM te GROUP BY expiry",
+    "trade_scan": f"SELECT 'EVT' AS spot, {D}, scanned, coalesce(raw_trades, 0) AS raw_trades, coalesce(qualifying, 0) AS qualifying FROM (SELECT expiry, count(DISTINCT symbol) AS scanned FROM bars GROUP BY expiry) LEFT JOIN (SELECT expiry, count(*) AS raw_trades, count(*) FILTER (ratio >= 5) AS qualifying FROM tx GROUP BY expiry) USING (expiry)",
+    "ema_spread": f"SELECT symbol, {D}, ts, {r('x.ema', 4)} AS ema5, {r('y.ema', 4)} AS ema10, {r(r('CASE WHEN close > 0 AND x.ema IS NOT NULL AND y.ema IS NOT NULL THEN (greatest(x.ema, y.ema) - least(x.ema, y.ema)) / close * 100 END', 6), 3)} AS spread_pct FROM b LEFT JOIN e5 x USING (symbol, expiry, n) LEFT JOIN e10 y USING (symbol, expiry, n)",
+    "last_ema_points": f"SELECT symbol, {D}, ts, {r('ema', 4)} AS ema5 FROM b LEFT JOIN e5 USING (symbol, expiry, n) WHERE n > size - 3",
     "price_volatility": f"SELECT symbol, {D}, ts, {r('v5', 4)} AS vol5, {r('v10', 4)} AS vol10 FROM (SELECT *, {r(f'CASE WHEN open > 0 AND close > 0 THEN ({lags(5)}) / (open * close) END', 6)} AS v5, {r(f'CASE WHEN open > 0 AND close > 0 THEN ({lags(10)}) / (open * close) END', 6)} AS v10 FROM bars)",
     "volatility_board": (
         f"SELECT symbol, {D}, ts, strike, typ AS opt_type, {r('v5', 4)} AS vol5, coalesce(CASE WHEN typ = 'C' THEN strike > sc ELSE strike < sc END, false) AS otm FROM (SELECT *, {r(f'CASE WHEN open > 0 AND close > 0 THEN ({lags(5)}) / (open * close) END', 6)} AS v5 FROM b), (SELECT arg_max(close, ts) AS sc FROM spot60) WHERE n = size AND size > 10"
