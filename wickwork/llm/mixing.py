@@ -103,9 +103,11 @@ def plan_mix(sized: DataFrame, weights=WEIGHTS, share=SHARE, repeat=REPEAT, bloc
     held = keyed.groupBy("source", "shard").agg(F.sum("size").alias("n")).collect()
     held.sort(key=lambda r: (r["source"] is None, [ord(c) for c in r["source"] or ""], r["shard"]))
     blocks = sainte_lague(targets, int(min(share, repeat) * total) // block, [int(repeat * n) // block for n in sizes])
-    quota = []
+    quota, by_source = [], {r["source"]: [] for r in rows}
+    for x in held:
+        by_source[x["source"]].append(x)
     for r, seats in zip(rows, blocks.tolist(), strict=True):
-        own = [x for x in held if x["source"] == r["source"]]
+        own = by_source[r["source"]]
         dealt = sainte_lague([x["n"] for x in own], seats, [int(repeat * x["n"]) // block for x in own])
         quota += [(x["source"], x["shard"], int(x["n"]), int(k) * block) for x, k in zip(own, dealt.tolist(), strict=True)]
     quota = spark.createDataFrame(quota, "source string, shard int, shard_size bigint, quota bigint")
