@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from wickwork.llm.common import cut, held_out, table
 
 FOLDS, HELD = 4, 2
 #: Labelled documents that are read at most; features of fewer of them than MIN_SHARE (and MIN_DOCS) are left out.
-SAMPLE, MIN_DOCS, MIN_SHARE, MAX_FEATURES, SEED = 20_000, 3, 0.001, 20_000, 7
+SAMPLE, MIN_DOCS, MIN_SHARE, MAX_FEATURES, SEED = 20_000, 3, 0.001, 2_000, 7
 #: Lengths of the beginnings that count besides the word itself.
 STEMS = (4, 5)
 ROUNDS, LASSO = 250, 0.35
@@ -82,13 +83,16 @@ class NoisyOr:
         self.weights: dict[int, float] = {}
         self.bias, self.leak = -60.0, leak
 
-    def fit(self, bags: list, y: np.ndarray) -> NoisyOr:
-        """Full-batch Adam on the noisy-or likelihood with an L1 step. bags: (sentences, sentence of each feature, feature)."""
-        names, word = np.unique(np.concatenate([f for _, _, f in bags]), return_inverse=True)
-        doc = np.repeat(np.arange(len(bags)), [len(s) for _, s, _ in bags])
-        pair, sentence = np.unique(np.stack([doc, np.concatenate([s for _, s, _ in bags])]), axis=1, return_inverse=True)
-        doc = pair[0]
-        plain = np.array([n for n, _, _ in bags], float) - np.bincount(doc, minlength=len(y))
+    def fit(self, y: np.ndarray, sentences: np.ndarray, pairs: np.ndarray, sentence: np.ndarray, feature: np.ndarray) -> NoisyOr:
+        """Full-batch Adam on the noisy-or likelihood with an L1 step.
+
+        Of each document its label, its sentences and its pairs; of each pair the sentence and the feature in it.
+        """
+        names, word = np.unique(feature, return_inverse=True)
+        wide = int(sentence.max(initial=0)) + 1
+        both, sentence = np.unique(np.repeat(np.arange(len(y)), pairs) * wide + sentence, return_inverse=True)
+        doc = both // wide
+        plain = sentences - np.bincount(doc, minlength=len(y))
         sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
         w, bias = np.zeros(len(names)), -9.0
         leak = float(np.log(y.mean() / 4 / (1 - y.mean() / 4)))
@@ -173,10 +177,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
         return NoisyOr(float(rate))
     chosen = spark.sparkContext.broadcast(np.array(sorted(r["feature"] for r in best), np.int64))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInArrow(_bags(chosen), f"doc_id {kind}, y double, sentences bigint, sentence array<bigint>, feature array<bigint>").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["sentences"], r["feature"]))
-    bags = [(r["sentences"], np.array(r["sentence"], np.int64), np.array(r["feature"], np.int64)) for r in got]
-    return NoisyOr().fit(bags, np.array([r["y"] for r in got]))
+    bags = rows.mapInArrow(_bags(chosen), f"doc_id {kind}, y double, sentences bigint, sentence array<bigint>, feature array<bigint>")
+    got = bags.toArrow().sort_by([("doc_id", "ascending"), ("sentences", "ascending")])  # `limit` rows, of chosen features alone
+    pairs = pc.list_value_length(got["feature"]).to_numpy()
+    flat = lambda name: pc.list_flatten(got[name]).to_numpy()
+    return NoisyOr().fit(got["y"].to_numpy(), got["sentences"].to_numpy().astype(float), pairs, flat("sentence"), flat("feature"))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
