@@ -15,12 +15,12 @@ different members a table, whatever the size of the bucket.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickwork.llm.common import cut, table
@@ -35,23 +35,34 @@ def masks() -> list[int]:
     return [sum(1 << i for i in range(BITS) if ((i % len(vectors) + 1) & v).bit_count() % 2) for v in vectors]
 
 
+def text_key(text: str) -> Column:
+    """A key of a text column; null has one too."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
-    """Unsigned SimHash of a UTF-8 text; 0 where it has no word."""
+def shingle_hashes(text: bytes | None, size: int = SHINGLE) -> list[int]:
+    """Hashes of a UTF-8 text's shingles of `size` words; of a shorter text that of all its words, none where it has no word."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return []
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= size:
-        hashes = [digest(joined, SEED)]
-    else:
-        gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-        starts = [0, *(gaps[: len(words) - size] + 1).tolist()]
-        ends = [*gaps[size - 1 :].tolist(), len(joined)]
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)]
+        return [digest(joined, SEED)]
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    starts = [0, *(gaps[: len(words) - size] + 1).tolist()]
+    ends = [*gaps[size - 1 :].tolist(), len(joined)]
+    return [digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)]
+
+
+def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
+    """Unsigned SimHash of a UTF-8 text; 0 where it has no word."""
+    hashes = shingle_hashes(text, size)
+    if not hashes:
+        return 0
     bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little").view("<u8")[0])
 
@@ -60,14 +71,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = batch.column(1).cast(pa.binary()).to_pylist()
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([_signed(fingerprint(t)) for t in texts], pa.int64())], ["doc_id", "fp"]
+            [batch.column(0), *batch.columns[2:], pa.array([_signed(fingerprint(t)) for t in texts], pa.int64())], ["doc_id", *batch.schema.names[2:], "fp"]
         )
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): one row per document, fp the fingerprint as a signed long."""
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-        _fingerprints, "doc_id bigint, fp bigint"
+def fingerprints(docs: DataFrame, *longs: str) -> DataFrame:
+    """(doc_id, longs, fp): one row per document, fp the fingerprint as a signed long, `longs` columns that stay."""
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *longs).mapInArrow(
+        _fingerprints, ", ".join(f"{c} bigint" for c in ("doc_id", *longs, "fp"))
     )
 
 
@@ -89,6 +100,13 @@ def links(fps: DataFrame) -> DataFrame:
     return points.distinct().select(hub.alias("a"), F.col("fp").alias("b")).where("a <> b").distinct()
 
 
+def _roots(rows: DataFrame) -> DataFrame:
+    """(fp, first, root) of each fingerprint of rows (doc_id, fp): its smallest doc_id, and the name of its component."""
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    roots = connected_components(links(nodes.select("fp"))).select(F.col("node").alias("fp"), "root")
+    return cut(nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (hex), component_id, one row per row of `docs`.
 
@@ -100,30 +118,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Other columns are ignored. An empty table gives an empty result.
     """
     rows = cut(fingerprints(docs), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = connected_components(links(nodes.select("fp"))).select(F.col("node").alias("fp"), "root")
-    rooted = cut(nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    rooted = _roots(rows)
     lowest = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
     named = cut(rooted.join(lowest, "root").select("fp", "component_id"), "named")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def simhash_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, root) of each row of `docs`: key is that of its text, root names its component."""
+    rows = cut(fingerprints(docs.select("doc_id", "text", text_key("text").alias("key")), "key"), "fingerprints")
+    return rows.join(_roots(rows).select("fp", "root"), "fp").select("doc_id", "key", "root")
+
+
+def keep_one(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = simhash_groups) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest doc_id.
 
-    Of repeated rows with that id the first by text stays. Rows with a null
-    doc_id stay only if their whole group has none, and then one of them.
-    All columns of `docs` are returned unchanged.
+    Of several rows with that id in the group the first by text stays. Rows
+    with a null doc_id stay only if their whole group has none, and then one of
+    them, the first by text. Rows are told apart by id and text, so rows that
+    share an id but lie in different groups do not touch each other. `grouped`
+    gives (doc_id, key, root) of the rows. All columns of `docs` are returned
+    unchanged.
     """
-    groups = cut(near_duplicates(docs).select("doc_id", "component_id"), "groups")
-    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    repeated = groups.where(same).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"))
-    gone = groups.where(~same).select(F.col("doc_id").alias("__id")).distinct()
-    match = docs["doc_id"].eqNullSafe(F.col("__id"))
-    once = docs.join(gone.unionByName(repeated), match, "left_anti")
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    many = docs.join(repeated, match, "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
-    return once.unionByName(many)
+    kinds = grouped(docs).groupBy("root", F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.count("*").alias("n"))
+    kinds = cut(kinds, "kinds")
+    first = cut(kinds.groupBy("root").agg(F.min("__id").alias("lowest"), F.count("*").alias("kinds"), F.sum("n").alias("n")).where("n > 1").drop("n"), "first")
+    # Only rows of groups of several; one kind of row may still occur often.
+    shared = cut(kinds.join(first, "root").withColumn("best", F.col("__id").eqNullSafe(F.col("lowest"))), "shared")
+    tied = shared.where("best").groupBy("root").agg(F.sum("n").alias("rows")).where("rows > 1").select("root")
+    tied = cut(shared.where("best").join(tied, "root").select("root", "__id", "__key"), "tied")
+    gone = shared.where("not best").select("__id", "__key").unionByName(tied.select("__id", "__key"))
+    match = docs["doc_id"].cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__key"))
+    once = docs.join(gone, match, "left_anti")
+    order = Window.partitionBy("__root").orderBy(F.col("text").asc_nulls_last())
+    many = docs.join(tied.withColumnRenamed("root", "__root"), match).withColumn("__nth", F.row_number().over(order)).where("__nth = 1")
+    return once.unionByName(many.select(*docs.columns))
 
 
 def op7_simhash_dedup(spark, sf_dir: str) -> DataFrame:
