@@ -1,7 +1,12 @@
-"""The document that stays of each group of near copies."""
+"""Near copies of the pipeline, and the one that stays of each group."""
 
+import itertools
 import random
+from collections import Counter
 
+import pytest
+
+import corpus_pipeline
 from wickwork.llm.simhash_dedup import keep_one
 
 
@@ -11,9 +16,57 @@ def words_of(n, seed):
     return [f"w{rng.randrange(5000)}" for _ in range(n)]
 
 
-def test_one_of_each_group_stays(make):
+def shingles(text):
+    w = (text or "").lower().split()
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def groups(texts):
+    sets, parent = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if sets[i] == sets[j] or 5 * (sets[i] & sets[j]).total() >= 4 * (sets[i] | sets[j]).total():
+            a, b = sorted((find(i), find(j)))
+            parent[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def test_stage_finds_edited_copies(spark, make):
+    rng, texts = random.Random(11), [None, "", " ", "one", "one two", "one two three four five six"]
+    for k, (n, changes) in enumerate([(100, 1), (300, 3), (300, 6), (1000, 20), (60, 1), (12, 1), (300, 30), (9000, 100)] * 3):
+        base = words_of(n, 400 + k)
+        texts.append(" ".join(base))
+        for _ in range(3):
+            words = list(base)
+            for at in rng.sample(range(n), changes):
+                words[at] = f"changed{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    line = " ".join(words_of(12, 1))
+    texts += [f"{' '.join(words_of(20, k % 2))} {f'{line} ' * n}" for k, n in enumerate((1, 1, 9, 8, 30, 29, 31))]
+    want = groups(texts)
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, make(texts), "").collect()}
+    assert got == set(want) and 40 < len(got) < 70
+
+
+def test_chain_of_copies_is_one_group(spark, make):
+    words, texts = words_of(200, 3), []
+    for k in range(60):
+        texts.append(" ".join(words))
+        words[k * 3] = f"changed{k}"
+    random.Random(2).shuffle(texts)
+    assert len(set(groups(texts))) == 1
+    assert [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, make(texts), "").collect()] == [0]
+
+
+@pytest.mark.parametrize("keep", [keep_one, lambda docs: corpus_pipeline.near_dedup(None, docs, "")])
+def test_one_of_each_group_stays(make, keep):
     a, b, c, d, e, f, g = (" ".join(words_of(80, 600 + k)) for k in range(7))
     rows = [(None, a), (None, b), (None, b), (None, c), (5, c), (7, d), (7, e), (3, d), (8, f), (8, g), (8, g), (None, None), (None, ""), (2, d + " more"), (2, d)]
-    got = sorted(((r["doc_id"], r["text"]) for r in keep_one(make(rows)).collect()), key=str)
-    assert got == sorted([(None, a), (None, b), (5, c), (2, d), (7, e), (8, f), (8, g), (None, "")], key=str) and keep_one(make(rows)).columns == make(rows).columns
-    assert keep_one(make(rows).limit(0)).count() == 0
+    got = sorted(((r["doc_id"], r["text"]) for r in keep(make(rows)).collect()), key=str)
+    assert got == sorted([(None, a), (None, b), (5, c), (2, d), (7, e), (8, f), (8, g), (None, "")], key=str) and keep(make(rows)).columns == make(rows).columns
+    assert keep(make(rows).limit(0)).count() == 0
