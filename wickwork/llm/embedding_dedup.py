@@ -16,6 +16,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,27 +29,34 @@ MAX_PIVOTS = 1024
 SLACK = 1e-6
 
 
-def _cells(pivots: np.ndarray, reach: float):
-    """Map batches (node, vec) to (node, vec, home, cell): one row per cell that the vector can reach."""
-    gap = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
+def _cells(pivots: dict[int, tuple[int, np.ndarray]], reach: float):
+    """Map batches (node, vec) to (node, vec, home, cell): one row per cell that the vector can reach.
+
+    `pivots` has the first cell and the pivots of each length of vector; vectors
+    of different lengths share no cell.
+    """
+    gaps = {d: np.sqrt(np.maximum(0, 2 - 2 * p @ p.T)) for d, (_, p) in pivots.items()}
 
     def run(batches):
-        for batch in batches:
-            x = np.array(batch.column("vec").to_pylist(), np.float64)
-            if not len(x):
-                continue
-            x /= np.abs(x).max(1, keepdims=True)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            square = np.maximum(0, 2 - 2 * x @ pivots.T)
-            home = square.argmin(1)
-            near = square[np.arange(len(x)), home][:, None]
-            meets = (np.sqrt(square) - np.sqrt(near) <= 2 * reach + SLACK) & (square - near <= 2 * reach * gap[home] + SLACK)
-            meets[np.arange(len(x)), home] = True
-            row, cell = np.nonzero(meets)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node").take(pa.array(row)), batch.column("vec").take(pa.array(row)), batch.column("mult").take(pa.array(row)), pa.array(cell.astype("int32")), pa.array(home[row] == cell)],
-                ["node", "vec", "mult", "cell", "home"],
-            )
+        for whole in batches:
+            lengths = pc.list_value_length(whole.column("vec"))
+            for d in pc.unique(lengths).to_pylist():
+                yield from place(whole.filter(pc.equal(lengths, d)), *pivots[d], gaps[d])
+
+    def place(batch, first, pivots, gap):
+        x = np.array(batch.column("vec").to_pylist(), np.float64)
+        x /= np.abs(x).max(1, keepdims=True)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        square = np.maximum(0, 2 - 2 * x @ pivots.T)
+        home = square.argmin(1)
+        near = square[np.arange(len(x)), home][:, None]
+        meets = (np.sqrt(square) - np.sqrt(near) <= 2 * reach + SLACK) & (square - near <= 2 * reach * gap[home] + SLACK)
+        meets[np.arange(len(x)), home] = True
+        row, cell = np.nonzero(meets)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("node").take(pa.array(row)), batch.column("vec").take(pa.array(row)), batch.column("mult").take(pa.array(row)), pa.array((cell + first).astype("int32")), pa.array(home[row] == cell)],
+            ["node", "vec", "mult", "cell", "home"],
+        )
 
     return run
 
@@ -95,22 +103,26 @@ def range_links(vectors: DataFrame, cosine: float = 0.95, block: int = BLOCK) ->
     """(node, n, low) from distinct `vectors` (node, vec, mult).
 
     Summed over a node, n is the copies of other vectors within the range; the
-    pairs (node, low) connect all that is linked.
+    pairs (node, low) connect all that is linked. Vectors of one length are
+    compared; a length takes a job for its pivots.
     """
     spark = vectors.sparkSession
-    total = vectors.count()
-    k = max(1, min(MAX_PIVOTS, math.ceil(total / block)))
-    # A bounded sample that every run draws alike: the pivots.
-    pivots = [r["vec"] for r in vectors.select("vec", F.xxhash64(F.lit(17), "node").alias("h")).orderBy("h").limit(k).collect()]
+    size = F.size("vec")
+    totals = {r["d"]: r["n"] for r in vectors.groupBy(size.alias("d")).agg(F.count("*").alias("n")).collect()}
+    pivots, cells = {}, 0
+    for d, total in sorted(totals.items()):
+        k = max(1, min(MAX_PIVOTS, math.ceil(total / block)))
+        # A bounded sample that every run draws alike: the pivots.
+        p = np.array([r["vec"] for r in vectors.where(size == d).select("vec", F.xxhash64(F.lit(17), "node").alias("h")).orderBy("h").limit(k).collect()], np.float64)
+        p = p / np.abs(p).max(1, keepdims=True)
+        pivots[d] = cells, p / np.linalg.norm(p, axis=1, keepdims=True)
+        cells += k
     if not pivots:
         return spark.createDataFrame([], "node bigint, n bigint, low bigint")
-    p = np.array(pivots, np.float64)
-    p = p / np.abs(p).max(1, keepdims=True)
-    p /= np.linalg.norm(p, axis=1, keepdims=True)
     kind = vectors.schema["vec"].dataType.simpleString()
     schema = f"node bigint, vec {kind}, mult bigint, cell int, home boolean"
-    placed = cut(vectors.select("node", "vec", "mult").mapInArrow(_cells(p, math.sqrt(2 - 2 * cosine)), schema), "cells")
-    # One row a cell, MAX_PIVOTS at most.
+    placed = cut(vectors.select("node", "vec", "mult").mapInArrow(_cells(pivots, math.sqrt(2 - 2 * cosine)), schema), "cells")
+    # One row a cell, MAX_PIVOTS a length at most.
     sizes = placed.groupBy("cell").agg(F.count("*").alias("all"), F.count_if("home").alias("own"))
     sizes = sizes.select("cell", F.ceil(F.col("all") / block).alias("gr"), F.ceil(F.col("own") / block).alias("gl"))
     rows = placed.join(F.broadcast(sizes), "cell").where("gl > 0")
@@ -123,9 +135,9 @@ def range_links(vectors: DataFrame, cosine: float = 0.95, block: int = BLOCK) ->
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of `vectors` (vec_id, embedding).
 
-    Null vectors, zero vectors, vectors of another length than most, and those
-    with null or non-finite components link with nothing: n_links 0,
-    component_id their own vec_id. Equal vectors are compared once and counted
+    Null vectors, zero vectors, and those with null or non-finite components
+    link with nothing: n_links 0, component_id their own vec_id. Vectors are
+    compared with those of their own length. Equal vectors are compared once and counted
     as often as they occur. Rows that repeat a vec_id with its vector count as
     one vector and each get the same row; if a vec_id comes with different
     vectors each of them is a vector of that id. A null vec_id counts among the
@@ -142,9 +154,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, block: int = BLOCK
     rows = rows.withColumn("node", F.when(F.col("good"), key))
     alike = rows.where("good").groupBy("node", "vec").agg(F.count_distinct(F.coalesce("vec_id", F.lit(-1 << 63))).alias("mult"), F.min("vec_id").alias("first"))
     alike = cut(alike, "vectors")
-    dims = alike.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    dim = dims["d"] if dims else 0
-    found = cut(range_links(alike.where(F.size("vec") == dim), cosine, block), "links")
+    found = cut(range_links(alike, cosine, block), "links")
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     roots = connected_components(found.select(F.col("node").alias("a"), F.col("low").alias("b")))
     named = cut(alike.join(counts, "node", "left").join(roots, "node", "left").select("node", "first", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")), "rooted")
