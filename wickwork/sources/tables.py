@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from wickwork.sources.scratch import cut
+from wickwork.sources.scratch import cut, folder
 
 
 def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
@@ -29,23 +29,18 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
         return spark.createDataFrame([], schema)
 
 
-def _folder(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
 def write_scope(df: DataFrame, path: str, scope: dict[str, str], by: list[str]) -> None:
     """Make `df` all that is stored for `scope`, the leading partition columns: an empty table removes what was there."""
     spark = df.sparkSession
-    folder = path + "".join(f"/{k}={v}" for k, v in scope.items())
+    at = path + "".join(f"/{k}={v}" for k, v in scope.items())
     rest = [c for c in by if c not in scope]
-    rows = df.drop(*scope)
-    if df.isEmpty():
-        fs, at = _folder(spark, folder)
-        fs.delete(at, True)
+    # Worked out once, for the test and for the write; the rows may come from the very scope that is replaced.
+    rows = cut(df.drop(*scope), "scope")
+    if rows.isEmpty():
+        fs, gone = folder(spark, at)
+        fs.delete(gone, True)
     else:
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*rest).parquet(folder)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*rest).parquet(at)
 
 
 def list_inventory(df: DataFrame, columns: list[str]) -> DataFrame:
