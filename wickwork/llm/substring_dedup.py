@@ -3,16 +3,21 @@
 Reference blocks are cut by content: the anchor of a window of WINDOW words is
 its smallest hashed run of GRAM words, and neighbouring windows with one anchor
 make a block, so equal passages are cut alike wherever they stand. All blocks
-are indexed by anchor and content. A document is factored block by block: a
-block that stands earlier is a factor as a whole, and joined to its neighbours
-it gives the longest factor. A factor can also end inside a block. Such blocks
-share their anchor with a block of other content, so there, at the factor
-boundaries, the windows are indexed and compared one by one. Every window that
-stands earlier is thereby found, and the words it covers are removed.
+are indexed by anchor and content, each content with its first place.
+
+A document is parsed from left to right. Where a block's content stands
+earlier, a factor (place, words, reference, place in the reference) begins, and
+it goes on over the next blocks as long as they follow each other in that
+reference: the longest such run is the factor. A factor can also begin and end
+inside a block. Such a block shares its anchor with a block of other content,
+so there, at the factor boundaries, the windows are indexed and looked up one by
+one, which carries factors on, word by word, to where their reference ends.
+Factors are of WINDOW words at least; every window that stands earlier lies in
+one, and the words that factors cover are removed.
 
 A third of all rows may hold one passage: blocks and windows are counted with
 partial aggregation and joined to one row per key, which adaptive execution
-splits; no group is gathered but the spans of one document.
+splits; no group is gathered but the factors of one text.
 """
 
 from __future__ import annotations
@@ -32,8 +37,8 @@ WINDOW, GRAM, SEED = 20, 8, 3
 #: An odd multiplier of polynomial hashes modulo 2^64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-#: A place packs the text's tag, the start and the number of windows; null ids come first.
-START_BITS, COUNT_BITS, NULL_ID = 36, 4, -(1 << 63)
+#: A place packs the start and the number of windows; null ids come first.
+COUNT_BITS, NULL_ID = 4, -(1 << 63)
 #: Words a task remembers the hashes of, and the bits of the largest filter of shared anchors (8 MB).
 REMEMBER, FILTER_BITS = 200_000, 26
 
@@ -95,26 +100,25 @@ class _Corpus:
         return low[window[first]], window[first], np.diff(np.append(first, len(window)))
 
 
-def _tag(text: bytes | None) -> int:
-    """Tells rows of one doc_id with different texts apart."""
-    return xxhash.xxh32_intdigest(text or b"") & 0x7FFFFF
-
-
 def _slices(batch: pa.RecordBatch, column: int, seen: dict):
     for a, texts in text_slices(batch.column(column)):
         yield a, texts, _Corpus(texts, seen)
 
 
-def _places(corpus: _Corpus, texts: list, start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    tags = np.array([_tag(t) for t in texts], np.int64)
+def _entries(batch: pa.RecordBatch, a: int, corpus: _Corpus, anchor, content, start, count) -> pa.RecordBatch:
+    """Rows (anchor, content, id, key, place) of stretches of a slice that begins at row a of the batch (id, key, ...)."""
     doc = corpus.doc[start]
-    return tags[doc] << (START_BITS + COUNT_BITS) | (start - corpus.starts[doc]) << COUNT_BITS | count
+    row = pa.array(doc + a, pa.int64())
+    place = (start - corpus.starts[doc]) << COUNT_BITS | count
+    return pa.RecordBatch.from_arrays(
+        [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(place, pa.int64())], ["anchor", "content", "id", "key", "place"]
+    )
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict = {}
     for batch in batches:
-        for _, _, corpus in _slices(batch, 1, seen):
+        for _, _, corpus in _slices(batch, 2, seen):
             yield pa.RecordBatch.from_arrays([pa.array(corpus.blocks()[0].view(np.int64))], ["anchor"])
 
 
@@ -125,30 +129,25 @@ def _blocks(bits):
         seen: dict = {}
         words, mask = bits.value, np.uint64(len(bits.value) * 64 - 1)
         for batch in batches:
-            for a, texts, corpus in _slices(batch, 1, seen):
+            for a, _, corpus in _slices(batch, 2, seen):
                 anchor, start, count = corpus.blocks()
                 at = anchor & mask
                 use = (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
                 anchor, start, count = anchor[use], start[use], count[use]
-                content = corpus.stretch(start, start + count + WINDOW - 1)
-                ids = batch.column(0).take(pa.array(corpus.doc[start] + a if len(start) else [], pa.int64()))
-                place = _places(corpus, texts, start, count) if len(start) else start
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), ids, pa.array(place, pa.int64())], ["anchor", "content", "id", "place"])
+                yield _entries(batch, a, corpus, anchor, corpus.stretch(start, start + count + WINDOW - 1), start, count)
 
     return run
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of the listed blocks: (anchor, window, id, place)."""
+    """The windows of the listed blocks."""
     seen: dict = {}
     for batch in batches:
-        lists = batch.column(2).to_pylist()
-        for a, texts, corpus in _slices(batch, 1, seen):
+        lists = batch.column(3).to_pylist()
+        for a, texts, corpus in _slices(batch, 2, seen):
             anchor, start, count = corpus.blocks()
-            if not len(start):
-                continue
-            place = _places(corpus, texts, start, count)
             doc = corpus.doc[start]
+            place = (start - corpus.starts[doc]) << COUNT_BITS | count
             use = np.zeros(len(start), bool)
             bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
             for d in range(len(texts)):
@@ -157,30 +156,57 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             anchor, start, count = anchor[use], start[use], count[use]
             which = np.repeat(np.arange(len(start)), count)
             first = start[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-            hashes = corpus.stretch(first, first + WINDOW)
-            ids = batch.column(0).take(pa.array(corpus.doc[first] + a if len(first) else [], pa.int64()))
-            at = _places(corpus, texts, first, np.ones(len(first), np.int64)) if len(first) else first
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[which].view(np.int64)), pa.array(hashes.view(np.int64)), ids, pa.array(at, pa.int64())], ["anchor", "content", "id", "place"])
+            yield _entries(batch, a, corpus, anchor[which], corpus.stretch(first, first + WINDOW), first, np.ones(len(first), np.int64))
 
 
-def removed_words(text: bytes | None, places: list[int] | None) -> tuple[list[bytes], np.ndarray]:
-    """The words of a text and which of them its duplicate blocks cover."""
+def parse(found: list | None) -> list[tuple[int, int, int, int]]:
+    """Factors (start, n_words, ref_id, ref_start) of one text, from left to right, from what stands earlier of it.
+
+    `found` has (place, ref_id, ref_start) of blocks and windows, each once. A
+    factor takes all that follows as long as text and reference both go on
+    without a gap; the next one begins with the first window that it lacks, so
+    factors overlap by WINDOW - 1 words where one window takes up another reference.
+    """
+    out: list[tuple[int, int, int, int]] = []
+    start = windows = ref = at = None
+    for place, ref_id, ref_start in sorted(found or ()):
+        s, n = place >> COUNT_BITS, place & ((1 << COUNT_BITS) - 1)
+        if start is not None and s == start + windows and ref_id == ref and ref_start == at + windows:
+            windows += n
+            continue
+        if start is not None:
+            out.append((start, windows + WINDOW - 1, ref, at))
+        start, windows, ref, at = s, n, ref_id, ref_start
+    if start is not None:
+        out.append((start, windows + WINDOW - 1, ref, at))
+    return out
+
+
+def removed_words(text: bytes | None, found: list | None) -> tuple[list[bytes], np.ndarray]:
+    """The words of a text and which of them its factors cover."""
     words = text.split() if text else []
     edge = np.zeros(len(words) + 1, np.int64)
-    tag = _tag(text)
-    for p in places or ():
-        if p >> (START_BITS + COUNT_BITS) == tag:
-            start, count = p >> COUNT_BITS & ((1 << START_BITS) - 1), p & ((1 << COUNT_BITS) - 1)
-            edge[start] += 1
-            edge[start + count + WINDOW - 1] -= 1
+    for start, n, _, _ in parse(found):
+        edge[start] += 1
+        edge[start + n] -= 1
     return words, np.cumsum(edge)[:-1] > 0
 
 
+def _found(batch: pa.RecordBatch) -> Iterator[list]:
+    """The lists (place, ref_id, ref_start) of each row of a batch (id, text, found)."""
+    column = batch.column(2)
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    ends = column.offsets.to_numpy()
+    flat = list(zip(*(f.to_pylist() for f in column.values.flatten()), strict=True))
+    for i, valid in enumerate(column.is_valid().to_pylist()):
+        yield flat[ends[i] : ends[i + 1]] if valid else []
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, gone, digest = [], [], []
-        for text, places in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            words, out = removed_words(text, places)
+        for text, found in zip(batch.column(1).cast(pa.binary()).to_pylist(), _found(batch), strict=True):
+            words, out = removed_words(text, found)
             if out.any():
                 words = [words[i] for i in np.flatnonzero(~out).tolist()]
             n.append(len(out))
@@ -192,23 +218,35 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _kept_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept = []
-        for text, places in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            words, out = removed_words(text, places)
+        for text, found in zip(batch.column(1).cast(pa.binary()).to_pylist(), _found(batch), strict=True):
+            words, out = removed_words(text, found)
             kept.append(b" ".join(words[i] for i in np.flatnonzero(~out).tolist()).decode())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], ["id", "kept_text"])
 
 
+FACTORS = "array<struct<start:bigint,n_words:bigint,ref_id:bigint,ref_start:bigint>>"
+
+
+def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ("start", "n_words", "ref_id", "ref_start")
+    kind = pa.list_(pa.struct([(x, pa.int64()) for x in names]))
+    for batch in batches:
+        rows = [[dict(zip(names, f, strict=True)) for f in parse(found)] for found in _found(batch)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["id", "factors"])
+
+
 def _start() -> Column:
-    return F.shiftright("place", COUNT_BITS).bitwiseAND(F.lit((1 << START_BITS) - 1))
+    return F.shiftright("place", COUNT_BITS)
 
 
 def _later(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of rows (anchor, content, id, place): those whose content stands earlier, and the first rows of each content."""
-    order = F.struct("id", _start().alias("start"), "place")
-    firsts = cut(rows.groupBy("anchor", "content").agg(F.min(order).alias("f"), F.count("*").alias("n")).select("anchor", "content", F.col("f.id").alias("first_id"), F.col("f.start").alias("first_start"), F.col("f.place").alias("first_place"), "n"), "firsts")
-    again = firsts.where("n > 1").select("anchor", "content", "first_id", "first_start")
-    later = rows.join(again, ["anchor", "content"]).where((F.col("id") != F.col("first_id")) | (_start() != F.col("first_start")))
-    return later.select("id", "place"), firsts
+    """Of rows (anchor, content, id, key, place): those whose content stands earlier, with its first place, and the first rows of each content."""
+    order = F.struct("id", _start().alias("start"), "key", "place")
+    firsts = rows.groupBy("anchor", "content").agg(F.min(order).alias("f"), F.count("*").alias("n"))
+    firsts = cut(firsts.select("anchor", "content", F.col("f.id").alias("ref_id"), F.col("f.start").alias("ref_start"), F.col("f.key").alias("ref_key"), F.col("f.place").alias("ref_place"), "n"), "firsts")
+    again = firsts.where("n > 1").select("anchor", "content", "ref_id", "ref_start")
+    later = rows.join(again, ["anchor", "content"]).where((F.col("id") != F.col("ref_id")) | (_start() != F.col("ref_start")))
+    return later.select("id", "key", "place", "ref_id", "ref_start"), firsts
 
 
 def _filter(shared: DataFrame) -> np.ndarray:
@@ -226,24 +264,26 @@ def _filter(shared: DataFrame) -> np.ndarray:
 
 
 def duplicate_places(docs: DataFrame) -> DataFrame:
-    """(id, place): the blocks of windows of `docs` (id, text) that stand earlier in the corpus."""
-    schema = "anchor bigint, content bigint, id bigint, place bigint"
+    """(id, key, place, ref_id, ref_start): the blocks of windows of `docs` (id, key, text) that stand earlier in the corpus, and where."""
+    schema = "anchor bigint, content bigint, id bigint, key bigint, place bigint"
     anchors = docs.mapInArrow(_anchors, "anchor bigint")
     shared = cut(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     bits = docs.sparkSession.sparkContext.broadcast(_filter(shared))
     rows = cut(docs.mapInArrow(_blocks(bits), schema).join(shared, "anchor"), "blocks")
-    factors, firsts = _later(rows)
+    found, firsts = _later(rows)
     mixed = cut(firsts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "boundaries")
-    listed = firsts.join(mixed, "anchor").groupBy(F.col("first_id").alias("id")).agg(F.collect_list("first_place").alias("places"))
-    windows = cut(docs.join(listed, "id").select("id", "text", "places").mapInArrow(_windows, schema), "windows")
+    listed = firsts.join(mixed, "anchor").groupBy(F.col("ref_id").alias("id"), F.col("ref_key").alias("key")).agg(F.collect_set("ref_place").alias("places"))
+    windows = cut(docs.join(listed, ["id", "key"]).select("id", "key", "text", "places").mapInArrow(_windows, schema), "windows")
     checked, _ = _later(windows)
-    return factors.unionByName(checked)
+    return found.unionByName(checked)
 
 
-def _with_places(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("id"), F.col("text").cast("string").alias("text"))
-    spans = duplicate_places(rows).groupBy("id").agg(F.collect_list("place").alias("places"))  # a document's own blocks
-    return rows.join(cut(spans, "spans"), "id", "left").select("id", "text", "places")
+def _with_found(docs: DataFrame) -> DataFrame:
+    """(id, text, found) of each row of `docs`. Rows are told apart by id and text, so equal rows share one list and no others do."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    spans = duplicate_places(rows).groupBy("id", "key").agg(F.collect_set(F.struct("place", "ref_id", "ref_start")).alias("found"))  # a text's own blocks
+    return rows.join(cut(spans, "spans"), ["id", "key"], "left").select("id", "text", "found")
 
 
 def _named(found: DataFrame) -> DataFrame:
@@ -258,12 +298,22 @@ def dedup_digest(docs: DataFrame) -> DataFrame:
     order, so of equal places neither removes the other. Windows are judged on
     the input. Other columns are ignored; an empty table gives no rows.
     """
-    return _named(_with_places(docs).mapInArrow(_digests, "id bigint, n_words bigint, n_removed bigint, kept_sha256 string"))
+    return _named(_with_found(docs).mapInArrow(_digests, "id bigint, n_words bigint, n_removed bigint, kept_sha256 string"))
 
 
 def dedup_texts(docs: DataFrame) -> DataFrame:
     """doc_id, kept_text: what is left of each text, its words joined by one space."""
-    return _named(_with_places(docs).mapInArrow(_kept_texts, "id bigint, kept_text string"))
+    return _named(_with_found(docs).mapInArrow(_kept_texts, "id bigint, kept_text string"))
+
+
+def factors(docs: DataFrame) -> DataFrame:
+    """doc_id, start, n_words, ref_id, ref_start: the factors of each row of `docs`, in words; ref_id is null where a row without an id is the reference.
+
+    A reference may be the document itself, further left. Rows that share a
+    doc_id count as one document.
+    """
+    rows = _named(_with_found(docs).mapInArrow(_factors, f"id bigint, factors {FACTORS}")).select("doc_id", F.explode("factors").alias("f"))
+    return rows.select("doc_id", "f.start", "f.n_words", F.when(F.col("f.ref_id") != NULL_ID, F.col("f.ref_id")).alias("ref_id"), "f.ref_start")
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
