@@ -5,7 +5,8 @@ blocks of words; sources, and then each source's shards, get whole numbers of
 blocks by the highest quotients votes / (2 seats + 1). Inside a shard the
 documents stand in seeded order, and the quota is a run of blocks that starts
 at a seeded block and goes round the shard's stream as often as needed. What a
-document gives is then plain arithmetic on its place in the stream.
+document gives is then plain arithmetic on its place in the stream. Equal rows
+are counted before anything is ordered.
 """
 
 from __future__ import annotations
@@ -79,61 +80,76 @@ def sizes_of(docs: DataFrame) -> DataFrame:
 
 
 def plan_mix(sized: DataFrame, weights=WEIGHTS, share=SHARE, repeat=REPEAT, block=BLOCK_WORDS, seed=SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, and where the document lies: passes, lo, hi.
-
-    `sized` has doc_id, source and size; nothing else is used. A document is
-    taken `passes` times whole and once more from word lo to word hi.
+    """What is taken of each kind of row of `sized` (doc_id, source, size, and `row` where rows have a key of their own).
+
+    Rows that are equal in these columns are one kind, so that no number of
+    them fills a shard. The result has those columns, source_size, target, n
+    (rows of the kind) and passes, start, shard_size, lo and rest: the n rows
+    stand one after the other in the stream of their shard, the first from word
+    `start` on, each is taken `passes` times whole, and what lies in the run
+    of `rest` words from word `lo` on, round the shard, once more.
     """
     spark = sized.sparkSession
+    kinds = sized.groupBy(*sized.columns).agg(F.count("*").alias("n"))
+    kinds = cut(kinds, "kinds")
     # One row per source.
-    rows = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
+    rows = kinds.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("n")).collect()
     rows.sort(key=lambda r: (r["source"] is None, [ord(c) for c in r["source"] or ""]))
     sizes = [int(r["n"] or 0) for r in rows]
     total = sum(sizes)
     targets = fill_targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], share * total, repeat)
     shard_words = max(SHARD_WORDS, total / MAX_SHARDS)
     shards = [max(1, round(n / shard_words)) for n in sizes]
-    dim = spark.createDataFrame(
-        [(r["source"], n, t, k) for r, n, t, k in zip(rows, sizes, targets, shards, strict=True)],
-        "source string, source_size bigint, target double, shards int",
-    ) if rows else spark.createDataFrame([], "source string, source_size bigint, target double, shards int")
+    dim = spark.createDataFrame([(r["source"], n, t, k) for r, n, t, k in zip(rows, sizes, targets, shards, strict=True)], "source string, source_size bigint, target double, shards int")
     # Sources are few (one row each); beyond the session's limit Spark joins them by sorting.
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string")))
-    keyed = sized.alias("d").join(dim.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("doc_id", "d.source", "size", "source_size", "target", order.alias("o"), (_seeded(seed + 1, "doc_id") % F.col("shards")).cast("int").alias("shard"))
-    held = keyed.groupBy("source", "shard").agg(F.sum("size").alias("n")).collect()
+    by = ["row"] if "row" in sized.columns else ["doc_id"]
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in by]))
+    own = [F.col(f"d.{c}") for c in kinds.columns]
+    keyed = kinds.alias("d").join(dim.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select(*own, "source_size", "target", order.alias("o"), (_seeded(seed + 1, *by) % F.col("shards")).cast("int").alias("shard"))
+    held = keyed.groupBy("source", "shard").agg(F.sum(F.col("size") * F.col("n")).alias("n")).collect()  # MAX_SHARDS at most, and a row for each source
     held.sort(key=lambda r: (r["source"] is None, [ord(c) for c in r["source"] or ""], r["shard"]))
     blocks = sainte_lague(targets, int(min(share, repeat) * total) // block, [int(repeat * n) // block for n in sizes])
     quota, by_source = [], {r["source"]: [] for r in rows}
     for x in held:
         by_source[x["source"]].append(x)
     for r, seats in zip(rows, blocks.tolist(), strict=True):
-        own = by_source[r["source"]]
-        dealt = sainte_lague([x["n"] for x in own], seats, [int(repeat * x["n"]) // block for x in own])
-        quota += [(x["source"], x["shard"], int(x["n"]), int(k) * block) for x, k in zip(own, dealt.tolist(), strict=True)]
+        mine = by_source[r["source"]]
+        dealt = sainte_lague([x["n"] for x in mine], seats, [int(repeat * x["n"]) // block for x in mine])
+        quota += [(x["source"], x["shard"], int(x["n"]), int(k) * block) for x, k in zip(mine, dealt.tolist(), strict=True)]
     quota = spark.createDataFrame(quota, "source string, shard int, shard_size bigint, quota bigint")
-    w = Window.partitionBy("d.source", "d.shard").orderBy("o", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = keyed.alias("d").withColumn("end", F.sum("size").over(w))
-    placed = placed.join(quota.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d.shard") == F.col("q.shard")))
-    start = F.col("end") - F.col("size")
-    placed = placed.select(
-        "doc_id", "d.source", "size", "source_size", "target", start.alias("start"), "end", "shard_size",
-        F.when(F.col("shard_size") > 0, F.floor(F.col("quota") / F.col("shard_size"))).otherwise(0).alias("passes"),
-        F.when(F.col("shard_size") > 0, F.col("quota") % F.col("shard_size")).otherwise(0).alias("rest"),
-        (_seeded(seed + 2, "d.source", "d.shard") % F.greatest(F.lit(1), F.ceil(F.col("shard_size") / block)) * block).alias("from"),
-    )
-    # The run [from, from + rest) goes round the shard; a document meets it at one or two places.
-    meet = lambda a, b: F.greatest(F.lit(0), F.least("end", b) - F.greatest("start", a))
-    stop = F.col("from") + F.col("rest")
-    first, second = meet(F.col("from"), stop), meet(F.lit(0), stop - F.col("shard_size"))
-    lo = F.greatest("start", "from") - F.col("start")
+    w = Window.partitionBy("source", "shard").orderBy("o", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    words = F.col("size") * F.col("n")
+    placed = keyed.withColumn("start", F.sum(words).over(w) - words)
+    placed = placed.alias("d").join(quota.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d.shard") == F.col("q.shard")))
+    full = F.col("shard_size") > 0
     return placed.select(
-        "doc_id", "source", "size", "source_size", "target",
-        (F.col("passes") * F.col("size") + first + second).cast("bigint").alias("taken"),
-        F.col("passes").cast("int").alias("passes"),
-        F.array(F.struct(lo.cast("int").alias("lo"), first.cast("int").alias("n")), F.struct(F.lit(0).alias("lo"), second.cast("int").alias("n"))).alias("parts"),
+        *own, "source_size", "target", "start", "shard_size",
+        F.when(full, F.floor(F.col("quota") / F.col("shard_size"))).otherwise(0).cast("int").alias("passes"),
+        F.when(full, F.col("quota") % F.col("shard_size")).otherwise(0).alias("rest"),
+        (_seeded(seed + 2, "d.source", "d.shard") % F.greatest(F.lit(1), F.ceil(F.col("shard_size") / block)) * block).alias("lo"),
     )
 
 
+def _parts(start: Column) -> tuple[Column, Column]:
+    """Of a row whose words begin at `start` of the stream: (lo, n) of its words in the run, and of those in the run's part that has gone round."""
+    meet = lambda a, b: F.greatest(F.lit(0), F.least(start + F.col("size"), b) - F.greatest(start, a))
+    stop = F.col("lo") + F.col("rest")
+    part = lambda lo, n: F.struct(lo.cast("int").alias("lo"), n.cast("int").alias("n"))
+    return part(F.greatest(start, "lo") - start, meet(F.col("lo"), stop)), part(F.lit(0), meet(F.lit(0), stop - F.col("shard_size")))
+
+
+def _each(plan: DataFrame) -> DataFrame:
+    """A row for each row of a kind: `plan` with `parts`, the words of it that the run takes."""
+    nth = plan.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    return nth.withColumn("parts", F.array(*_parts(F.col("start") + F.col("nth") * F.col("size"))))
+
+
+def _taken(sized: DataFrame, **how) -> DataFrame:
+    each = _each(plan_mix(sized, **how))
+    taken = F.col("passes") * F.col("size") + F.col("parts")[0]["n"] + F.col("parts")[1]["n"]
+    return each.select("doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+
+
 def mix(docs: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken: one row per row of `docs`.
 
@@ -142,33 +158,50 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     shard. Repeated rows are taken on their own places. Sources without a word
     have target 0. Other columns are ignored; an empty table gives no rows.
     """
-    return plan_mix(sizes_of(docs), **how).select("doc_id", "size", "source_size", "target", "taken")
+    return _taken(sizes_of(docs), **how)
+
+
+def _free(name: str, columns: list[str]) -> str:
+    """`name`, with as many underscores as it takes to differ from all columns."""
+    used = {c.lower() for c in columns}
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
 def mixed_texts(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: the columns of `docs` and `copy`, one row for each copy that is taken.
 
     Whole copies keep their text; a part has its words joined by one space, and
-    n_chars (where there is such a column) counts what is there. Rows that
-    share a doc_id must be told apart by the caller: the mix is planned by id,
-    size and source, and rows alike in these get the same copies.
+    n_chars (where there is such a column) counts what is there. Copies of a
+    row are numbered from 0. If `docs` has a column `copy` the number's name
+    gets an underscore. Rows are told apart by all their columns (maps aside);
+    of rows that are equal in all, each is taken `passes` times, and the parts
+    are taken from one of them, so the words are those of the plan.
     """
-    plan = plan_mix(sizes_of(docs), **how).where("taken > 0")
-    plan = plan.groupBy("doc_id", "source", "size").agg(F.max_by(F.struct("passes", "parts"), "taken").alias("m"))
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "m")
-    sized = docs.withColumn("__n", word_count("text"))
-    both = sized.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size")))
-    whole = F.transform(F.sequence(F.lit(1), F.col("m.passes")), lambda i: F.struct(F.lit(0).alias("lo"), F.col("__n").cast("int").alias("n")))
-    whole = F.when(F.col("m.passes") > 0, whole).otherwise(F.array().cast("array<struct<lo:int,n:int>>"))
-    out = both.select(*docs.columns, "__n", F.posexplode(F.filter(F.concat(whole, "m.parts"), lambda x: x["n"] > 0)).alias("copy", "__p"))
-    words = F.split(F.regexp_replace("text", f"^{GAPS}|{GAPS}$", ""), GAPS)
-    text = F.when(F.col("__p.n") == F.col("__n"), F.col("text")).otherwise(F.array_join(F.slice(words, F.col("__p.lo") + 1, F.col("__p.n")), " "))
-    out = out.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("bigint"))
-    return out.drop("__n", "__p")
+    names = docs.columns
+    field = lambda c: F.col(f"__d.`{c}`")
+    keyed = docs.select(F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]).alias("__row"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__d"))
+    # Words are counted once; the plan is written, as two branches read it.
+    sized = cut(docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]).alias("row")), "sizes")
+    plan = cut(plan_mix(sized, **how).where("passes > 0 or rest > 0").select("row", "size", "n", "passes", "start", "lo", "rest", "shard_size"), "plan")
+    real = lambda parts: F.filter(parts, lambda x: x["n"] > 0)
+    whole = F.transform(F.sequence(F.lit(1), F.col("passes")), lambda i: F.struct(F.lit(0).alias("lo"), F.col("size").cast("int").alias("n")))
+    whole = F.when((F.col("passes") > 0) & (F.col("size") > 0), whole).otherwise(F.array().cast("array<struct<lo:int,n:int>>"))
+    once, many = plan.where("n = 1"), plan.where("n > 1")
+    single = once.select("row", "size", real(F.concat(whole, F.array(*_parts(F.col("start"))))).alias("parts"))
+    alike = many.select("row", "size", whole.alias("parts"))
+    out = keyed.join(single.unionByName(alike), F.col("__row") == F.col("row")).select("__d", "size", F.posexplode("parts").alias("nth", "p"))
+    # Of rows that occur several times one stands for the parts.
+    rest = _each(many).select("row", "size", "passes", "nth", F.posexplode(real(F.col("parts"))).alias("k", "p"))
+    rest = rest.select("row", "size", (F.col("passes") + 2 * F.col("nth") + F.col("k")).cast("int").alias("nth"), "p")
+    one = keyed.join(many.select(F.col("row").alias("__row")), "__row", "left_semi").groupBy("__row").agg(F.first("__d").alias("__d"))
+    out = out.unionByName(one.join(rest, F.col("__row") == F.col("row")).select("__d", "size", "nth", "p"))
+    words = F.split(F.regexp_replace(field("text"), f"^{GAPS}|{GAPS}$", ""), GAPS)
+    text = F.when(F.col("p.n") == F.col("size"), field("text")).otherwise(F.array_join(F.slice(words, F.col("p.lo") + 1, F.col("p.n")), " "))
+    made = {"text": text} | ({"n_chars": F.length(text).cast("bigint")} if "n_chars" in names else {})
+    return out.select(*[made.get(c, field(c)).alias(c) for c in names], F.col("nth").alias(_free("copy", names)))
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
-    sized = cut(sizes_of(table(spark, sf_dir, "documents")), "sizes")
-    return plan_mix(sized).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents"))
