@@ -246,7 +246,7 @@ CLEAN = ["4111111111111112", "2023-02-30", "GB83WEST12345698765432", "256.1.1.1"
 
 def test_pseudonyms_keep_format_and_link(make):
     texts = [f"x {c}, y\n{c}" for c in CASES] + [f"<{c}>" for c in CASES] + CLEAN + [None, "", "straße " * 3]
-    rows = {r["doc_id"]: r for r in pii.pseudonymise(make(texts)).collect()}
+    rows = {r["doc_id"]: r for r in pii.pseudonymise(make(texts), "k").collect()}
     for i, (c, kind) in enumerate(CASES.items()):
         new, again = rows[i]["text"].removeprefix("x ").split(", y\n")
         assert new == again == rows[i + len(CASES)]["text"][1:-1] != c and rows[i]["n_pii"] == 2
@@ -264,13 +264,13 @@ def test_pseudonyms_keep_format_and_link(make):
 def test_pseudonyms_are_permutations(spark, make):
     cards = [f"{i:03d}{'1' * 9}" for i in range(300)]
     cards = [next(c + d for d in "0123456789" if luhn(c + d)) for c in (x + "0" for x in cards)]
-    new = [r["text"] for r in pii.pseudonymise(make(cards)).collect()]
+    new = [r["text"] for r in pii.pseudonymise(make(cards), "k").collect()]
     assert len(set(new)) == len(cards) and all(map(luhn, new))
     days = spark.range(0, 3000).select("id", F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
-    out = pii.pseudonymise(days)
+    out = pii.pseudonymise(days, "k")
     assert out.select("text").distinct().count() == 3000 and out.where(F.col("text").try_cast("date").isNull()).count() == 0
     other = [r["text"] for r in pii.pseudonymise(make(cards), "another key").collect()]
-    assert other != new and pii.pseudonymise(make(cards).limit(0)).count() == 0
+    assert other != new and pii.pseudonymise(make(cards).limit(0), "k").count() == 0
 
 
 def test_masks_survive_two_changes():

@@ -12,12 +12,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wickwork.llm.common import table
 
-KEY, ROUNDS = "set a key of your own", 8
+ROUNDS = 8
+#: Where a session, or else the environment, keeps the key.
+KEY_CONF, KEY_ENV = "spark.wickwork.pseudonym.key", "WICKWORK_PSEUDONYM_KEY"
+#: The key of the given synthetic tables, in which nobody is named; whoever knows a key can turn pseudonyms back.
+TEST_TABLES_KEY = "synthetic tables only"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 YEAR, MONTH, DAY = r"(?:18|19|20|21)\d\d", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])"
 PATTERNS = {
@@ -155,7 +161,20 @@ def _date(day: Column, key: str) -> Column:
     return let(feistel(halves, F.array(*map(F.lit, RADICES)), key, "date"), lambda x: F.date_add(start, x[0] * RADICES[1] + x[1]))
 
 
-def pseudonym(found: Column, key: str = KEY) -> Column:
+def session_key(spark: SparkSession) -> str:
+    """The session's key (KEY_CONF, then KEY_ENV); where neither is set that of the synthetic tables, which protects nothing."""
+    return spark.conf.get(KEY_CONF, None) or os.environ.get(KEY_ENV) or TEST_TABLES_KEY
+
+
+def _email(text: Column, at: Column, key: str) -> Column:
+    """Name and domain are permuted apart, so that addresses of one domain stay together; the last label stays."""
+    domain = F.substring(text, at + 1, F.length(text))
+    top = F.substring_index(domain, ".", -1)
+    host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
+    return F.concat(_permute_alnum(F.substring(text, F.lit(1), at - 1), key, "email"), F.lit("@"), _permute_alnum(host, key, "domain"), top)
+
+
+def pseudonym(found: Column, key: str) -> Column:
     """The pseudonym of one match of PATTERNS; null if it fails its check."""
     at = F.instr(found, "@")
     iso, dot = found.try_cast("date"), F.substring(found, 3, 1)
@@ -164,7 +183,7 @@ def pseudonym(found: Column, key: str = KEY) -> Column:
     country = F.regexp_extract(found, r"^(\+\d{1,3}[ .-](?=\(?\d)|\+\d)?", 0)
     whole = lambda kind: found.rlike(f"^(?:{PATTERNS[kind]})$")
     return (
-        F.when(at > 0, F.concat(_permute_alnum(F.substring(found, F.lit(1), at - 1), key, "email"), F.substring(found, at, F.length(found))))
+        F.when(at > 0, _email(found, at, key))
         .when(whole("ip"), F.array_join(feistel(octets, F.array_repeat(F.lit(256), 4), key, "ip").cast("array<string>"), "."))
         .when(whole("iso_date"), F.date_format(_date(iso, key), "yyyy-MM-dd"))
         .when(whole("day_date"), F.replace(F.date_format(_date(day, key), "dd-MM-yyyy"), F.lit("-"), dot))
@@ -176,25 +195,30 @@ def pseudonym(found: Column, key: str = KEY) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """The columns of `docs` with text replaced, and n_pii, the values replaced.
+def pseudonymise(docs: DataFrame, key: str, counted: str = "n_pii") -> DataFrame:
+    """The columns of `docs` with text replaced, and the number of values replaced in the column `counted`.
 
-    Null and empty texts stay as they are with n_pii 0. Every other column,
-    n_chars too, is left alone. Rows are independent, so repeated rows stay equal.
+    Null and empty texts stay as they are with 0 replaced. Every other column,
+    n_chars too, is left alone; `counted` must be no column of `docs`. Rows are
+    independent, so repeated rows stay equal.
     """
+    if counted.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"there is a column {counted}; name another one for the count")
     pattern = "|".join(PATTERNS.values())
     # Of the groups only the card's separator is numbered; its reference holds in the joined pattern.
-    text = F.col("text").cast("string")
+    text = F.col("__text")
     may = F.coalesce(text.rlike(r"[0-9@]|[a-fA-F]{32}"), F.lit(False))
     found = F.when(may, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    named = docs.withColumn("__found", found)
-    named = named.withColumn("__new", F.transform("__found", lambda m: pseudonym(m, key)))
+    # The row is kept in one column, so that no name of it can clash.
+    inside = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__d"), F.col("text").cast("string").alias("__text"))
+    named = inside.withColumn("__found", found).withColumn("__new", F.transform("__found", lambda m: pseudonym(m, key)))
     filled = F.zip_with("__new", "__found", lambda n, m: F.coalesce(n, m))
     joined = F.array_join(F.zip_with(F.split(text, pattern, -1), F.concat(filled, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     count = F.size(F.filter("__new", lambda x: x.isNotNull()))
-    out = named.withColumn("text", F.when(F.exists("__new", lambda x: x.isNotNull()), joined).otherwise(text))
-    return out.withColumn("n_pii", count).drop("__found", "__new")
+    new = F.when(F.exists("__new", lambda x: x.isNotNull()), joined).otherwise(text)
+    return named.select(*[(new if c == "text" else F.col(f"__d.`{c}`")).alias(c) for c in docs.columns], count.alias(counted))
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_pii")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, session_key(spark))
