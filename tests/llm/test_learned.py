@@ -34,19 +34,34 @@ def languages(make):
 def test_languages(make):
     docs = languages(make)
     models = language_id.learn(docs)
-    assert set(models) == set(SYLLABLES)
-    more = make([(9000, None), (9001, ""), (9002, "12 34 !!"), (9003, text("cc", 20_000, 1)), (9003, text("cc", 20_000, 1))], lang=None)
+    assert set(models.dictionaries) == set(SYLLABLES) and 0 < models.margin < 0.2
+    more = make([(9000, None), (9001, ""), (9002, "12 34 !!"), (9004, "½ ² ①"), (9003, text("cc", 20_000, 1)), (9003, text("cc", 20_000, 1))], lang=None)
     got = language_id.identify(docs.unionByName(more), models).collect()
     lang = {1000 * k + i: x for k, x in enumerate(SYLLABLES) for i in range(60)}
     known = [r for r in got if r["doc_id"] < 9000]
     assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in known) >= 0.97 * len(known)
-    assert {r["lang_pred"] for r in got if 9000 <= r["doc_id"] <= 9002} == {"und"} and {r["lang_pred"] for r in got if r["doc_id"] == 9003} == {"cc"}
-    assert all(0 <= r["score"] <= 1 for r in got) and len(got) == 185
+    assert {r["lang_pred"] for r in got if 9000 <= r["doc_id"] <= 9004 and r["doc_id"] != 9003} == {"und"} and {r["lang_pred"] for r in got if r["doc_id"] == 9003} == {"cc"}
+    assert all(0 <= r["score"] <= 1 for r in got) and len(got) == 186
     kept = language_id.keep_identified(docs.unionByName(more), models)
     assert kept.columns == docs.columns and kept.where("lang is null").count() == 0 and kept.where("doc_id between 9000 and 9002").count() == 0
     assert kept.where("rejected and n = 4 and key = 'k'").count() == kept.count() > 170
-    assert language_id.learn(docs.limit(0)) == {}
-    assert {r["lang_pred"] for r in language_id.identify(more, {}).collect()} == {"und"}
+    assert language_id.learn(docs.limit(0)) == language_id.Model()
+    assert {r["lang_pred"] for r in language_id.identify(more, language_id.Model()).collect()} == {"und"}
+    # A text of one language and its own dictionary is smaller than with another's: the same by hand.
+    compressors = language_id._compressors(models.dictionaries)
+    for r in docs.limit(20).collect():
+        data = r["text"].lower().encode()
+        data = data if len(data) >= language_id.SHORT else (data + b" ") * language_id.TIMES
+        sizes = {lang: len(c.compress(data)) for lang, c in compressors}
+        assert language_id.classify(r["text"], compressors)[0] == min(sizes, key=sizes.get)
+
+
+def test_junk_and_unlearned_texts_are_rejected(make, spark):
+    model = language_id.learn(languages(make))
+    rng = random.Random(6)
+    junk = [" ".join("".join(rng.choice("bcdfgkmpqvwxyz") for _ in range(rng.randint(2, 8))) for _ in range(200)) for _ in range(30)]
+    got = language_id.identify(make(junk + [text("bb", 8, 7000 + k) for k in range(30)]), model).collect()
+    assert sum(r["rejected"] for r in got if r["doc_id"] < 30) >= 24 and sum(r["rejected"] for r in got if r["doc_id"] >= 30) <= 2
 
 
 def scored(df, labels):
