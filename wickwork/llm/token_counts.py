@@ -1,12 +1,17 @@
 """Token counts by trie-shared dynamic programming.
 
 Words are cut into pieces of a public vocabulary so that the sum of unigram
-scores is highest. A vocabulary of ranked pieces holds no probabilities;
-Zipf's law gives them: a piece of rank r scores -ln(r + ZIPF). The best score
-of a prefix does not depend on what follows, so the distinct words of a
-partition are put in a trie and each shared prefix is scored once; a word's
-count stands at its terminal node. Characters that no piece covers are cut
-into UTF-8 bytes, one token each.
+scores is highest. The vocabulary ranks its pieces but holds no probabilities,
+and tokenizers are not trained here; Zipf's law gives the scores, -ln(r + ZIPF)
+for a piece of rank r. The counts are therefore those of the best cut under
+these scores, not of the model's own merges; README gives the difference. The
+best score of a prefix does not depend on what follows, so the distinct words
+of a partition are put in a trie and each shared prefix is scored once; a
+word's count stands at its terminal node. Characters that no piece covers are
+cut into UTF-8 bytes, one token each.
+
+Each task scores the distinct words that it meets. Scoring each word of the
+corpus once would take a shuffle of (document, word) pairs, more than the text.
 """
 
 from __future__ import annotations
@@ -68,15 +73,15 @@ def trie_counts(words: list[str], scores: dict[str, float], byte: float) -> dict
 def _counter(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores, byte = model.value
-        known: dict[str, int] = {}
+        known: dict[bytes, int] = {}
         for batch in batches:
             tokens, words = [], []
             for _, texts in text_slices(batch.column(1)):
-                split = [t.decode().split() if t else [] for t in texts]
+                split = [t.split() if t else [] for t in texts]
                 if len(known) > REMEMBER:
                     known.clear()
-                new = set().union(*split).difference(known)
-                known |= trie_counts(list(new), scores, byte)
+                new = {w.decode(): w for w in set().union(*split).difference(known)}
+                known.update((new[w], n) for w, n in trie_counts(list(new), scores, byte).items())
                 tokens += [sum(map(known.__getitem__, s)) for s in split]
                 words += [len(s) for s in split]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
@@ -87,8 +92,8 @@ def _counter(model):
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_words, n_tokens: one row per row of `docs`, over whole texts.
 
-    Words are what Python's str.split gives. Null, empty and blank texts have
-    0 of both. Repeated rows get equal rows; other columns are ignored. The
+    Words are what stands between spaces and U+0009 to U+000D. Null, empty and
+    blank texts have 0 of both. Repeated rows get equal rows; other columns are ignored. The
     vocabulary is read by the driver and broadcast; it has a fixed size.
     """
     model = docs.sparkSession.sparkContext.broadcast(load_scores(vocabulary))
