@@ -16,27 +16,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wickwork.llm.common import crc_mod, held_out, table, text_slices
 
 FOLDS, HELD, CALIBRATE = 5, 0, 1
-BUCKETS, DIM, REACH, NONZERO = 8192, 16, 2, 4
-#: Bytes of text whose word vectors are held at once: few enough for the cache.
-SLICE = 1 << 17
+BUCKETS, DIM, REACH, NONZERO = 8192, 64, 2, 4
+#: Bytes of text whose words are held at once, and the counts (documents by buckets) held at once.
+SLICE, COUNTS = 1 << 19, 1 << 22
 #: Labelled rows that are read at most.
 SAMPLE, HIDDEN, EPOCHS, SEED = 20_000, 24, 60, 5
 TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+")
 
 
-def index_vectors() -> np.ndarray:
-    """Sparse ternary index vectors, the same everywhere."""
+def index_places() -> tuple[np.ndarray, np.ndarray]:
+    """Sparse ternary index vectors, the same everywhere: NONZERO places of each bucket and their signs."""
     rng = np.random.default_rng(SEED)
-    r = np.zeros((BUCKETS, DIM), np.int64)
-    at = rng.random((BUCKETS, DIM)).argsort(axis=1)[:, :NONZERO]
-    np.put_along_axis(r, at, rng.choice((-1, 1), (BUCKETS, NONZERO)), axis=1)
-    return r
+    places = rng.random((BUCKETS, DIM)).argsort(axis=1)[:, :NONZERO]
+    return places.astype(np.int32), rng.choice((-1.0, 1.0), (BUCKETS, NONZERO))
 
 
 def _bucket(token: bytes) -> int:
@@ -64,57 +63,59 @@ def _buckets(texts: list[bytes | None], seen: dict[bytes, int]) -> tuple[np.ndar
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per bucket that the partition holds: how often, and the sums of its neighbours' index vectors."""
-    r = np.vstack([index_vectors(), np.zeros((1, DIM), np.int64)]).astype(np.float32)
-    total, count, seen = np.zeros((BUCKETS, DIM)), np.zeros(BUCKETS, np.int64), {}
+    """One row per bucket that the partition holds: the sums of its neighbours' index vectors, whose few places are counted one by one."""
+    places, signs = index_places()
+    total, found, seen = np.zeros(BUCKETS * DIM), np.zeros(BUCKETS, bool), {}
     for batch in batches:
         for _, texts in text_slices(batch.column(0), SLICE):
             ids, sizes = _buckets(texts, seen)
-            if not len(ids):
-                continue
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            context = np.zeros((len(ids), DIM), np.float32)
+            found[ids] = True
+            doc, own, other = np.repeat(np.arange(len(sizes)), sizes), [], []
             for k in range(1, REACH + 1):
                 same = doc[k:] == doc[:-k]
-                context[k:] += r[np.where(same, ids[:-k], BUCKETS)]
-                context[:-k] += r[np.where(same, ids[k:], BUCKETS)]
-            order = np.argsort(ids.astype(np.uint16), kind="stable")
-            own, first = np.unique(ids[order], return_index=True)
-            total[own] += np.add.reduceat(context[order], first, axis=0)
-            count += np.bincount(ids, minlength=BUCKETS)
-    own = np.flatnonzero(count)
-    sums = total[own].astype(np.int64)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(own.astype(np.int32)), pa.array(count[own]), *[pa.array(sums[:, i]) for i in range(DIM)]],
-        ["bucket", "n", *[f"v{i}" for i in range(DIM)]],
-    )
+                a, b = ids[k:][same], ids[:-k][same]
+                own += [a, b]
+                other += [b, a]
+            base, beside = np.concatenate(own) * np.int32(DIM), np.concatenate(other)
+            for j in range(NONZERO):
+                total += np.bincount(base + places[beside, j], weights=signs[beside, j], minlength=len(total))
+    own = np.flatnonzero(found)
+    sums = total.reshape(BUCKETS, DIM)[own].astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *[pa.array(sums[:, i]) for i in range(DIM)]], ["bucket", *[f"v{i}" for i in range(DIM)]])
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """BUCKETS x DIM unit vectors from the texts of all documents; sums are whole numbers, so runs agree."""
     names = [f"v{i}" for i in range(DIM)]
-    schema = "bucket int, n bigint, " + ", ".join(f"{x} bigint" for x in names)
-    sums = docs.select(F.col("text").cast("string")).mapInArrow(_neighbours, schema)
-    rows = sums.groupBy("bucket").agg(*[F.sum(x).alias(x) for x in names]).collect()  # BUCKETS rows at most
+    sums = docs.select(F.col("text").cast("string")).mapInArrow(_neighbours, "bucket int, " + ", ".join(f"{x} bigint" for x in names))
+    rows = sums.groupBy("bucket").agg(*[F.sum(x).alias(x) for x in names]).toArrow()  # BUCKETS rows at most
     vectors = np.zeros((BUCKETS, DIM))
-    for row in rows:
-        vectors[row["bucket"]] = [row[x] for x in names]
-    vectors += index_vectors() * np.maximum(1, np.linalg.norm(vectors, axis=1, keepdims=True) / 4)
+    vectors[rows["bucket"].to_numpy()] = np.column_stack([rows[x].to_numpy() for x in names])
+    # A word's own index vector stands for it where there are few neighbours.
+    places, signs = index_places()
+    own = np.zeros_like(vectors)
+    np.put_along_axis(own, places, signs, axis=1)
+    vectors += own * np.maximum(1, np.linalg.norm(vectors, axis=1, keepdims=True) / 4)
     return (vectors / np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))).astype(np.float32)
 
 
 def pool(texts: pa.Array, vectors: np.ndarray, seen: dict) -> np.ndarray:
-    """Mean and spread of the word vectors of each text; zeros for a text without words."""
+    """Mean and spread of the word vectors of each text, from the counts of its buckets; zeros for a text without words."""
     out, both = np.zeros((len(texts), 2 * DIM)), np.hstack([vectors, vectors * vectors])
     for a, some in text_slices(texts, SLICE):
         ids, sizes = _buckets(some, seen)
         full = np.flatnonzero(sizes)
-        if not len(full):
-            continue
-        first = (np.cumsum(sizes) - sizes)[full]
-        mean = np.add.reduceat(both[ids], first, axis=0, dtype=np.float64) / sizes[full][:, None]
-        spread = np.sqrt(np.maximum(0, mean[:, DIM:] - mean[:, :DIM] ** 2))
-        out[a + full] = np.hstack([mean[:, :DIM], spread])
+        used = np.unique(ids)
+        at = np.zeros(BUCKETS, np.int64)
+        at[used] = np.arange(len(used))
+        ends, step = np.cumsum(sizes[full]), max(1, COUNTS // max(1, len(used)))
+        for i in range(0, len(full), step):
+            part = full[i : i + step]
+            n = sizes[part]
+            words = at[ids[ends[i] - n[0] : ends[i + len(part) - 1]]]
+            counts = np.bincount(np.repeat(np.arange(len(part)), n) * len(used) + words, minlength=len(part) * len(used)).reshape(len(part), -1)
+            mean = (counts.astype(np.float32) @ both[used]).astype(np.float64) / n[:, None]
+            out[a + part] = np.hstack([mean[:, :DIM], np.sqrt(np.maximum(0, mean[:, DIM:] - mean[:, :DIM] ** 2))])
     return out
 
 
@@ -177,17 +178,22 @@ def label_sample(labels: DataFrame, label: str, limit: int = SAMPLE) -> DataFram
     return rows.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(limit)
 
 
-def train(docs: DataFrame, labels: DataFrame, vectors, label: str = "quality"):
-    """The network from the labelled rows of `labels`; None where there is no labelled text."""
-    sample = F.broadcast(label_sample(labels, label))  # SAMPLE rows at most
-    rows = docs.join(sample, "doc_id").select("doc_id", crc_mod("doc_id", FOLDS).alias("fold"), "y", F.col("text").cast("string"))
+def one_text(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """(doc_id, y, text) of each id of `sample` (doc_id, y): one row an id, of several texts the one whose hash is the smallest."""
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(sample), "doc_id")  # `sample` is bounded
+    return rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
+def train(docs: DataFrame, labels: DataFrame, vectors, label: str = "quality", limit: int = SAMPLE):
+    """The network from at most `limit` labelled ids; None where there is no labelled text."""
+    rows = one_text(docs, label_sample(labels, label, limit)).select("doc_id", crc_mod("doc_id", FOLDS).alias("fold"), "y", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInArrow(_pooler(vectors), f"doc_id {kind}, fold bigint, y double, got array<float>").collect()
-    if not got:
+    got = rows.mapInArrow(_pooler(vectors), f"doc_id {kind}, fold bigint, y double, got array<float>").toArrow().sort_by("doc_id")
+    if not got.num_rows:
         return None
-    got = sorted(got, key=lambda r: (r["doc_id"], r["got"]))[: 2 * SAMPLE]
-    x, y = np.array([r["got"] for r in got], np.float64), np.array([r["y"] for r in got])
-    return Network(x, y, np.array([r["fold"] == CALIBRATE for r in got]))
+    x = pc.list_flatten(got["got"]).to_numpy().reshape(got.num_rows, -1).astype(np.float64)
+    return Network(x, got["y"].to_numpy(), got["fold"].to_numpy() == CALIBRATE)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
