@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wickwork.llm.common import cut, held_out, table
+from wickwork.llm.quality import label_sample, one_text
 
 FOLDS, HELD = 4, 2
-#: Labelled documents that are read at most; features of fewer of them than MIN_SHARE (and MIN_DOCS) are left out.
-SAMPLE, MIN_DOCS, MIN_SHARE, MAX_FEATURES, SEED = 20_000, 3, 0.001, 2_000, 7
+#: Labelled documents that are read at most. A feature takes part if MIN_DOCS of them have it and it is commoner in
+#: toxic ones by SIGMAS standard deviations; MAX_FEATURES bounds the model, the most significant ones first.
+SAMPLE, MIN_DOCS, SIGMAS, MAX_FEATURES, SEED = 20_000, 3, 3.0, 20_000, 7
 #: Lengths of the beginnings that count besides the word itself.
-STEMS = (4, 5)
+STEMS = (3, 4, 5, 6, 7)
 ROUNDS, LASSO = 250, 0.35
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -116,7 +118,7 @@ class NoisyOr:
 
 
 def sentence_scores(text: str | None, model: NoisyOr, seen: dict[str, tuple]) -> tuple[float, list]:
-    """The document's score and its offending sentences (start, end, score): those of 0.5 and more.
+    """The document's score and its offending sentences (start, end, score, sentence): those of 0.5 and more.
 
     Starts and ends count characters of the text; a null or empty text has the leak alone.
     """
@@ -135,18 +137,19 @@ def sentence_scores(text: str | None, model: NoisyOr, seen: dict[str, tuple]) ->
         none *= 1 - p
         if p >= 0.5:
             # Lower-casing can lengthen a text; its places are then bounded by the text.
-            found.append((min(m.start(), len(text)), min(m.end(), len(text)), float(p)))
+            a, b = min(m.start(), len(text)), min(m.end(), len(text))
+            found.append((a, b, float(p), text[a:b].strip()))
     return float(1 - none), found
 
 
 def _scorer(model):
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("sentence", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict = {}
         for batch in batches:
             got = [sentence_scores(t.as_py(), model.value, seen) for t in batch.column(1)]
-            spans = [[{"start": a, "end": b, "score": p} for a, b, p in x] for _, x in got]
+            spans = [[dict(zip(("start", "end", "score", "sentence"), y, strict=True)) for y in x] for _, x in got]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "offending"])
 
     return run
@@ -155,14 +158,11 @@ def _scorer(model):
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = SAMPLE) -> NoisyOr:
     """The model from at most `limit` labelled documents, chosen by a hash of the id; null labels are left out.
 
-    Features are counted by Spark. Candidates are those that are frequent
-    enough and commoner among toxic documents than chance, MAX_FEATURES at
-    most; only they reach the driver.
+    Features are counted by Spark. Only those that take part reach the driver,
+    and of the documents only where these stand.
     """
     spark = docs.sparkSession
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
-    sample = F.broadcast(known.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(limit))  # `limit` rows at most
-    rows = cut(docs.join(sample, "doc_id").select("doc_id", "y", F.col("text").cast("string")), "labelled")
+    rows = cut(one_text(docs, label_sample(labels, label, limit)).select("doc_id", "y", "text"), "labelled")
     counts = rows.mapInArrow(_counted, "feature bigint, n bigint, hits double").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
     counts = cut(counts, "features")
     whole = counts.where("feature = -1").first()
@@ -170,12 +170,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
         return NoisyOr(float(whole["hits"] / whole["n"]) * (1 - 1e-6) if whole else 0.0)
     rate = whole["hits"] / whole["n"]
     lift = (F.col("hits") + rate) / (F.col("n") + 1) - rate
-    enough = F.col("n") >= max(MIN_DOCS, MIN_SHARE * whole["n"])
-    chance = 2 * F.sqrt(F.lit(rate * (1 - rate)) / (F.col("n") + 1))
-    best = counts.where((F.col("feature") >= 0) & enough & (lift > chance)).orderBy(F.desc(lift / chance), "feature").limit(MAX_FEATURES).collect()
-    if not best:
+    chance = SIGMAS * F.sqrt(F.lit(rate * (1 - rate)) / (F.col("n") + 1))
+    able = counts.where((F.col("feature") >= 0) & (F.col("n") >= MIN_DOCS) & (lift > chance))
+    best = able.orderBy(F.desc(lift / chance), "feature").limit(MAX_FEATURES).select("feature").toArrow()["feature"].to_numpy()
+    if not len(best):
         return NoisyOr(float(rate))
-    chosen = spark.sparkContext.broadcast(np.array(sorted(r["feature"] for r in best), np.int64))
+    chosen = spark.sparkContext.broadcast(np.sort(best))
     kind = docs.schema["doc_id"].dataType.simpleString()
     bags = rows.mapInArrow(_bags(chosen), f"doc_id {kind}, y double, sentences bigint, sentence array<bigint>, feature array<bigint>")
     got = bags.toArrow().sort_by([("doc_id", "ascending"), ("sentences", "ascending")])  # `limit` rows, of chosen features alone
@@ -185,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, score, offending (array of start, end, score): one row per row of `docs`.
+    """doc_id, score, offending (array of start, end, score, sentence): one row per row of `docs`.
 
     Null, empty and blank texts have the leak as score and no sentence. Without
     labelled texts all scores are 0. Repeated rows get equal scores, other
@@ -194,11 +194,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string"))
-    return rows.mapInArrow(_scorer(model), f"doc_id {kind}, score double, offending array<struct<start:int,end:int,score:double>>")
+    return rows.mapInArrow(_scorer(model), f"doc_id {kind}, score double, offending array<struct<start:int,end:int,score:double,sentence:string>>")
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = held_out("doc_id", FOLDS, HELD)
     scored = score_toxicity(docs, labels.where(~held))
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("offending").alias("n_offending"), "offending")
