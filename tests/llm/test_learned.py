@@ -106,9 +106,10 @@ def test_toxicity(make, spark):
 def test_pipeline(make, spark, tmp_path, prose):
     item = prose(40, 77)
     texts = [text("aa", 60 + i % 40, i) for i in range(80)]
-    texts += [texts[3], texts[3], f"{texts[5]} {item}", texts[6] + " call +1 (017) 555-7713 now", None, ""]
-    docs = make(texts, clash=False).withColumn("source", F.when(F.col("doc_id") % 3 == 0, "x").otherwise("y"))
-    docs = docs.unionByName(make([(5000 + i, text("cc", 60, i)) for i in range(20)], lang="cc", clash=False))
+    own = text("aa", 70, "of its own")
+    texts += [texts[3], texts[3], f"{texts[5]} {item}", texts[6] + " call +1 (017) 555-7713 now", None, "", own + " call +1 (017) 555-7713 now"]
+    docs = make(texts).withColumns({"m": F.lit(1), "copy": F.lit("c"), "n_pii": F.lit(2), "a.b": F.lit(3)}).withColumn("source", F.when(F.col("doc_id") % 3 == 0, "x").otherwise("y"))
+    docs = docs.unionByName(make([(5000 + i, text("cc", 60, i)) for i in range(20)], lang="cc").withColumns({"m": F.lit(1), "copy": F.lit("c"), "n_pii": F.lit(2), "a.b": F.lit(3)}))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     now, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), []
@@ -120,11 +121,14 @@ def test_pipeline(make, spark, tmp_path, prose):
             assert now.columns == docs.columns
     assert len(corpus_pipeline.STAGES) == 5
     assert not seen[0] & {84, 85} and len(seen[0]) >= 100
-    assert 3 in seen[1] and not seen[1] & {80, 81}
+    # 83 is document 6 and five words more, 62 / 67 of their shingles: a near copy by the rule of 0.8.
+    assert {3, 6, 86} <= seen[1] and not seen[1] & {80, 81, 83}
     assert 82 not in seen[2] and len(seen[1] - seen[2]) == 1
-    assert spark.read.parquet(str(tmp_path / "stage3")).where("text like '%555-7713%'").count() == 0 and 83 in seen[3]
+    assert spark.read.parquet(str(tmp_path / "stage3")).where("text like '%555-7713%'").count() == 0 and 86 in seen[3]
+    (row,) = spark.read.parquet(str(tmp_path / "stage3")).where("doc_id = 86").collect()
+    assert row["text"].startswith(own + " call +1 (") and (row["m"], row["copy"], row["n_pii"], row["a.b"]) == (1, "c", 2, 3) and row["n_chars"] == len(row["text"])
     again = corpus_pipeline.run(spark, str(tmp_path))
-    assert sorted(map(str, again.collect())) == sorted(map(str, now.select(again.columns).collect()))
+    assert sorted(map(str, again.collect())) == sorted(map(str, now.select([f"`{c}`" for c in again.columns]).collect()))
     empty = tmp_path / "empty"
     docs.limit(0).write.parquet(str(empty / "documents.parquet"))
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(empty / "benchmark.parquet"))

@@ -5,7 +5,7 @@ neighbour list is ever gathered, and nothing but two numbers a round reaches
 the driver. A hub may have as many edges as its component has nodes: minima
 are aggregated before they are shuffled, and written before they are joined
 back, so that both sides of the join are shuffled for it and adaptive
-execution can split the hub's rows.
+execution can split the hub's rows. Tables of a round are removed after it.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wickwork.llm.common import cut
+from wickwork.sources.scratch import fresh, remove, store
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -26,22 +26,24 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Nodes without an edge to another node are not returned. Null ends and
     self-links are ignored; repeated edges do not matter.
     """
-    e = cut(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
-        "edges",
-    )
+    spark = edges.sparkSession
+    root = fresh(spark, "components")
+    e = store(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{root}/edges0")
     mark = _mark(e)
-    for _ in range(max_rounds):
+    for k in range(1, max_rounds + 1):
         if not mark[0]:
             break
+        work = f"{root}/round{k}"
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        low = store(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{work}/low")
+        large = store(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{work}/large")
+        low = store(large.groupBy("u").agg(F.min("v").alias("m")), f"{work}/lower")
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        e = store(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{root}/edges{k}")
         last, mark = mark, _mark(e)
+        remove(spark, work)
+        remove(spark, f"{root}/edges{k - 1}")
         if mark == last:
             break
     else:

@@ -152,7 +152,7 @@ def keep_one(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = simhas
     once = docs.join(gone, match, "left_anti")
     order = Window.partitionBy("__root").orderBy(F.col("text").asc_nulls_last())
     many = docs.join(tied.withColumnRenamed("root", "__root"), match).withColumn("__nth", F.row_number().over(order)).where("__nth = 1")
-    return once.unionByName(many.select(*docs.columns))
+    return once.unionByName(many.select(*[f"`{c}`" for c in docs.columns]))
 
 
 def op7_simhash_dedup(spark, sf_dir: str) -> DataFrame:
