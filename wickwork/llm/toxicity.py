@@ -23,9 +23,10 @@ from wickwork.llm.common import cut, held_out, table
 from wickwork.llm.quality import label_sample, one_text
 
 FOLDS, HELD = 4, 2
-#: Labelled documents that are read at most. A feature takes part if MIN_DOCS of them have it and it is commoner in
-#: toxic ones by SIGMAS standard deviations; MAX_FEATURES bounds the model, the most significant ones first.
-SAMPLE, MIN_DOCS, SIGMAS, MAX_FEATURES, SEED = 20_000, 3, 3.0, 20_000, 7
+#: Labelled documents that are read at most. A feature takes part if MIN_DOCS of their texts have it and toxic ones are
+#: LIFT times as common among these as among all and by SIGMAS standard deviations more; MAX_FEATURES bounds the model,
+#: the most significant ones first.
+SAMPLE, MIN_DOCS, LIFT, SIGMAS, MAX_FEATURES, SEED = 20_000, 3, 2.0, 3.0, 20_000, 7
 #: Lengths of the beginnings that count besides the word itself.
 STEMS = (3, 4, 5, 6, 7)
 ROUNDS, LASSO = 250, 0.35
@@ -60,19 +61,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bags(chosen):
-    """(doc_id, y, sentences, sentence, feature): how many sentences there are, and the chosen features of those that have any."""
+    """(doc_id, y, sentences, sentence, feature): how many sentences there are, and the places in `chosen` of the features of those that have any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, known = {}, set(chosen.value.tolist())
+        seen, known = {}, {f: i for i, f in enumerate(chosen.value.tolist())}
         for batch in batches:
             count, sentence, feature = [], [], []
             for t in batch.column(2).to_pylist():
                 parts = SENTENCE.findall((t or "").lower())
-                own = [(i, f) for i, s in enumerate(parts) for f in sorted(_of(set(WORD.findall(s)), seen) & known)]
+                own = [(i, known[f]) for i, s in enumerate(parts) for f in sorted(_of(set(WORD.findall(s)), seen)) if f in known]
                 count.append(len(parts))
                 sentence.append([i for i, _ in own])
                 feature.append([f for _, f in own])
-            columns = [pa.array(count, pa.int64()), pa.array(sentence, pa.list_(pa.int64())), pa.array(feature, pa.list_(pa.int64()))]
+            columns = [pa.array(count, pa.int32()), pa.array(sentence, pa.list_(pa.int32())), pa.array(feature, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "y", "sentences", "sentence", "feature"])
 
     return run
@@ -88,11 +89,11 @@ class NoisyOr:
     def fit(self, y: np.ndarray, sentences: np.ndarray, pairs: np.ndarray, sentence: np.ndarray, feature: np.ndarray) -> NoisyOr:
         """Full-batch Adam on the noisy-or likelihood with an L1 step.
 
-        Of each document its label, its sentences and its pairs; of each pair the sentence and the feature in it.
+        Of each document its label (between 0 and 1), its sentences and its pairs; of each pair the sentence and the feature in it.
         """
         names, word = np.unique(feature, return_inverse=True)
         wide = int(sentence.max(initial=0)) + 1
-        both, sentence = np.unique(np.repeat(np.arange(len(y)), pairs) * wide + sentence, return_inverse=True)
+        both, sentence = np.unique(np.repeat(np.arange(len(y)), pairs) * wide + sentence.astype(np.int64), return_inverse=True)
         doc = both // wide
         plain = sentences - np.bincount(doc, minlength=len(y))
         sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
@@ -103,7 +104,7 @@ class NoisyOr:
             p, base, lam = sigmoid(bias + np.bincount(sentence, weights=w[word], minlength=len(doc))), sigmoid(bias), sigmoid(leak)
             none = np.log1p(-lam) + np.bincount(doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y)) + plain * np.log1p(-base)
             clear = np.exp(none)
-            push = np.where(y > 0, -clear / np.maximum(1e-9, 1 - clear), 1.0)
+            push = (1 - y) - y * clear / np.maximum(1e-9, 1 - clear)
             g = p * push[doc]
             grad = np.concatenate([np.bincount(word, weights=g[sentence], minlength=len(names)), [g.sum() + (base * plain * push).sum(), (lam * push).sum()]])
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
@@ -158,11 +159,13 @@ def _scorer(model):
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = SAMPLE) -> NoisyOr:
     """The model from at most `limit` labelled documents, chosen by a hash of the id; null labels are left out.
 
-    Features are counted by Spark. Only those that take part reach the driver,
-    and of the documents only where these stand.
+    Equal texts are read once, with their mean label. Features are counted by
+    Spark. Only those that take part reach the driver, and of the documents
+    only where these stand.
     """
     spark = docs.sparkSession
-    rows = cut(one_text(docs, label_sample(labels, label, limit)).select("doc_id", "y", "text"), "labelled")
+    rows = one_text(docs, label_sample(labels, label, limit)).groupBy(F.xxhash64("text")).agg(F.min("doc_id").alias("doc_id"), F.avg("y").alias("y"), F.first("text").alias("text"))
+    rows = cut(rows.select("doc_id", "y", "text"), "labelled")
     counts = rows.mapInArrow(_counted, "feature bigint, n bigint, hits double").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
     counts = cut(counts, "features")
     whole = counts.where("feature = -1").first()
@@ -171,17 +174,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
     rate = whole["hits"] / whole["n"]
     lift = (F.col("hits") + rate) / (F.col("n") + 1) - rate
     chance = SIGMAS * F.sqrt(F.lit(rate * (1 - rate)) / (F.col("n") + 1))
-    able = counts.where((F.col("feature") >= 0) & (F.col("n") >= MIN_DOCS) & (lift > chance))
+    often = F.col("hits") >= LIFT * rate * F.col("n")
+    able = counts.where((F.col("feature") >= 0) & (F.col("n") >= MIN_DOCS) & often & (lift > chance))
     best = able.orderBy(F.desc(lift / chance), "feature").limit(MAX_FEATURES).select("feature").toArrow()["feature"].to_numpy()
     if not len(best):
         return NoisyOr(float(rate))
     chosen = spark.sparkContext.broadcast(np.sort(best))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    bags = rows.mapInArrow(_bags(chosen), f"doc_id {kind}, y double, sentences bigint, sentence array<bigint>, feature array<bigint>")
+    bags = rows.mapInArrow(_bags(chosen), f"doc_id {kind}, y double, sentences int, sentence array<int>, feature array<int>")
     got = bags.toArrow().sort_by([("doc_id", "ascending"), ("sentences", "ascending")])  # `limit` rows, of chosen features alone
     pairs = pc.list_value_length(got["feature"]).to_numpy()
     flat = lambda name: pc.list_flatten(got[name]).to_numpy()
-    return NoisyOr().fit(got["y"].to_numpy(), got["sentences"].to_numpy().astype(float), pairs, flat("sentence"), flat("feature"))
+    return NoisyOr().fit(got["y"].to_numpy(), got["sentences"].to_numpy().astype(float), pairs, flat("sentence"), np.sort(best)[flat("feature")])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
