@@ -101,20 +101,42 @@ def test_cutoff_is_inclusive(spark):
 @pytest.mark.parametrize(("close", "kept"), [(94.0, 0), (94.1, 1)])
 def test_opposite_filter(spark, close, kept):
     spot = bars(spark, [(100.0, 100.0, 90.0, close)], "x").drop("expiry", "symbol")
-    sig = spark.createDataFrame([("EVT", "C-EVT-1-1", at(0))], "spot string, symbol string, entry_ts timestamp")
+    sig = spark.createDataFrame([("EVT", 60, "C-EVT-1-1", at(0))], "spot string, duration int, symbol string, entry_ts timestamp")
     assert filters.apply_opposite_filter(sig, spot).count() == kept
     assert filters.apply_opposite_filter(sig.withColumn("spot", F.lit("none")), spot).count() == 1
 
 
 def test_asof(spark):
     spot = spots(spark, [1.0, 2.0], duration=60)
-    left = spark.createDataFrame([("EVT", at(30)), ("EVT", at(60)), ("EVT", at(-1)), ("EVT", at(5000))], "spot string, ts timestamp")
+    left = spark.createDataFrame([("EVT", at(30)), ("EVT", at(60)), ("EVT", at(-1)), ("EVT", at(5000))], "spot string, ts timestamp").withColumn("duration", F.lit(60))
     want = [(-1, None), (30, 1.0), (60, 2.0), (5000, 2.0)]
     minutes = (F.unix_seconds("ts") - 1_704_067_200) / 60
     for got in (asof.with_spot(left, spot), asof.asof_join(left, spot.select("spot", "ts", F.col("close").alias("spot_close")), "ts", ["spot"], ["spot_close"], bucket_days=1)):
         assert sorted(one(got, minutes, "spot_close"), key=lambda x: x[0]) == want
 
 
+def test_spot_is_that_of_the_duration(spark):
+    spot = spots(spark, [7.0] * 60, 5).unionByName(spots(spark, [2.0, 3.0, 4.0, 5.0], 60)).unionByName(spots(spark, [100.0, 200.0], 240))
+    left = spark.createDataFrame([("EVT", d, at(m)) for d in (60, 240) for m in (0, 130, 239, 241, 5000, -5)] + [("EVT", 15, at(10))], "spot string, duration int, ts timestamp")
+    want = {(60, 0): 2.0, (60, 130): 4.0, (60, 239): 5.0, (60, 241): 5.0, (60, 5000): 5.0, (60, -5): None, (240, 0): 100.0, (240, 130): 100.0, (240, 239): 100.0, (240, 241): 200.0, (240, 5000): 200.0, (240, -5): None, (15, 10): None}
+    minutes = ((F.unix_seconds("ts") - 1_704_067_200) / 60).cast("int")
+    for got in (asof.with_spot(left, spot), asof.with_spot(left, spot, days=None), asof.with_spot(left, spot, days=3), asof.with_spot_bar(left, spot)):
+        assert {(r[0], r[1]): r[2] for r in got.select("duration", minutes, "spot_close").collect()} == want
+
+
+def test_days_of_a_series_are_apart(spark):
+    """Bucketed and plain joins agree, and no window of the bucketed one holds a whole series."""
+    import random
+
+    rng = random.Random(1)
+    spot = spark.createDataFrame([("EVT", 60, at(rng.randrange(60_000)), float(i)) for i in range(200)], "spot string, duration int, ts timestamp, close double")
+    left = spark.createDataFrame([("EVT", 60, at(rng.randrange(-3000, 80_000)), i) for i in range(500)], "spot string, duration int, ts timestamp, i int")
+    got = [sorted(map(str, asof.with_spot(left, spot, days=d).collect())) for d in (None, 1, 7)]
+    assert got[0] == got[1] == got[2]
+    plan = asof.with_spot(left, spot)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("__b" in line for line in plan.splitlines() if "Window" in line)
+
+
 def test_bands(spark):
     df = spark.createDataFrame([(0.0, -1.5, 12.5)], "z double, a double, b double")
     got = df.select(bands.band_tightest(F.col("z"), bands.EMA_SPREAD_BANDS).alias("e"), bands.band_tightest(F.col("z"), bands.VOLATILITY_BANDS).alias("v"), bands.band_label(bands.bucket_first(F.col("a"), bands.MONEYNESS_BUCKETS), bands.MONEYNESS_BUCKETS).alias("l"), bands.band_label(bands.bucket_first(F.col("b"), bands.MONEYNESS_BUCKETS), bands.MONEYNESS_BUCKETS).alias("h"))

@@ -37,7 +37,7 @@ def _shape(df: DataFrame, signal: str, places: int = 4, **given: Column) -> Data
     """Rows of SIGNAL: the entry bar's columns, what the detector gives, and nulls."""
     entry = {"signal": F.lit(signal), "entry_ts": F.col("ts"), "entry_price": F.col("close"), "trigger_high": F.col("high"), "trigger_price": half_up(F.col("high"), places), "peak_after": F.col("peak_after"), "peak_bars": F.col("peak_bars")}
     have = entry | given
-    return df.select(*SERIES, *[have.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in SIGNAL.items()])
+    return df.select(*SERIES, *[have.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in SIGNAL.items()], *[c for c in df.columns if c == "spot_bar"])
 
 
 def _numbered(candles: DataFrame, least: int) -> DataFrame:
@@ -67,6 +67,8 @@ def _red_runs(candles: DataFrame, min_seq: int) -> DataFrame:
             "run_lows": F.sum(mine("low")).over(sofar),
             "run_low": F.min(mine("low")).over(sofar),
             "run_high": F.max(mine("high")).over(sofar),
+            # The spot that the run's first bar has seen; candles without spot have none.
+            "run_spot": F.min(F.when(F.col("__red"), F.struct("ts", spot_seen(candles).alias("s")))).over(sofar)["s"],
         }
     )
     return runs.where(is_green() & F.col("__prev") & (F.col("run_len") >= min_seq))
@@ -84,9 +86,19 @@ def detect_red_squeeze(candles: DataFrame, spot: DataFrame | None = None, min_se
     )
 
 
-def _otm_at(rows: DataFrame, spot: DataFrame, at: str) -> DataFrame:
-    """Rows that are out of the money at the time `at`, with spot_close."""
-    named = with_instrument_cols(with_spot(rows, spot, at))
+def spot_seen(candles: DataFrame) -> Column:
+    """The spot close at each bar, where there is one."""
+    return F.col("spot_close") if "spot_close" in candles.columns else F.lit(None).cast("double")
+
+
+def _spotted(candles: DataFrame, spot: DataFrame | None) -> DataFrame:
+    """Candles with spot_close: each bar looks it up once, and patterns take that of their first bar."""
+    return candles if "spot_close" in candles.columns else with_spot(candles, spot)
+
+
+def _otm(rows: DataFrame) -> DataFrame:
+    """Rows that are out of the money at run_spot, which becomes their spot_close."""
+    named = with_instrument_cols(rows.withColumn("spot_close", F.col("run_spot")))
     return named.where(is_otm(F.col("opt_type"), F.col("strike"), F.col("spot_close")))
 
 
@@ -96,7 +108,7 @@ def _distance() -> Column:
 
 def detect_otm_red_squeeze(candles: DataFrame, spot: DataFrame, min_seq: int = MIN_SEQ, min_value: float = OTM_THRESHOLD) -> DataFrame:
     """The same shape out of the money at its start; the value is spot over the mean of the pattern's lows and the entry's close."""
-    rows = _otm_at(_red_runs(candles, min_seq), spot, "run_start")
+    rows = _otm(_red_runs(_spotted(candles, spot), min_seq))
     average, value = strength(F.col("run_lows") + F.col("low"), F.col("close"), F.col("run_len") + 1, F.col("spot_close"))
     found = rows.withColumns({"__avg": average, "__v": value}).where(F.col("__v") >= min_value)
     return _shape(
@@ -114,7 +126,7 @@ def detect_green_stairs(candles: DataFrame, spot: DataFrame, min_seq: int = MIN_
     A chain is a maximal stretch of green bars whose bodies do not fall; every
     max_equal + 1 equal steps in it a new run begins.
     """
-    t = Window.partitionBy(*SERIES).orderBy("ts")
+    t, candles = Window.partitionBy(*SERIES).orderBy("ts"), _spotted(candles, spot)
     rows = _numbered(candles, min_seq + 2).withColumn("__g", is_green() & (F.col("__n") > 1))
     rows = rows.withColumns({"__prev": F.coalesce(F.lag("__g").over(t), F.lit(False)), "__body": F.lag("body").over(t)})
     chained = F.col("__g") & F.col("__prev") & (F.col("body") >= F.col("__body"))
@@ -129,12 +141,12 @@ def detect_green_stairs(candles: DataFrame, spot: DataFrame, min_seq: int = MIN_
     # The step that opens a run by exhausting the budget is no equal step of it.
     runs = rows.withColumns(
         {
-            "run_len": F.count("*").over(whole), "nth": F.row_number().over(asc), "run_start": F.first("ts").over(whole), "first_body": F.first("body").over(whole),
+            "run_len": F.count("*").over(whole), "nth": F.row_number().over(asc), "run_start": F.first("ts").over(whole), "run_spot": F.first("spot_close").over(whole), "first_body": F.first("body").over(whole),
             "run_lows": F.sum("low").over(whole), "run_low": F.min("low").over(whole), "run_high": F.max("high").over(whole),
             "equal": F.sum("__equal").over(whole) - F.when(F.col("__part") > 0, 1).otherwise(0),
         }
     ).where((F.col("nth") == F.col("run_len")) & (F.col("run_len") >= min_seq))
-    named = _otm_at(runs, spot, "run_start")
+    named = _otm(runs)
     average, value = strength(F.col("run_lows"), F.col("close"), F.col("run_len"), F.col("spot_close"))
     found = named.withColumns({"__avg": average, "__v": value}).where(F.col("__v") >= min_value)
     return _shape(
@@ -167,14 +179,14 @@ def with_wall_value(candles: DataFrame) -> DataFrame:
 def detect_otm_wall(candles: DataFrame, spot: DataFrame, min_value: float = JUMP, multiple: float = CLOSE_MULTIPLE) -> DataFrame:
     """A green bar whose wall value jumps by min_value over one of the two bars before, closing at least `multiple` times that bar's close."""
     t = Window.partitionBy(*SERIES).orderBy("ts")
-    rows = with_wall_value(_numbered(candles, LOOKBACK + 2))
+    rows = with_wall_value(_numbered(_spotted(candles, spot), LOOKBACK + 2))
     jumps = {}
     for k in (1, 2):
         jump = F.col("wall_value") - F.lag("wall_value", k).over(t)
         jumps[f"__j{k}"] = F.when((jump >= min_value) & (F.col("close") >= multiple * F.lag("close", k).over(t)), jump)
     six = t.rowsBetween(-LOOKBACK, Window.currentRow)
-    rows = rows.withColumns(jumps | {"run_start": F.lag("ts", LOOKBACK).over(t), "run_low": F.min("low").over(six), "run_high": F.max("high").over(six)})
-    found = _otm_at(rows.where(is_green()).withColumn("__v", F.greatest("__j1", "__j2")).where("__v is not null"), spot, "run_start")
+    rows = rows.withColumns(jumps | {"run_start": F.lag("ts", LOOKBACK).over(t), "run_spot": F.lag("spot_close", LOOKBACK).over(t), "run_low": F.min("low").over(six), "run_high": F.max("high").over(six)})
+    found = _otm(rows.where(is_green()).withColumn("__v", F.greatest("__j1", "__j2")).where("__v is not null"))
     return _shape(
         found, "otm_wall", pattern_start=F.col("run_start"), seq_length=F.lit(LOOKBACK), dist=half_up(F.col("dist"), 4), log_value=half_up(F.col("wall_value"), 3),
         log_jump=half_up(F.col("__v"), 3), pattern_high=F.col("run_high"), pattern_low=half_up(F.col("run_low"), 4),
@@ -207,10 +219,13 @@ def select_detectors(ids: list[str] | None = None) -> dict[str, Detector]:
 
 
 def run_detectors(candles: DataFrame, spot: DataFrame | None, ids: list[str] | None = None, min_values: dict[str, float] | None = None) -> DataFrame:
-    """All firings of the detectors with their outcomes. Those that need spot are skipped where there is none."""
-    parts = []
+    """All firings of the detectors with their outcomes. Those that need spot are skipped where there is none.
+
+    Candles that have spot_close already (with_spot_bar) are looked up no more, and their firings keep spot_bar.
+    """
+    parts, seen = [], spot is not None or "spot_close" in candles.columns
     for name, d in select_detectors(ids).items():
-        if spot is None and d.requires_spot:
+        if d.requires_spot and not seen:
             continue
         how = {"min_value": (min_values or {})[name]} if name in (min_values or {}) else {}
         parts.append(d.compute(candles, spot, **how))

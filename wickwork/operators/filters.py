@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wickwork.functions.candles import with_instrument_cols
-from wickwork.operators.asof import asof_join
+from wickwork.operators.asof import with_spot_bar
 from wickwork.operators.settlement import tte_hours
 
 #: Fixed values.
@@ -21,12 +21,14 @@ def apply_firing_cutoff(signals: DataFrame, hours: float = CUTOFF_HOURS) -> Data
     return signals.where(left.isNull() | (left >= hours))
 
 
-def apply_opposite_filter(signals: DataFrame, spot: DataFrame, fraction: float = BIG_BODY) -> DataFrame:
-    """Without calls on a big red spot bar and puts on a big green one; big is a body of `fraction` of the range. No bar: kept."""
-    bars = spot.select("spot", F.col("ts").alias("__at"), F.struct("open", "high", "low", "close").alias("__bar"))
-    rows = with_instrument_cols(asof_join(signals, bars, "entry_ts", ["spot"], ["__bar"], "__at"))
-    span = F.col("__bar.high") - F.col("__bar.low")
-    move = F.col("__bar.close") - F.col("__bar.open")
+def apply_opposite_filter(signals: DataFrame, spot: DataFrame | None = None, fraction: float = BIG_BODY) -> DataFrame:
+    """Without calls on a big red spot bar and puts on a big green one; big is a body of `fraction` of the range. No bar: kept.
+
+    The bar is that of the signal's duration at its entry: the column spot_bar, or looked up in `spot`.
+    """
+    rows = with_instrument_cols(signals if "spot_bar" in signals.columns else with_spot_bar(signals, spot, "entry_ts"))
+    span = F.col("spot_bar.high") - F.col("spot_bar.low")
+    move = F.col("spot_bar.close") - F.col("spot_bar.open")
     big = (span > 0) & (F.try_divide(F.abs(move), span) >= fraction)
     against = big & F.when(F.col("opt_type") == "C", move < 0).when(F.col("opt_type") == "P", move > 0).otherwise(False)
     return rows.where(~F.coalesce(against, F.lit(False))).select(*signals.columns)

@@ -24,11 +24,9 @@ def _averages(periods: tuple[int, ...]):
         for p in periods:
             out = np.full(len(close), np.nan)
             if len(close) >= p:
-                k, value = 2 / (p + 1), close[:p].sum() / p
-                out[p - 1] = value
-                for i in range(p, len(close)):
-                    value = close[i] * k + value * (1 - k)
-                    out[i] = value
+                # The recurrence from the mean of the first p closes on.
+                seeded = pd.Series(np.append(close[:p].sum() / p, close[p:]))
+                out[p - 1 :] = seeded.ewm(alpha=2 / (p + 1), adjust=False).mean()
             pdf[f"ema{p}"] = out
         return pdf
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickwork.functions.candles import SERIES
@@ -22,10 +22,14 @@ def with_peak_after(candles: DataFrame, series: list[str] | None = None) -> Data
     return ranked.withColumns({"peak_after": F.col("__p.high"), "peak_bars": -F.col("__p.back") - F.col("__n")}).drop("__n", "__p")
 
 
+def rounded_peak(peak: Column) -> Column:
+    return F.when(F.col("signal") == "red_squeeze", half_up(peak, 3)).otherwise(half_up(peak, 4))
+
+
 def annotate_outcomes(signals: DataFrame) -> DataFrame:
     """state, ratio and broke_out from trigger_high and peak_after: activated if the peak is above the trigger, else slHit; pending on the last bar.
 
-    The trigger is compared unrounded.
+    The trigger is compared unrounded. peak_after keeps 3 places for red_squeeze and 4 for the other signals.
     """
     peak, trigger = F.col("peak_after"), F.col("trigger_high")
     return signals.withColumns(
@@ -33,7 +37,7 @@ def annotate_outcomes(signals: DataFrame) -> DataFrame:
             "state": F.when(peak.isNull(), "pending").when(peak > trigger, "activated").otherwise("slHit"),
             "broke_out": F.coalesce(peak > trigger, F.lit(False)),
             "ratio": F.when(peak.isNull() | (trigger <= 0), 0.0).otherwise(half_up(F.try_divide(peak, trigger), 3)),
-            "peak_after": F.coalesce(half_up(peak, 3), F.lit(0.0)),
+            "peak_after": F.coalesce(rounded_peak(peak), F.lit(0.0)),
             "hold_candles": F.col("peak_bars"),
         }
     ).drop("peak_bars")

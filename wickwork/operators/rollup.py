@@ -65,10 +65,10 @@ def gapless(candles: DataFrame, series: list[str] | None = None) -> DataFrame:
 
 
 def trim_dte(candles: DataFrame, settle: str = "settle_ts", windows: dict[int, float] | None = None) -> DataFrame:
-    """Candles no earlier than a duration's window, plus an hour, before settlement; there is no end."""
+    """Candles no earlier than a duration's window, plus an hour, before settlement; there is no end. An unknown settlement keeps all."""
     dim = candles.sparkSession.createDataFrame([(k, float(v)) for k, v in (windows or START_HOURS).items()], "duration int, window_hours double")
     tte = (F.unix_seconds(settle) - F.unix_seconds("ts")) / 3600
-    return candles.join(F.broadcast(dim), "duration").where(tte <= F.col("window_hours") + 1).drop("window_hours")
+    return candles.join(F.broadcast(dim), "duration").where(tte.isNull() | (tte <= F.col("window_hours") + 1)).drop("window_hours")
 
 
 def strip_warmup(candles: DataFrame, series: list[str] | None = None) -> DataFrame:

@@ -23,16 +23,16 @@ def universe_max(signals: DataFrame, candles: DataFrame, spot: DataFrame | None
     on equal keys; candidates are never paired with signals.
     """
     chain = with_instrument_cols(candles if "peak_after" in candles.columns else with_peak_after(candles)).where("opt_type is not null and strike is not null and close > 0 and peak_after is not null")
-    if otm_only and spot is not None:
-        chain = with_spot(chain, spot).where(F.col("spot_close").isNull() | is_otm(F.col("opt_type"), F.col("strike"), F.col("spot_close")))
+    if otm_only and (spot is not None or "spot_close" in chain.columns):
+        chain = (chain if "spot_close" in chain.columns else with_spot(chain, spot)).where(F.col("spot_close").isNull() | is_otm(F.col("opt_type"), F.col("strike"), F.col("spot_close")))
     ratio = F.col("peak_after") / F.col("close")
-    # The smallest symbol wins ties: it is the largest of the pairs (ratio, -rank of the symbol).
     chain = chain.select(*SLOT, "strike", "symbol", ratio.alias("r")).where("r > 0")
     named = with_instrument_cols(signals)
     sig = named.withColumn("ts", F.col("entry_ts"))
     if mode == "all_same_type":
-        top = chain.groupBy(*SLOT).agg(F.max("r").alias("r"))
-        best = chain.join(top, [*SLOT, "r"]).groupBy(*SLOT).agg(F.first("r").alias("__r"), F.min("symbol").alias("__s"))
+        # The smallest of (-ratio, symbol): of equal ratios the smallest symbol.
+        top = chain.groupBy(*SLOT).agg(F.min(F.struct((-F.col("r")).alias("r"), "symbol")).alias("m"))
+        best = top.select(*SLOT, (-F.col("m.r")).alias("__r"), F.col("m.symbol").alias("__s"))
         out = sig.join(best, SLOT, "left")
     elif mode == "further_otm":
         per = chain.groupBy(*SLOT, "strike").agg(F.max("r").alias("r"), F.min_by("symbol", F.struct(-F.col("r"), F.col("symbol"))).alias("s"))

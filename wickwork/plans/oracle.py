@@ -259,7 +259,7 @@ SQL: dict[str, str] = {
     "green_stairs": f"SELECT {SHOWN.format(last=r('body', 3), ratios=r('body / fb', 3) + ' AS ratio1, 0.0::DOUBLE AS ratio2', low=r('rlow', 4), value=VALUE, trigger=r('high', 4))}, equal::INT AS equal_steps, rhigh AS pattern_high, {r('av', 4)} AS avg_price FROM gst",
     "otm_wall": f"SELECT symbol, {D}, ts AS entry_ts, start AS pattern_start, {r('dist', 4)} AS dist, {r('wv', 3)} AS log_value, {r('jump', 3)} AS signal_value, rhigh AS pattern_high, {r('rlow', 4)} AS pattern_low, {STATE} AS state, {RATIO} AS ratio FROM wal",
     "outcomes": (
-        f"SELECT signal, symbol, {D}, ts AS entry_ts, CASE WHEN signal = 'red_squeeze' THEN {r('high', 3)} ELSE {r('high', 4)} END AS trigger_price, coalesce({r('pk', 3)}, 0.0) AS peak_after, ratio, state, coalesce(pk > high, false) AS broke_out, pkn::INT AS hold_candles FROM sig"
+        f"SELECT signal, symbol, {D}, ts AS entry_ts, CASE WHEN signal = 'red_squeeze' THEN {r('high', 3)} ELSE {r('high', 4)} END AS trigger_price, coalesce(CASE WHEN signal = 'red_squeeze' THEN {r('pk', 3)} ELSE {r('pk', 4)} END, 0.0) AS peak_after, ratio, state, coalesce(pk > high, false) AS broke_out, pkn::INT AS hold_candles FROM sig"
     ),
     "firing_cutoff": f"SELECT symbol, {D}, ts AS entry_ts, {RATIO} AS ratio FROM rsq WHERE ({SETTLE} - ts) / 3600.0 >= 24",
     "opposite_filter": (

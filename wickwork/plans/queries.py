@@ -51,23 +51,24 @@ def _now() -> Column:
 
 
 def _base(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    bars = views.chain_bars(spark, d)
+    """Bars, spot and settlements. The bars are written: settlements and every later step read them."""
+    bars = cut(views.chain_bars(spark, d), "chain")
     return bars, views.spot_bars(spark, d), views.expiries(bars)
 
 
 def _signals(spark: SparkSession, d: str, **how) -> DataFrame:
     bars, spot, settle = _base(spark, d)
-    return run_signals(bars, spot, settle, min_values=FLOORS, **how)
+    return run_signals(bars, spot, settle, min_values=FLOORS, durations=[120], **how)
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
     bars, spot, settle = _base(spark, d)
-    return run_events(bars, spot, settle, min_values=FLOORS)
+    return run_events(bars, spot, settle, min_values=FLOORS, durations=[120])
 
 
 def _tagged(spark: SparkSession, d: str) -> DataFrame:
     bars, spot, settle = _base(spark, d)
-    events = cut(run_events(bars, spot, settle, min_values=FLOORS), "events")
+    events = cut(run_events(bars, spot, settle, min_values=FLOORS, durations=[120]), "events")
     return moneyness.tag_events(events, cut(spot, "spot"))
 
 
@@ -122,7 +123,7 @@ def supplier_peak_after(spark, d):
 @query
 def asof_spot(spark, d):
     hourly = views.spot_bars(spark, d, 60).withColumn("ts", F.timestamp_seconds(F.unix_seconds("ts") + 1800))
-    return _plain(with_spot(views.chain_bars(spark, d).select("spot", "symbol", "expiry", "ts"), hourly).drop("spot"))
+    return _plain(with_spot(views.chain_bars(spark, d).select("spot", "symbol", "expiry", "ts"), hourly, per=("spot",)).drop("spot"))
 
 
 @query
@@ -334,7 +335,7 @@ def alive_expiries(spark, d):
 @query
 def heatmap(spark, d):
     bars, spot, settle = _base(spark, d)
-    events = run_events(bars, spot, settle, min_values=FLOORS).where("signal = 'otm_wall'")
+    events = run_events(bars, spot, settle, min_values=FLOORS, durations=[120]).where("signal = 'otm_wall'")
     alive = settlement.alive_expiries(settle, bars, _now())
     return _plain(report.heatmap(events, alive, _now(), 120, "C", 36).drop("spot"))
 

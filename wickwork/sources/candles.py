@@ -17,11 +17,12 @@ RESOLUTIONS = {"5m": 5, "15m": 15, "30m": 30, "1h": 60, "2h": 120, "4h": 240, "6
 
 
 def read_candle_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(symbol, duration, ts, values) from JSON pages with prices as text; one row per candle."""
+    """(symbol, duration, ts, values) from JSON pages with prices as text; one row per candle, of several the one with the largest volume, then the largest prices."""
     minutes = F.create_map(*[F.lit(x) for kv in RESOLUTIONS.items() for x in kv])
     rows = spark.read.schema(PAGE).json(path).select("symbol", minutes[F.col("resolution")].alias("duration"), F.explode("result").alias("c"))
     out = rows.select("symbol", "duration", F.timestamp_seconds("c.time").alias("ts"), *[F.col(f"c.{v}").try_cast("double").alias(v) for v in VALUES])
-    return out.dropDuplicates(["symbol", "duration", "ts"])
+    best = F.max(F.struct("volume", *VALUES[:-1])).alias("v")
+    return out.groupBy("symbol", "duration", "ts").agg(best).select("symbol", "duration", "ts", *[f"v.{v}" for v in VALUES])
 
 
 def read_compact_candles(spark: SparkSession, path: str) -> DataFrame:

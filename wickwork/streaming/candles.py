@@ -22,8 +22,14 @@ def stream_candles(ticks: DataFrame, duration: int, by: list[str], late: str = L
 
 
 def spot_upsert_sink(path: str):
-    """A foreachBatch sink that merges spot bars by time; of a time that a batch has twice, one stays."""
-    return lambda df, epoch: upsert_spot(df.dropDuplicates(["spot", "duration", "ts"]), path)
+    """A foreachBatch sink that merges spot bars by time; of a time that a batch has twice, the bar with the largest volume stays."""
+    keys, values = ["spot", "duration", "ts"], ["open", "high", "low", "close"]
+
+    def write(df: DataFrame, epoch: int) -> None:
+        best = df.groupBy(*keys).agg(F.max(F.struct("volume", *values)).alias("v"))
+        upsert_spot(best.select(*keys, *[f"v.{v}" for v in values], "v.volume"), path)
+
+    return write
 
 
 def enrich(stream: DataFrame, settlements: DataFrame, instruments: DataFrame) -> DataFrame:

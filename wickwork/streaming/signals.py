@@ -1,24 +1,32 @@
 """Stateful detection, indicators and outcome updates on streams of bars.
 
-A detector keeps the open run of each series and emits what is known when it
-fires; outcomes are open-ended and are brought up to date by their own sink.
-Bars of a series must come in order of time, as stream_candles emits them.
+stream_red_squeeze keeps the open run of each series as Spark state;
+detector_sink runs the detectors of the batch on each micro-batch and the bars
+that open patterns still need. Both emit what is known when a pattern fires;
+outcomes are open-ended and are brought up to date by their own sink. Bars of a
+series must come in order of time, as stream_candles emits them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import math
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from wickwork.functions.candles import SERIES
-from wickwork.operators.detect import MIN_SEQ, RED_THRESHOLD
+from wickwork.functions.candles import SERIES, is_green, is_red
+from wickwork.functions.scalars import half_up
+from wickwork.operators.asof import latest_spot, with_spot_bar
+from wickwork.operators.detect import LOOKBACK, MIN_SEQ, RED_THRESHOLD, run_detectors
 from wickwork.operators.filters import recent
 from wickwork.operators.indicators import EMA_PERIODS, WINDOWS, last_points
 from wickwork.sources.scratch import cut
+from wickwork.operators.outcomes import rounded_peak, with_peak_after
+from wickwork.sources.candles import CANDLES
 from wickwork.sources.tables import read_table, write_partitioned
 
 FIRED = "spot string, expiry date, duration int, symbol string, entry_ts timestamp, entry_price double, pattern_start timestamp, seq_length int, ratio1 double, ratio2 double, signal_value double, trigger_high double"
@@ -43,7 +51,7 @@ def _squeeze(min_seq: int, min_value: float):
             else:
                 if bar.close > bar.open and n >= min_seq and max(first / last, first / body) >= min_value:
                     value = max(first / last, first / body)
-                    fired.append((*key, bar.ts, bar.close, start, n, *(round(x, 3) for x in (first / last, first / body, value)), bar.high))
+                    fired.append((*key, bar.ts, bar.close, start, n, *(math.floor(x * 1000.0 + 0.5) / 1000.0 for x in (first / last, first / body, value)), bar.high))
                 n = 0
         state.update((seen, n, first, last, start))
         if newest is not None and "settle_ts" in newest._fields and pd.notna(newest.settle_ts):
@@ -89,14 +97,65 @@ def stream_indicators(bars: DataFrame, periods: tuple = EMA_PERIODS, windows: tu
     return bars.groupBy(*SERIES).applyInPandasWithState(_indicators(periods, windows), out, state, "append", GroupStateTimeout.NoTimeout)
 
 
+def open_bars(bars: DataFrame) -> DataFrame:
+    """The bars of each series that later patterns may need: an open run of red or of green bars with the bar before it, and those that a wall looks back on."""
+    t, s = Window.partitionBy(*SERIES).orderBy("ts"), Window.partitionBy(*SERIES)
+    rows = bars.withColumns({"__n": F.row_number().over(t), "__size": F.count("*").over(s)})
+    last = lambda test: F.coalesce(F.max(F.when(~test, F.col("__n"))).over(s), F.lit(1))
+    # A wall compares a bar with the one two before it, which looks at LOOKBACK bars; one more stands in for the first bar, which takes no part.
+    least = F.least(F.col("__size") - (LOOKBACK + 3), last(is_red()), last(is_green()))
+    return rows.withColumn("__least", least).where("__n >= __least").select(*bars.columns)
+
+
+def detector_sink(path: str, state: str, spot: DataFrame, ids: list[str] | None = None, min_values: dict[str, float] | None = None):
+    """A foreachBatch sink: firings of a batch of bars (the columns of CANDLES) go to `path`/epoch=n, the bars that stay open to `state`/epoch=n.
+
+    The detectors and their outcomes are those of the batch, over the new bars
+    and the open ones of the epoch before, so an epoch that is run again writes
+    the same. Rising green bars fire when their run has ended, the other
+    patterns at once. `spot` has the series of the bars' durations; it is read
+    anew in each epoch. State is as long as the open runs.
+    """
+    names = [f.split()[0] for f in CANDLES.split(", ")]
+
+    def write(new: DataFrame, epoch: int) -> None:
+        spark = new.sparkSession
+        kept = read_table(spark, f"{state}/epoch={epoch - 1}", CANDLES).select(*names)
+        before = kept.groupBy(*SERIES).agg(F.max("ts").alias("__before"))
+        both = cut(kept.withColumn("__old", F.lit(1)).unionByName(new.select(*names).withColumn("__old", F.lit(0))).dropDuplicates([*SERIES, "ts"]).drop("__old"), "stream")
+        bars = with_spot_bar(with_peak_after(both), spot)
+        now = both.groupBy(*SERIES).agg(F.max("ts").alias("__now"))
+        found = run_detectors(bars, None, ids, min_values).drop("spot_bar").join(now, SERIES).join(before, SERIES, "left")
+        first = F.col("__before").isNull()
+        ended = (F.col("signal") == "green_stairs") & (F.col("entry_ts") < F.col("__now")) & (first | (F.col("entry_ts") >= F.col("__before")))
+        at_once = (F.col("signal") != "green_stairs") & (first | (F.col("entry_ts") > F.col("__before")))
+        found.where(ended | at_once).drop("__now", "__before").write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        # Series without a new bar stay as they are.
+        open_bars(both).write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
+
+    return write
+
+
 def update_outcomes(open_signals: DataFrame, bars: DataFrame) -> DataFrame:
-    """Signals with peak_after, state and ratio brought up to date by bars later than their entry."""
+    """Signals with peak_after, state, broke_out and ratio brought up to date by bars later than their entry.
+
+    A pending signal without a later bar stays pending, whatever its peak_after.
+    """
     later = bars.select(*SERIES, F.col("ts").alias("__t"), F.col("high").alias("__h"))
     keys = [*SERIES, "entry_ts"]
-    peaks = open_signals.select(*keys).join(later, SERIES).where("__t > entry_ts").groupBy(*keys).agg(F.max("__h").alias("__peak"))
-    rows = open_signals.join(peaks, keys, "left").withColumn("peak_after", F.greatest("peak_after", "__peak")).drop("__peak")
-    state = F.when(F.col("peak_after").isNull(), "pending").when(F.col("peak_after") > F.col("trigger_high"), "activated").otherwise("slHit")
-    return rows.withColumns({"state": state, "ratio": F.coalesce(F.floor(F.try_divide("peak_after", "trigger_high") * 1000 + 0.5) / 1000, F.lit(0.0))})
+    peaks = open_signals.select(*keys).distinct().join(later, SERIES).where("__t > entry_ts").groupBy(*keys).agg(F.max("__h").alias("__peak"))
+    rows = open_signals.join(peaks, keys, "left")
+    pending, peak, trigger = (F.col("state") == "pending"), F.col("__peak"), F.col("trigger_high")
+    up = (F.col("state") == "activated") | F.coalesce(peak > trigger, F.lit(False))
+    ratio = F.when(trigger > 0, half_up(F.try_divide(peak, trigger), 3)).otherwise(0.0)
+    new = {
+        "state": F.when(up, "activated").when(pending & peak.isNull(), "pending").otherwise("slHit"),
+        "ratio": F.when(peak.isNull(), F.col("ratio")).when(pending, ratio).otherwise(F.greatest("ratio", ratio)),
+        "peak_after": F.when(peak.isNull(), F.col("peak_after")).when(pending, rounded_peak(peak)).otherwise(F.greatest("peak_after", rounded_peak(peak))),
+    }
+    if "broke_out" in open_signals.columns:
+        new["broke_out"] = up
+    return rows.withColumns(new).select(*open_signals.columns)
 
 
 def outcome_sink(path: str, schema: str):
@@ -117,3 +176,23 @@ def live_signals(signals: DataFrame, now, limit: int = 500) -> DataFrame:
 def snapshot_sink(path: str, points: int = 240):
     """A foreachBatch sink of indicator rows: the newest points of each series replace those of its chain."""
     return lambda df, epoch: write_partitioned(last_points(df, points), path, ["spot", "expiry"])
+
+
+def live_snapshot(bars: DataFrame, signals: DataFrame, spot: DataFrame, settlements: DataFrame, now, limit: int = 500) -> DataFrame:
+    """One row per chain: hours_to_expiry (1 place), spot_price, durations, instruments, how many signals fired in the last 48 hours, and the newest `limit` of them.
+
+    The averages and volatilities of a snapshot are tables of their own
+    (snapshot_sink and volatility_board), joined by spot and expiry.
+    """
+    chain = bars.groupBy("spot", "expiry").agg(F.count_distinct("symbol").alias("instruments"), F.sort_array(F.collect_set("duration")).alias("durations"))
+    fresh = recent(signals, now)
+    order = Window.partitionBy("spot", "expiry").orderBy(F.desc("entry_ts"), "symbol", "duration", "signal")
+    ranked = fresh.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= limit)
+    row = F.struct("__k", "signal", "duration", "symbol", "entry_ts", "entry_price", "signal_value", "state", "ratio")
+    # Each chain holds `limit` signals at most.
+    board = ranked.groupBy("spot", "expiry").agg(F.sort_array(F.collect_list(row)).alias("signals"))
+    count = fresh.groupBy("spot", "expiry").agg(F.count("*").alias("n_signals"))
+    out = chain.join(settlements.select("spot", "expiry", "settle_ts"), ["spot", "expiry"], "left").join(count, ["spot", "expiry"], "left").join(board, ["spot", "expiry"], "left")
+    out = out.join(latest_spot(spot).withColumnRenamed("close", "spot_price"), "spot", "left")
+    hours = half_up((F.unix_seconds("settle_ts") - F.unix_seconds(now)) / 3600, 1)
+    return out.withColumns({"hours_to_expiry": hours, "n_signals": F.coalesce("n_signals", F.lit(0))})
