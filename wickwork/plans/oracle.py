@@ -363,6 +363,73 @@ SQL |= {
 }
 
 
+DAY = "strftime(expiry, '%Y-%m-%d')"
+PRODUCT = "split_part(symbol, '-', 4)::BIGINT + 100 * day(expiry)"
+CHAIN = f"(SELECT DISTINCT symbol, expiry, {PRODUCT} AS id FROM bars)"
+TAUGHT = f"(SELECT *, CASE WHEN id % 2 = 0 THEN 28800 ELSE 34200 END AS s FROM {CHAIN} WHERE day(expiry) % 2 = 0)"
+FIRST_WALL = "(SELECT min(expiry) FROM ev WHERE signal = 'otm_wall')"
+X = "close - open"
+ASKED = [(">", "ratio > 3"), (">=", "ratio >= 4"), ("<", "ratio < 2.5"), ("<=", "ratio <= 2.2"), ("between", "ratio BETWEEN 3 AND 5")]
+#: The first end of the slices that streams take.
+SLICE = 1_704_801_600
+RECENT = f"ts >= {NOW} - 172800"
+
+#: Round trips, filters, functions and streams.
+SQL |= {
+    "candle_pages": f"SELECT symbol || '@' || {DAY} AS symbol, 120 AS duration, ts, open, high, low, close, volume FROM bars",
+    "compact_candles": f"SELECT 'EVT' AS spot, {D}, 120 AS duration, symbol, ts, open, high, low, close, volume FROM bars WHERE typ = 'C'",
+    "candle_table": f"SELECT symbol, {D}, ts, close, volume + CASE WHEN day(expiry) <= 7 THEN 1 ELSE 0 END AS volume FROM bars WHERE expiry <= DATE '2024-01-16'",
+    "spot_table": "SELECT ts, close + CASE WHEN ts % 14400 = 0 THEN 1 ELSE 0 END AS close FROM spot WHERE ts >= epoch(DATE '2024-01-05') AND ts < epoch(DATE '2024-01-21')",
+    "instrument_list": f"SELECT {D}, symbol, CASE WHEN id % 7 <> 0 AND id % 5 <> 0 THEN id ELSE -1 END AS product_id FROM {CHAIN} WHERE id % 7 <> 0 AND id % 5 <> 0 OR id % 3 = 0",
+    "settlements_learned": (
+        f"SELECT p.spot, strftime(p.expiry, '%Y-%m-%d') AS expiry, epoch(p.expiry)::BIGINT + coalesce(e.a, g.b, p.c) AS settle_ts FROM (SELECT DISTINCT expiry, v.spot, v.c FROM bars, (VALUES ('EVT', 43200), ('OWN', 36000), ('NEW', 43200)) v(spot, c)) p "
+        f"LEFT JOIN (SELECT 'EVT' AS spot, expiry, arg_max(s, id) AS a FROM {TAUGHT} GROUP BY expiry) e ON e.spot = p.spot AND e.expiry = p.expiry LEFT JOIN (SELECT 'EVT' AS spot, arg_max(s, (epoch(expiry), id)) AS b FROM {TAUGHT}) g ON g.spot = p.spot"
+    ),
+    "event_table": f"SELECT signal, {D}, duration, type, start_ts, n, univ_ratio, instruments FROM ev WHERE signal = 'otm_wall' AND expiry = (SELECT min(expiry) FROM ev WHERE signal = 'otm_wall' AND expiry > {FIRST_WALL})",
+    "pattern_table": f"SELECT symbol, {D}, ts AS entry_ts, value AS signal_value FROM sigs WHERE signal = 'otm_wall'",
+    "trade_tables": f"SELECT 'event' AS kind, {D}, max_symbol AS symbol, max_ratio AS ratio FROM te UNION ALL SELECT 'best', {D}, symbol, ratio FROM bt",
+    "snapshot_table": f"SELECT symbol, {D}, ts, close + CASE WHEN day(expiry) % 2 = 0 THEN 1 ELSE 0 END AS close FROM b WHERE n > size - 2 AND {SETTLE} >= {NOW}",
+    "inventory": f"SELECT DISTINCT 'EVT' AS spot, {D}, 120 AS duration FROM bars",
+    "ratio_filters": " UNION ALL ".join(f"SELECT '{op}' AS op, {D}, count(*) AS n, max(ratio) AS top FROM tx WHERE ratio >= 2 AND {test} GROUP BY expiry" for op, test in ASKED),
+    "settled_range": f"SELECT symbol, {D}, ratio FROM bt WHERE expiry BETWEEN DATE '2024-01-07' AND DATE '2024-01-16'",
+    "recent_firings": f"SELECT signal, symbol, {D}, ts AS entry_ts FROM sigs WHERE {RECENT}",
+    "live_signals": f"SELECT signal, symbol, {D}, ts AS entry_ts FROM sigs WHERE {RECENT} ORDER BY ts DESC, symbol, signal LIMIT 25",
+    "symbols_pending": f"SELECT 'EVT' AS spot, {D}, symbol FROM {CHAIN} c WHERE NOT EXISTS (SELECT 1 FROM bars x WHERE x.symbol = c.symbol AND x.expiry = c.expiry AND x.close > 1 AND x.ts < epoch(DATE '2024-01-12'))",
+    "expiry_completeness": f"SELECT 'EVT' AS spot, {D}, bool_and(ok) AS complete, count(*) AS symbols, count(*) FILTER (NOT ok) AS failed FROM (SELECT symbol, expiry, min(low) > 0.1 AS ok FROM bars GROUP BY ALL) GROUP BY expiry",
+    "spot_required": f"SELECT {D}, count(*) AS n FROM bars WHERE day(expiry) % 2 = 0 GROUP BY expiry",
+    "scalar_functions": (
+        f"SELECT symbol, {D}, ts, {r('CASE WHEN x > 0 THEN log10(x) ELSE 0 END', 6)} AS log10, {r('CASE WHEN x > 0 THEN ln(x) ELSE 0 END', 6)} AS log, {r('exp(x / 100)', 6)} AS exp, {r('CASE WHEN x >= 0 THEN sqrt(x) ELSE 0 END', 6)} AS sqrt, "
+        f"{r('abs(x)', 6)} AS abs, floor(x) AS floor, ceil(x) AS ceil, sign(x) AS sign, floor(x + 0.5) AS round, {r('x * x', 6)} AS pow, {r('least(x, 1)', 6)} AS min, {r('x', 6)} AS max, {r('CASE WHEN floor(x) = 0 THEN 0 ELSE open / floor(x) END', 6)} AS divide FROM (SELECT *, {X} AS x FROM bars)"
+    ),
+    "sql_functions": (
+        f"SELECT symbol, {D}, ts, floor(CASE WHEN x > 0 THEN log10(x) ELSE 0 END * 1000 + 0.5) AS a, floor(CASE WHEN x >= 0 THEN sqrt(x) ELSE 0 END * 1000 + 0.5) AS b, floor(CASE WHEN floor(x) = 0 THEN 0 ELSE 1 / floor(x) END * 1000 + 0.5) AS c, "
+        f"floor(x + 0.5) / 2 AS h, floor(close)::BIGINT % 4 = 1 AS one, floor(close)::BIGINT % 4 IN (2, 3) AS listed FROM (SELECT *, {X} AS x FROM bars)"
+    ),
+    "default_filters": (
+        f"SELECT signal, symbol, {D}, ts AS entry_ts FROM sigs WHERE signal = 'otm_wall' AND value >= 0.5 AND {r(f'({SETTLE} - start) / 3600.0', 2)} <= 48 UNION ALL "
+        f"SELECT s.signal, s.symbol, strftime(s.expiry, '%Y-%m-%d'), s.ts FROM sigs s JOIN gst g ON s.symbol = g.symbol AND s.expiry = g.expiry AND s.ts = g.ts WHERE s.signal = 'green_stairs' AND s.value >= 1 AND g.len >= 3 AND g.equal = 0"
+    ),
+    "stream_signals": f"SELECT signal, symbol, {D}, ts AS entry_ts, start AS pattern_start, value AS signal_value FROM sig0 WHERE signal <> 'green_stairs' OR pk IS NOT NULL",
+    "stream_outcomes": f"SELECT symbol, {D}, ts AS entry_ts, {STATE} AS state, {RATIO} AS ratio, coalesce({r('pk', 3)}, 0.0) AS peak_after FROM rsq WHERE ts < {SLICE}",
+    "stream_indicators": (
+        f"SELECT symbol, {D}, ts, {r('ema', 4)} AS ema5, {r('CASE WHEN open > 0 AND close > 0 THEN v / (open * close) END', 4)} AS vol5 FROM (SELECT *, {lags(5)} AS v FROM b) LEFT JOIN e5 USING (symbol, expiry, n) WHERE n > size - 3"
+    ),
+    "stream_spot": SQL["spot_upsert"],
+    "stream_enriched": f"SELECT symbol, {D}, ts, {PRODUCT} AS product_id, {SETTLE} - 86400 AS settle_ts FROM bars WHERE ts < {SETTLE} - 86400",
+    "live_snapshot": (
+        f"SELECT {D}, c.instruments, '120' AS durations, coalesce(g.n_signals, 0) AS n_signals, {r(f'({SETTLE} - {NOW}) / 3600.0', 1)} AS hours_to_expiry, (SELECT arg_max(close, ts) FROM spot) AS spot_price, coalesce(g.signals, '') AS signals "
+        "FROM (SELECT expiry, count(DISTINCT symbol) AS instruments FROM bars GROUP BY expiry) c LEFT JOIN (SELECT expiry AS e, count(*) AS n_signals, string_agg(signal || '/' || symbol || '/' || ts, ',' ORDER BY k) FILTER (k <= 10) AS signals "
+        f"FROM (SELECT *, row_number() OVER (PARTITION BY expiry ORDER BY ts DESC, symbol, signal) AS k FROM sigs WHERE {RECENT}) GROUP BY expiry) g ON g.e = c.expiry"
+    ),
+}
+
+
+def both_durations(sql: str) -> str:
+    """A query of the 120-minute chain, and the same of the 240-minute chain."""
+    longer = build(sql).replace(slot(120), slot(240))
+    return f"SELECT 120 AS duration, * FROM ({build(sql)}) UNION ALL SELECT 240 AS duration, * FROM ({longer})"
+
+
 #: The same red runs over the gapless daily candles of suppliers.
 SUPPLIER_BARS = (
     f"SELECT symbol, DATE '2030-01-01' AS expiry, NULL AS typ, NULL AS strike, ts, open, greatest(high, open) AS high, least(low, open) AS low, close FROM "
@@ -378,5 +445,7 @@ def oracle_sql() -> dict[str, str]:
     rates = f"SELECT *, {pct(T3)} FROM (SELECT symbol, count(*) AS n, count(*) FILTER (state = 'activated') AS activated, count(*) FILTER (state = 'slHit') AS slHit, count(*) FILTER (state = 'pending') AS pending, {hits('ratio', T3)} FROM (SELECT symbol, {STATE} AS state, {RATIO} AS ratio FROM rsq) GROUP BY symbol)"
     return found | {
         "supplier_squeeze": f"WITH bars AS ({SUPPLIER_BARS}), {runs} {SUPPLIER_SQUEEZE}",
+        "outcomes_multi": both_durations(f"SELECT signal, symbol, {D}, ts AS entry_ts, sp0 AS spot_price, dist_pct AS distance_pct, ratio, state, univ_ratio, univ_symbol FROM sigs"),
+        "spot_by_duration": both_durations(f"SELECT symbol, {D}, ts, sp AS spot_close FROM {asof('bars', 'ts')}"),
         "squeeze_hit_rates": f"WITH ticks AS ({TABLES['ticks']}), bars AS ({hourly}), {runs} {rates}",
     }

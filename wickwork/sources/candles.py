@@ -28,6 +28,11 @@ def read_candle_pages(spark: SparkSession, path: str) -> DataFrame:
 def read_compact_candles(spark: SparkSession, path: str) -> DataFrame:
     """Candles from files {spot}/{expiry}/{duration}/{symbol}.json of arrays [time, open, high, low, close, volume]."""
     text = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("p"))
+    return compact_rows(text)
+
+
+def compact_rows(text: DataFrame) -> DataFrame:
+    """Candles from (p, value): the path that names a series and its array of arrays."""
     part = lambda i: F.regexp_extract("p", r"([^/]+)/(\d{4}-\d\d-\d\d)/(\d+)/([^/]+)\.json$", i)
     rows = text.select(part(1).alias("spot"), part(2).cast("date").alias("expiry"), part(3).cast("int").alias("duration"), part(4).alias("symbol"), F.explode(F.from_json("value", "array<array<double>>")).alias("c"))
     named = [F.get("c", F.lit(i + 1)).alias(v) for i, v in enumerate(VALUES)]

@@ -170,7 +170,7 @@ def outcome_sink(path: str, schema: str):
 
 def live_signals(signals: DataFrame, now, limit: int = 500) -> DataFrame:
     """The newest signals of the last 48 hours."""
-    return recent(signals, now).orderBy(F.desc("entry_ts"), "symbol", "duration").limit(limit)
+    return recent(signals, now).orderBy(F.desc("entry_ts"), "symbol", "duration", "signal").limit(limit)
 
 
 def snapshot_sink(path: str, points: int = 240):
