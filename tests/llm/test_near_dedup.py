@@ -4,9 +4,11 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
+from wickwork.llm import shingle_dedup
 from wickwork.llm.simhash_dedup import keep_one
 
 
@@ -70,3 +72,28 @@ def test_one_of_each_group_stays(make, keep):
     got = sorted(((r["doc_id"], r["text"]) for r in keep(make(rows)).collect()), key=str)
     assert got == sorted([(None, a), (None, b), (5, c), (2, d), (7, e), (8, f), (8, g), (None, "")], key=str) and keep(make(rows)).columns == make(rows).columns
     assert keep(make(rows).limit(0)).count() == 0
+
+
+def test_shared_counts_equal_sets():
+    rng = random.Random(8)
+    common = [rng.getrandbits(60) for _ in range(60)]
+    sets = [sorted({*rng.sample(common, 40), *(rng.choice(range(500)) for _ in range(30))}) for _ in range(90)]
+    left, right = ([np.array(s, np.int64) for s in part] for part in (sets[:50], sets[50:]))
+    got = shingle_dedup.shared_counts(left, right)
+    assert (got == [[len(set(a.tolist()) & set(b.tolist())) for b in right] for a in left]).all()
+    assert (shingle_dedup.shared_counts(left, left).diagonal() == [len(a) for a in left]).all()
+
+
+def test_blocks_find_what_the_hub_does_not(make, monkeypatch):
+    """Copies that are near each other by edits of a base that is not there; blocks of 8 members."""
+    monkeypatch.setattr(shingle_dedup, "BLOCK", 8)
+    rng, texts = random.Random(21), []
+    for k in range(4):
+        base = words_of(120, 900 + k)
+        for _ in range(25):
+            words = list(base)
+            for at in rng.sample(range(120), rng.choice((1, 2, 3))):
+                words[at] = f"changed{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    want = groups(texts)
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(None, make(texts), "").collect()} == set(want) and len(set(want)) > 1

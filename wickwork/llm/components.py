@@ -10,12 +10,27 @@ execution can split the hub's rows. Tables of a round are removed after it.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wickwork.sources.scratch import fresh, remove, store
 
 
+def labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest place reachable from each of `n` places over the links (u, v), inside one task."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, u, low)
+        np.minimum.at(new, v, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickwork.llm.common import cut, table
-from wickwork.llm.components import connected_components
+from wickwork.llm.components import connected_components, labels
 
 #: Rows of one cell that are compared with each other in one task.
 BLOCK = 4096
@@ -82,17 +82,7 @@ def _compare(cosine: float):
             return out
         n = np.bincount(i, weights=mult[j], minlength=len(ids)).astype("int64")
         nodes, ends = np.unique(np.concatenate([ids[i], others[j]]), return_inverse=True)
-        u, v = ends[: len(i)], ends[len(i) :]
-        label = np.arange(len(nodes))
-        while True:
-            low = np.minimum(label[u], label[v])
-            new = label.copy()
-            np.minimum.at(new, u, low)
-            np.minimum.at(new, v, low)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
+        label = labels(len(nodes), ends[: len(i)], ends[len(i) :])
         count = dict(zip(ids.tolist(), n.tolist(), strict=True))
         return pd.DataFrame({"node": nodes, "n": [count.get(x, 0) for x in nodes.tolist()], "low": nodes[label]})
 

@@ -188,7 +188,8 @@ def mixed_texts(docs: DataFrame, **how) -> DataFrame:
     real = lambda parts: F.filter(parts, lambda x: x["n"] > 0)
     whole = F.transform(F.sequence(F.lit(1), F.col("passes")), lambda i: F.struct(F.lit(0).alias("lo"), F.col("size").cast("int").alias("n")))
     whole = F.when((F.col("passes") > 0) & (F.col("size") > 0), whole).otherwise(F.array().cast("array<struct<lo:int,n:int>>"))
-    once, many = plan.where("n = 1"), plan.where("n > 1")
+    # Rows that occur several times are written apart: where they are few, the texts need no second shuffle.
+    once, many = plan.where("n = 1"), cut(plan.where("n > 1"), "many")
     single = once.select("row", "size", real(F.concat(whole, F.array(*_parts(F.col("start"))))).alias("parts"))
     alike = many.select("row", "size", whole.alias("parts"))
     out = keyed.join(single.unionByName(alike), F.col("__row") == F.col("row")).select("__d", "size", F.posexplode("parts").alias("nth", "p"))
