@@ -24,7 +24,7 @@ from wickwork.operators.asof import latest_spot, with_spot_bar
 from wickwork.operators.detect import LOOKBACK, MIN_SEQ, RED_THRESHOLD, run_detectors
 from wickwork.operators.filters import recent
 from wickwork.operators.indicators import EMA_PERIODS, WINDOWS, last_points
-from wickwork.sources.scratch import cut
+from wickwork.sources.scratch import cut, remove
 from wickwork.operators.outcomes import rounded_peak, with_peak_after
 from wickwork.sources.candles import CANDLES
 from wickwork.sources.tables import read_table, write_partitioned
@@ -130,7 +130,8 @@ def detector_sink(path: str, state: str, spot: DataFrame, ids: list[str] | None
         ended = (F.col("signal") == "green_stairs") & (F.col("entry_ts") < F.col("__now")) & (first | (F.col("entry_ts") >= F.col("__before")))
         at_once = (F.col("signal") != "green_stairs") & (first | (F.col("entry_ts") > F.col("__before")))
         found.where(ended | at_once).drop("__now", "__before").write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-        # Series without a new bar stay as they are.
+        # Series without a new bar stay as they are. An epoch that is run again reads the one before it, nothing older.
+        remove(spark, f"{state}/epoch={epoch - 2}")
         open_bars(both).write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
 
     return write
