@@ -38,3 +38,12 @@ def test_copies_of_a_hot_text_are_all_found(spark, make):
     rows = [(i % 290, f"a {item} b") for i in range(300)] + [(None, f"a {item} b")] * 2 + [(500, "x " * 40)]
     found = decontamination.find_overlaps(make(rows), spark.createDataFrame([(1, item)], "item_id bigint, text string"))
     assert found.count() == 291 and {r["doc_start"] for r in found.collect()} == {1}
+
+
+def test_items_without_an_id_and_repeated_items(spark, make):
+    item, other = " ".join(f"w{k}" for k in range(15)), " ".join(f"v{k}" for k in range(14))
+    bench = spark.createDataFrame([(None, item), (None, item), (1, other), (2, other), (3, item), (3, other + " more"), (4, None), (None, None)], "item_id bigint, text string")
+    docs = make([f"a {item}", f"{other} b", "nothing of it"])
+    got = sorted(((r["doc_id"], r["item_id"], r["n_item"]) for r in decontamination.find_overlaps(docs, bench).collect()), key=str)
+    assert got == sorted([(0, None, 15), (0, 3, 15), (1, 1, 14), (1, 2, 14), (1, 3, 15)], key=str)
+    assert [r["doc_id"] for r in decontamination.decontaminate(docs, bench).collect()] == [2]

@@ -65,35 +65,38 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     that agrees in its best stretch. Items of every length are looked for, one
     word included; of one to four words all have to agree. Texts and items that
     are null or without a word overlap with nothing. Repeated document rows
-    give one row; repeated items are reported for each id. Extra columns are
-    ignored.
+    give one row. Equal items are looked for once and reported for each id, a
+    null id too; of several texts of one id the best overlap is reported. Extra
+    columns are ignored.
     """
     text = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
-    items = benchmark.select("item_id", words_of("text").alias("b")).where(F.size("b") > 0)
+    listed = benchmark.select("item_id", F.xxhash64(F.col("text").cast("string")).alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
+    items = listed.groupBy("item").agg(F.first("text").alias("text")).select("item", words_of("text").alias("b")).where(F.size("b") > 0)
     hashes = lambda words: F.transform(words, lambda w: F.xxhash64(w)).alias("h")
     hashed = text.where("text is not null").select("key", hashes(words_of("text")))
-    asked = items.select("item_id", hashes("b"))
-    mine, theirs = _seeded(hashed, "key", MASKS, SPAN, 0), _seeded(asked.where(F.size("h") >= WINDOW), "item_id", MASKS, SPAN, 0)
+    asked = items.select("item", hashes("b"))
+    mine, theirs = _seeded(hashed, "key", MASKS, SPAN, 0), _seeded(asked.where(F.size("h") >= WINDOW), "item", MASKS, SPAN, 0)
     # The lengths of short items, WINDOW - 1 at most: only their masks are worked out.
     for (n,) in sorted(asked.where(F.size("h") < WINDOW).select(F.size("h")).distinct().collect()):
         mine = mine.unionByName(_seeded(hashed, "key", short_masks(n), n, n))
-        theirs = theirs.unionByName(_seeded(asked.where(F.size("h") == n), "item_id", short_masks(n), n, n))
-    theirs = theirs.select("item_id", "seed", F.col("place").alias("item_place"))
+        theirs = theirs.unionByName(_seeded(asked.where(F.size("h") == n), "item", short_masks(n), n, n))
+    theirs = theirs.select("item", "seed", F.col("place").alias("item_place"))
     # Equal texts share their hits; a pair has at most as many shifts as both have words. Either side is broadcast only if Spark finds it below the session's limit.
-    hits = mine.join(theirs, "seed").groupBy("key", "item_id").agg(F.collect_set(F.col("place") - F.col("item_place")).alias("shifts"))
+    hits = mine.join(theirs, "seed").groupBy("key", "item").agg(F.collect_set(F.col("place") - F.col("item_place")).alias("shifts"))
     hits = cut(hits, "hits")
     # Each text is verified once, however often it occurs.
     one = text.join(hits.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    both = one.select("key", words_of("text").alias("w")).join(hits, "key").join(items, "item_id").select("key", "item_id", "b", "w", F.explode("shifts").alias("shift"))
+    both = one.select("key", words_of("text").alias("w")).join(hits, "key").join(items, "item").select("key", "item", "b", "w", F.explode("shifts").alias("shift"))
     n = F.size("b")
     same = F.transform("b", lambda x, i: F.when(F.get("w", F.col("shift") + i) == x, 1).otherwise(0))
-    both = both.select("key", "item_id", "shift", n.alias("n_item"), same.alias("same"), F.least(n, F.lit(WINDOW)).alias("width"))
+    both = both.select("key", "item", "shift", n.alias("n_item"), same.alias("same"), F.least(n, F.lit(WINDOW)).alias("width"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
     best = F.array_max(F.transform(F.sequence(F.lit(0), F.col("n_item") - F.col("width")), lambda i: total(F.slice("same", i + 1, F.col("width")))))
-    both = both.select("key", "item_id", "shift", "n_item", total(F.col("same")).alias("n_match"), best.alias("best"), "width")
+    both = both.select("key", "item", "shift", "n_item", total(F.col("same")).alias("n_match"), best.alias("best"), "width")
     real = both.where(F.col("best") >= F.ceil(F.col("width") * SHARE - 1e-9))
     found = F.struct("n_match", (-F.col("shift")).alias("back"), "n_item", (F.col("best") / F.col("width")).alias("identity"))
-    top = real.groupBy("key", "item_id").agg(F.max(found).alias("x"))
+    top = real.groupBy("key", "item").agg(F.max(found).alias("x")).join(listed.select("item", "item_id").distinct(), "item")
+    top = top.groupBy("key", "item_id").agg(F.max("x").alias("x"))
     top = cut(top.select("key", "item_id", (-F.col("x.back")).alias("doc_start"), "x.n_item", "x.n_match", "x.identity"), "overlaps")
     salted = top.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     named = text.select("doc_id", "key", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["key", "salt"])
