@@ -424,10 +424,20 @@ SQL |= {
 }
 
 
+def longer(sql: str) -> str:
+    """A query of the 120-minute chain, of the 240-minute chain."""
+    return build(sql).replace(slot(120), slot(240)).replace("120 AS duration", "240 AS duration")
+
+
 def both_durations(sql: str) -> str:
-    """A query of the 120-minute chain, and the same of the 240-minute chain."""
-    longer = build(sql).replace(slot(120), slot(240))
-    return f"SELECT 120 AS duration, * FROM ({build(sql)}) UNION ALL SELECT 240 AS duration, * FROM ({longer})"
+    """A query without a duration, of both chains."""
+    return f"SELECT 120 AS duration, * FROM ({build(sql)}) UNION ALL SELECT 240 AS duration, * FROM ({longer(sql)})"
+
+
+def over_both(sql: str) -> str:
+    """A query of the events of both chains."""
+    events = "SELECT * FROM ev"
+    return f"WITH ev AS (SELECT * FROM ({build(events)}) UNION ALL SELECT * FROM ({longer(events)})) {sql}"
 
 
 #: The same red runs over the gapless daily candles of suppliers.
@@ -446,6 +456,10 @@ def oracle_sql() -> dict[str, str]:
     return found | {
         "supplier_squeeze": f"WITH bars AS ({SUPPLIER_BARS}), {runs} {SUPPLIER_SQUEEZE}",
         "outcomes_multi": both_durations(f"SELECT signal, symbol, {D}, ts AS entry_ts, sp0 AS spot_price, dist_pct AS distance_pct, ratio, state, univ_ratio, univ_symbol FROM sigs"),
+        "merge_events_multi": over_both(SQL["merge_events"]),
+        "hit_tree_multi": over_both(SQL["hit_tree"]),
+        "panels_multi": over_both(SQL["panels"]),
+        "expiry_grid_multi": over_both(f"SELECT {D}, count(*) FILTER (max_ratio >= 2 AND duration = 120) AS d120, count(*) FILTER (max_ratio >= 2 AND duration = 240) AS d240, count(*) FILTER (max_ratio >= 2) AS hits, count(*) AS n FROM ev GROUP BY expiry"),
         "spot_by_duration": both_durations(f"SELECT symbol, {D}, ts, sp AS spot_close FROM {asof('bars', 'ts')}"),
         "squeeze_hit_rates": f"WITH ticks AS ({TABLES['ticks']}), bars AS ({hourly}), {runs} {rates}",
     }

@@ -593,6 +593,31 @@ def spot_by_duration(spark, d):
     return _plain(with_spot(bars.select("spot", "symbol", "expiry", "duration", "ts"), spot).drop("spot"))
 
 
+def _events_two(spark: SparkSession, d: str) -> DataFrame:
+    bars, spot, settle = _two(spark, d)
+    return run_events(bars, spot, settle, min_values=FLOORS, durations=[120, 240])
+
+
+@query
+def merge_events_multi(spark, d):
+    return _plain(_events_two(spark, d).drop("spot", "settle_ts"))
+
+
+@query
+def hit_tree_multi(spark, d):
+    return _plain(report.hit_tree(_events_two(spark, d), THRESHOLDS))
+
+
+@query
+def expiry_grid_multi(spark, d):
+    return _plain(report.expiry_duration_grid(_events_two(spark, d), 2, [120, 240], sort="hits"))
+
+
+@query
+def panels_multi(spark, d):
+    return _plain(report.expiry_panels(_events_two(spark, d)))
+
+
 # Round trips: what is written to a table or a file is what is read
 
 
