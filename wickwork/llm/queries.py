@@ -6,6 +6,7 @@ from wickwork.llm.decontamination import op2_decontamination
 from wickwork.llm.embedding_dedup import op9_embedding_dedup
 from wickwork.llm.language_id import op5_language_id
 from wickwork.llm.mixing import op6_mixing
+from wickwork.llm.periodic_runs import op13_periodic_runs
 from wickwork.llm.pii import op4_pii
 from wickwork.llm.quality import op1_quality
 from wickwork.llm.simhash_dedup import op7_simhash_dedup
@@ -15,7 +16,7 @@ from wickwork.llm.toxicity import op8_toxicity
 
 FOUND = (
     op1_quality, op2_decontamination, op3_substring_dedup, op4_pii, op5_language_id, op6_mixing, op7_simhash_dedup,
-    op8_toxicity, op9_embedding_dedup, op10_token_counts,
+    op8_toxicity, op9_embedding_dedup, op10_token_counts, op13_periodic_runs,
 )
 
 
