@@ -5,6 +5,7 @@ from __future__ import annotations
 from wickwork.llm.decontamination import op2_decontamination
 from wickwork.llm.embedding_dedup import op9_embedding_dedup
 from wickwork.llm.language_id import op5_language_id
+from wickwork.llm.merkle_manifest import op12_merkle_manifest
 from wickwork.llm.mixing import op6_mixing
 from wickwork.llm.periodic_runs import op13_periodic_runs
 from wickwork.llm.pii import op4_pii
@@ -16,7 +17,7 @@ from wickwork.llm.toxicity import op8_toxicity
 
 FOUND = (
     op1_quality, op2_decontamination, op3_substring_dedup, op4_pii, op5_language_id, op6_mixing, op7_simhash_dedup,
-    op8_toxicity, op9_embedding_dedup, op10_token_counts, op13_periodic_runs,
+    op8_toxicity, op9_embedding_dedup, op10_token_counts, op12_merkle_manifest, op13_periodic_runs,
 )
 
 
@@ -67,7 +68,26 @@ f AS (SELECT e.*, m, stop - size AS start, CASE WHEN m > 0 THEN coalesce(quota,
 SELECT doc_id, size, source_size, target, (passes * size + greatest(0, least(stop, a + rest) - greatest(start, a)) + greatest(0, least(stop, a + rest - m) - start))::BIGINT AS taken FROM f
 """
 
+#: Trees level by level; the way of each leaf is folded one step after the other.
+MERKLE_MANIFEST = r"""
+WITH RECURSIVE d AS (SELECT *, row_number() OVER () AS rid,
+  coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a, coalesce(strlen(text) || ':' || text, '-') AS z,
+  (4294967295 - list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[]))), lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) ELSE xor(r >> 1, (r & 1) * 3988292384) END)) % 7 = 0 AS hit FROM documents),
+l0 AS (SELECT rid, doc_id, lang, sha256(a || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || z) AS leaf, CASE WHEN hit THEN sha256(a || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || z) END AS bad FROM d),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM l0),
+t AS (SELECT lang, 0 AS level, i, leaf AS node, n FROM l UNION ALL SELECT lang, level + 1, i // 2, sha256(string_agg(node, '' ORDER BY i)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY lang, level, i // 2, n),
+s AS (SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS nth, count(*) OVER () AS trees FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, nth AS i, subroot AS node, trees AS n FROM s UNION ALL SELECT level + 1, i // 2, sha256(string_agg(node, '' ORDER BY i)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY level, i // 2, n),
+h AS (SELECT lang, max(level) AS top FROM t GROUP BY lang),
+w AS (SELECT l.rid, t.level AS k, l.i >> t.level & 1 = 1 AS odd, o.node AS other FROM l JOIN t ON l.lang IS NOT DISTINCT FROM t.lang AND t.i = l.i >> t.level AND t.n > 1 LEFT JOIN t o ON o.lang IS NOT DISTINCT FROM t.lang AND o.level = t.level AND o.i = xor(t.i, 1)
+  UNION ALL SELECT l.rid, top + u.level, s.nth >> u.level & 1 = 1, o.node FROM l JOIN s ON l.lang IS NOT DISTINCT FROM s.lang JOIN h ON l.lang IS NOT DISTINCT FROM h.lang JOIN u ON u.i = s.nth >> u.level AND u.n > 1 LEFT JOIN u o ON o.level = u.level AND o.i = xor(u.i, 1)),
+f AS (SELECT rid, 0 AS k, coalesce(bad, leaf) AS node FROM l UNION ALL SELECT f.rid, f.k + 1, sha256(CASE WHEN other IS NULL THEN node WHEN odd THEN other || node ELSE node || other END) FROM f JOIN w ON w.rid = f.rid AND w.k = f.k),
+e AS (SELECT rid, arg_max(node, k) AS folded_root FROM f GROUP BY rid),
+p AS (SELECT rid, string_agg(other, '' ORDER BY k) AS proof FROM w GROUP BY rid)
+SELECT doc_id, leaf, subroot, (SELECT node FROM u WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = (SELECT node FROM u WHERE n = 1) AS verified FROM l JOIN s ON l.lang IS NOT DISTINCT FROM s.lang JOIN e USING (rid) LEFT JOIN p USING (rid)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The others learn models, hash or permute, which SQL cannot express; tests/llm holds them against brute force."""
-    return {"op3_substring_dedup": SUBSTRING_DEDUP, "op6_mixing": MIXING, "op9_embedding_dedup": EMBEDDING_DEDUP}
+    return {"op3_substring_dedup": SUBSTRING_DEDUP, "op6_mixing": MIXING, "op9_embedding_dedup": EMBEDDING_DEDUP, "op12_merkle_manifest": MERKLE_MANIFEST}
