@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from wickwork.llm.backoff_model import op11_backoff_scores
 from wickwork.llm.decontamination import op2_decontamination
 from wickwork.llm.embedding_dedup import op9_embedding_dedup
 from wickwork.llm.language_id import op5_language_id
@@ -17,7 +18,7 @@ from wickwork.llm.toxicity import op8_toxicity
 
 FOUND = (
     op1_quality, op2_decontamination, op3_substring_dedup, op4_pii, op5_language_id, op6_mixing, op7_simhash_dedup,
-    op8_toxicity, op9_embedding_dedup, op10_token_counts, op12_merkle_manifest, op13_periodic_runs,
+    op8_toxicity, op9_embedding_dedup, op10_token_counts, op11_backoff_scores, op12_merkle_manifest, op13_periodic_runs,
 )
 
 
