@@ -32,6 +32,14 @@ from wickwork.sources.tables import read_table, write_partitioned
 FIRED = "spot string, expiry date, duration int, symbol string, entry_ts timestamp, entry_price double, pattern_start timestamp, seq_length int, ratio1 double, ratio2 double, signal_value double, trigger_high double"
 
 
+def _end_at(state: GroupState, rows: pd.DataFrame) -> None:
+    """The state of a series times out when the watermark passes the settle_ts of its rows, if they have one."""
+    if "settle_ts" in rows.columns and pd.notna(settle := rows["settle_ts"].dropna().max()):
+        # Spark hands over times of the session's zone, UTC, without a zone.
+        at = settle.tz_localize("UTC") if settle.tzinfo is None else settle
+        state.setTimeoutTimestamp(max(int(at.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+
+
 def _squeeze(min_seq: int, min_value: float):
     """State: whether a bar was seen, and the open run's length, first and last body and start."""
 
@@ -40,9 +48,9 @@ def _squeeze(min_seq: int, min_value: float):
             state.remove()
             return
         seen, n, first, last, start = state.get if state.exists else (False, 0, 0.0, 0.0, None)
-        fired, newest = [], None
-        for bar in pd.concat(list(parts)).sort_values("ts").itertuples():
-            body, newest = abs(bar.close - bar.open), bar
+        fired, rows = [], pd.concat(list(parts)).sort_values("ts")
+        for bar in rows.itertuples():
+            body = abs(bar.close - bar.open)
             if not seen:
                 seen = True
             elif bar.close < bar.open:
@@ -54,8 +62,7 @@ def _squeeze(min_seq: int, min_value: float):
                     fired.append((*key, bar.ts, bar.close, start, n, *(math.floor(x * 1000.0 + 0.5) / 1000.0 for x in (first / last, first / body, value)), bar.high))
                 n = 0
         state.update((seen, n, first, last, start))
-        if newest is not None and "settle_ts" in newest._fields and pd.notna(newest.settle_ts):
-            state.setTimeoutTimestamp(max(int(newest.settle_ts.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        _end_at(state, rows)
         if fired:
             yield pd.DataFrame(fired, columns=[f.split()[0] for f in FIRED.split(", ")])
 
@@ -71,9 +78,13 @@ def stream_red_squeeze(bars: DataFrame, min_seq: int = MIN_SEQ, min_value: float
 
 def _indicators(periods: tuple, windows: tuple):
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         count, values, highs, lows = state.get if state.exists else (0, [0.0] * len(periods), [], [])
         values, highs, lows, out = list(values), list(highs), list(lows), []
-        for bar in pd.concat(list(parts)).sort_values("ts").itertuples():
+        rows = pd.concat(list(parts)).sort_values("ts")
+        for bar in rows.itertuples():
             count += 1
             for i, p in enumerate(periods):
                 # Up to the p-th bar the value is the running sum, whose mean seeds the recurrence.
@@ -85,16 +96,21 @@ def _indicators(periods: tuple, windows: tuple):
             out.append((*key, bar.ts, bar.close, *[v if count >= p else None for v, p in zip(values, periods, strict=True)], *vols))
             highs, lows = [top, *highs][: max(windows)], [low, *lows][: max(windows)]
         state.update((count, values, highs, lows))
+        _end_at(state, rows)
         yield pd.DataFrame(out, columns=[*SERIES, "ts", "close", *[f"ema{p}" for p in periods], *[f"vol{w}" for w in windows]])
 
     return run
 
 
 def stream_indicators(bars: DataFrame, periods: tuple = EMA_PERIODS, windows: tuple = WINDOWS) -> DataFrame:
-    """Moving averages and volatilities of each bar, from a state of the last averages and bodies."""
+    """Moving averages and volatilities of each bar, from a state of the last averages and bodies.
+
+    With a watermark on ts and a column settle_ts a series' state goes when its expiry settles.
+    """
+    timeout = GroupStateTimeout.EventTimeTimeout if "settle_ts" in bars.columns else GroupStateTimeout.NoTimeout
     out = "spot string, expiry date, duration int, symbol string, ts timestamp, close double" + "".join(f", ema{p} double" for p in periods) + "".join(f", vol{w} double" for w in windows)
     state = "count bigint, averages array<double>, highs array<double>, lows array<double>"
-    return bars.groupBy(*SERIES).applyInPandasWithState(_indicators(periods, windows), out, state, "append", GroupStateTimeout.NoTimeout)
+    return bars.groupBy(*SERIES).applyInPandasWithState(_indicators(periods, windows), out, state, "append", timeout)
 
 
 def open_bars(bars: DataFrame) -> DataFrame:
@@ -107,32 +123,56 @@ def open_bars(bars: DataFrame) -> DataFrame:
     return rows.withColumn("__least", least).where("__n >= __least").select(*bars.columns)
 
 
-def detector_sink(path: str, state: str, spot: DataFrame, ids: list[str] | None = None, min_values: dict[str, float] | None = None):
-    """A foreachBatch sink: firings of a batch of bars (the columns of CANDLES) go to `path`/epoch=n, the bars that stay open to `state`/epoch=n.
+def firings(seen: DataFrame, spot: DataFrame, ids: list[str] | None = None, min_values: dict[str, float] | None = None) -> DataFrame:
+    """Firings, with their outcomes, that the fresh bars of `seen` (with_open_bars) bring about.
 
-    The detectors and their outcomes are those of the batch, over the new bars
-    and the open ones of the epoch before, so an epoch that is run again writes
-    the same. Rising green bars fire when their run has ended, the other
-    patterns at once. `spot` has the series of the bars' durations; it is read
-    anew in each epoch. State is as long as the open runs.
+    The detectors are those of the batch. Rising green bars fire when their run
+    has ended, the other patterns at once. `spot` has the series of the bars'
+    durations.
+    """
+    before = F.max(F.when(~F.col("fresh"), F.col("ts"))).alias("__before")
+    edge = seen.groupBy(*SERIES).agg(F.max("ts").alias("__now"), before)
+    found = run_detectors(with_spot_bar(with_peak_after(seen.drop("fresh")), spot), None, ids, min_values).drop("spot_bar").join(edge, SERIES)
+    first = F.col("__before").isNull()
+    ended = (F.col("signal") == "green_stairs") & (F.col("entry_ts") < F.col("__now")) & (first | (F.col("entry_ts") >= F.col("__before")))
+    at_once = (F.col("signal") != "green_stairs") & (first | (F.col("entry_ts") > F.col("__before")))
+    return found.where(ended | at_once).drop("__now", "__before")
+
+
+def firing_sink(path: str, spot: DataFrame, ids: list[str] | None = None, min_values: dict[str, float] | None = None):
+    """A foreachBatch sink of with_open_bars: firings of a batch go to `path`/epoch=n, so an epoch that is run again writes the same."""
+
+    def write(seen: DataFrame, epoch: int) -> None:
+        firings(cut(seen, "seen"), spot, ids, min_values).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return write
+
+
+def detector_sink(path: str, state: str, spot: DataFrame, ids: list[str] | None = None, min_values: dict[str, float] | None = None, settlements: DataFrame | None = None):
+    """A foreachBatch sink for bars (the columns of CANDLES) without a watermark: firings go to `path`/epoch=n, the bars that stay open to `state`/epoch=n.
+
+    Open bars are tables here, read and written in each epoch; with
+    `settlements` (spot, expiry, settle_ts) those of chains that have settled by
+    the newest bar of the batch are dropped. An epoch that is run again reads
+    the one before it and writes the same. Of two bars of a time the new one
+    counts.
     """
     names = [f.split()[0] for f in CANDLES.split(", ")]
 
     def write(new: DataFrame, epoch: int) -> None:
         spark = new.sparkSession
         kept = read_table(spark, f"{state}/epoch={epoch - 1}", CANDLES).select(*names)
-        before = kept.groupBy(*SERIES).agg(F.max("ts").alias("__before"))
-        both = cut(kept.withColumn("__old", F.lit(1)).unionByName(new.select(*names).withColumn("__old", F.lit(0))).dropDuplicates([*SERIES, "ts"]).drop("__old"), "stream")
-        bars = with_spot_bar(with_peak_after(both), spot)
-        now = both.groupBy(*SERIES).agg(F.max("ts").alias("__now"))
-        found = run_detectors(bars, None, ids, min_values).drop("spot_bar").join(now, SERIES).join(before, SERIES, "left")
-        first = F.col("__before").isNull()
-        ended = (F.col("signal") == "green_stairs") & (F.col("entry_ts") < F.col("__now")) & (first | (F.col("entry_ts") >= F.col("__before")))
-        at_once = (F.col("signal") != "green_stairs") & (first | (F.col("entry_ts") > F.col("__before")))
-        found.where(ended | at_once).drop("__now", "__before").write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        if settlements is not None:
+            newest = F.broadcast(new.agg(F.max("ts").alias("__newest")))  # one row
+            live = settlements.select("spot", "expiry", "settle_ts").join(newest, F.lit(True)).where("settle_ts > __newest or __newest is null")
+            kept = kept.join(live.select("spot", "expiry"), ["spot", "expiry"], "left_semi")
+        last = Window.partitionBy(*SERIES, "ts").orderBy(F.desc("fresh"), F.desc("volume"), *[F.desc(c) for c in names if c not in (*SERIES, "ts", "volume")])
+        rows = kept.withColumn("fresh", F.lit(False)).unionByName(new.select(*names).withColumn("fresh", F.lit(True)))
+        both = cut(rows.withColumn("__k", F.row_number().over(last)).where("__k = 1").drop("__k"), "stream")
+        firings(both, spot, ids, min_values).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
         # Series without a new bar stay as they are. An epoch that is run again reads the one before it, nothing older.
         remove(spark, f"{state}/epoch={epoch - 2}")
-        open_bars(both).write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
+        open_bars(both.drop("fresh")).write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
 
     return write
 
@@ -145,7 +185,12 @@ def update_outcomes(open_signals: DataFrame, bars: DataFrame) -> DataFrame:
     later = bars.select(*SERIES, F.col("ts").alias("__t"), F.col("high").alias("__h"))
     keys = [*SERIES, "entry_ts"]
     peaks = open_signals.select(*keys).distinct().join(later, SERIES).where("__t > entry_ts").groupBy(*keys).agg(F.max("__h").alias("__peak"))
-    rows = open_signals.join(peaks, keys, "left")
+    return with_peaks(open_signals, peaks)
+
+
+def with_peaks(open_signals: DataFrame, peaks: DataFrame) -> DataFrame:
+    """Signals brought up to date by the highest later bar of each (SERIES, entry_ts, __peak), if any."""
+    rows = open_signals.join(peaks, [*SERIES, "entry_ts"], "left")
     pending, peak, trigger = (F.col("state") == "pending"), F.col("__peak"), F.col("trigger_high")
     up = (F.col("state") == "activated") | F.coalesce(peak > trigger, F.lit(False))
     ratio = F.when(trigger > 0, half_up(F.try_divide(peak, trigger), 3)).otherwise(0.0)
