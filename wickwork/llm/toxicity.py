@@ -16,17 +16,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wickwork.llm.common import cut, held_out, table
+from wickwork.llm.common import cut, held_out, table, text_slices
 from wickwork.llm.quality import label_sample, one_text
 
 FOLDS, HELD = 4, 2
-#: Labelled documents that are read at most. A feature takes part if MIN_DOCS of their texts have it and toxic ones are
-#: LIFT times as common among these as among all and by SIGMAS standard deviations more; MAX_FEATURES bounds the model,
-#: the most significant ones first.
-SAMPLE, MIN_DOCS, LIFT, SIGMAS, MAX_FEATURES, SEED = 20_000, 3, 2.0, 3.0, 20_000, 7
+#: Labelled documents that are read at most, and their (sentence, feature) pairs that the fit takes: it stops at the last
+#: document, in order of a hash, that fits. A feature takes part if MIN_DOCS of their texts have it and toxic ones are more
+#: common among these than among all by SIGMAS standard deviations, whatever the share of toxic ones is.
+SAMPLE, MAX_PAIRS, MIN_DOCS, SIGMAS, SEED = 20_000, 4_000_000, 3, 3.0, 7
 #: Lengths of the beginnings that count besides the word itself.
 STEMS = (3, 4, 5, 6, 7)
 ROUNDS, LASSO = 250, 0.35
@@ -52,9 +52,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(feature, n, hits): documents and toxic documents of each feature; feature -1 counts all documents."""
     seen: dict = {}
     for batch in batches:
-        y = np.array(batch.column(1).to_pylist(), float)
-        each = [np.array([-1, *_of(set(WORD.findall((t or "").lower())), seen)], np.int64) for t in batch.column(2).to_pylist()]
-        if each:
+        for start, texts in text_slices(batch.column(2)):
+            y = np.array(batch.column(1).slice(start, len(texts)).to_pylist(), float)
+            each = [np.array([-1, *_of(set(WORD.findall((t or b"").decode().lower())), seen)], np.int64) for t in texts]
             found, at = np.unique(np.concatenate(each), return_inverse=True)
             hits = np.bincount(at, weights=np.repeat(y, [len(x) for x in each]))
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(at)), pa.array(hits)], ["feature", "n", "hits"])
@@ -66,15 +66,17 @@ def _bags(chosen):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, known = {}, {f: i for i, f in enumerate(chosen.value.tolist())}
         for batch in batches:
-            count, sentence, feature = [], [], []
-            for t in batch.column(2).to_pylist():
-                parts = SENTENCE.findall((t or "").lower())
-                own = [(i, known[f]) for i, s in enumerate(parts) for f in sorted(_of(set(WORD.findall(s)), seen)) if f in known]
-                count.append(len(parts))
-                sentence.append([i for i, _ in own])
-                feature.append([f for _, f in own])
-            columns = [pa.array(count, pa.int32()), pa.array(sentence, pa.list_(pa.int32())), pa.array(feature, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "y", "sentences", "sentence", "feature"])
+            for start, texts in text_slices(batch.column(2)):
+                count, sentence, feature = [], [], []
+                for t in texts:
+                    parts = SENTENCE.findall((t or b"").decode().lower())
+                    own = [(i, known[f]) for i, s in enumerate(parts) for f in sorted(_of(set(WORD.findall(s)), seen)) if f in known]
+                    count.append(len(parts))
+                    sentence.append(np.array([i for i, _ in own], np.int32))
+                    feature.append(np.array([f for _, f in own], np.int32))
+                columns = [pa.array(count, pa.int32()), pa.array(sentence, pa.list_(pa.int32())), pa.array(feature, pa.list_(pa.int32()))]
+                rows = batch.slice(start, len(texts))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *columns], ["doc_id", "y", "sentences", "sentence", "feature"])
 
     return run
 
@@ -98,7 +100,8 @@ class NoisyOr:
         plain = sentences - np.bincount(doc, minlength=len(y))
         sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
         w, bias = np.zeros(len(names)), -9.0
-        leak = float(np.log(y.mean() / 4 / (1 - y.mean() / 4)))
+        share = min(1 - 1e-3, max(1e-3, float(y.mean()))) / 4
+        leak = float(np.log(share / (1 - share)))
         m, v = np.zeros(len(names) + 2), np.zeros(len(names) + 2)
         for step in range(1, ROUNDS + 1):
             p, base, lam = sigmoid(bias + np.bincount(sentence, weights=w[word], minlength=len(doc))), sigmoid(bias), sigmoid(leak)
@@ -174,15 +177,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
     rate = whole["hits"] / whole["n"]
     lift = (F.col("hits") + rate) / (F.col("n") + 1) - rate
     chance = SIGMAS * F.sqrt(F.lit(rate * (1 - rate)) / (F.col("n") + 1))
-    often = F.col("hits") >= LIFT * rate * F.col("n")
-    able = counts.where((F.col("feature") >= 0) & (F.col("n") >= MIN_DOCS) & often & (lift > chance))
-    best = able.orderBy(F.desc(lift / chance), "feature").limit(MAX_FEATURES).select("feature").toArrow()["feature"].to_numpy()
+    able = counts.where((F.col("feature") >= 0) & (F.col("n") >= MIN_DOCS) & (lift > chance))
+    best = able.select("feature").toArrow()["feature"].to_numpy()
     if not len(best):
         return NoisyOr(float(rate))
     chosen = spark.sparkContext.broadcast(np.sort(best))
     kind = docs.schema["doc_id"].dataType.simpleString()
     bags = rows.mapInArrow(_bags(chosen), f"doc_id {kind}, y double, sentences int, sentence array<int>, feature array<int>")
-    got = bags.toArrow().sort_by([("doc_id", "ascending"), ("sentences", "ascending")])  # `limit` rows, of chosen features alone
+    # At most `limit` rows are put in order, and pairs beyond MAX_PAIRS stay where they are.
+    bags = cut(bags, "bags")
+    upto = F.sum(F.size("feature")).over(Window.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    taken = bags.select("doc_id", "feature").withColumn("upto", upto).where((F.col("upto") <= MAX_PAIRS) | (F.col("upto") == F.size("feature"))).select("doc_id")
+    got = bags.join(F.broadcast(taken), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("sentences", "ascending")])
     pairs = pc.list_value_length(got["feature"]).to_numpy()
     flat = lambda name: pc.list_flatten(got[name]).to_numpy()
     return NoisyOr().fit(got["y"].to_numpy(), got["sentences"].to_numpy().astype(float), pairs, flat("sentence"), np.sort(best)[flat("feature")])
