@@ -37,14 +37,40 @@ def variadic(many: Callable[..., Column]) -> Callable[..., Column]:
 
 def truth(c: Column, kind: str) -> Column:
     """Numbers other than zero, texts other than empty and true are true; null is false."""
-    test = {"string": c != "", "boolean": c}.get(kind, c != 0)
+    test = c if kind == "boolean" else c != ("" if kind == "string" else 0)
     return F.coalesce(test, F.lit(False))
 
 
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def _is_number(c: Column) -> Column:
+    return F.typeof(c).isin(*NUMBERS) | F.typeof(c).startswith("decimal")
+
+
+def number(c: Column) -> Column:
+    """A value as a number: true is 1; texts, whatever they hold, and missing values are 0. Never fails."""
+    return F.coalesce(F.when(_is_number(c), c.try_cast("double")), F.when((F.typeof(c) == "boolean") & (c.cast("string") == "true"), 1.0), F.lit(0.0))
+
+
+def loose_equal(a: Column, b: Column) -> Column:
+    """Compared as numbers where either side is one, else as texts, where two missing values are equal. Never null, never fails."""
+    numeric = _is_number(a) | _is_number(b)
+    return F.when(numeric, number(a) == number(b)).otherwise(a.cast("string").eqNullSafe(b.cast("string")))
+
+
+def loose_in(a: Column, *among: Column) -> Column:
+    """Whether any of these is loosely equal."""
+    out = F.lit(False)
+    for b in among:
+        out = out | loose_equal(a, b)
+    return out
+
+
 FUNCTIONS: dict[str, Callable[..., Column]] = {
     "log10": log10, "log": log, "exp": F.exp, "sqrt": sqrt, "abs": F.abs, "floor": F.floor, "ceil": F.ceil,
     "sign": F.signum, "round": lambda c: F.floor(c + 0.5), "pow": F.pow, "divide": divide,
-    "min": variadic(F.least), "max": variadic(F.greatest),
+    "min": variadic(F.least), "max": variadic(F.greatest), "eq": loose_equal, "ne": lambda a, b: ~loose_equal(a, b), "in": loose_in,
 }
 
 
@@ -61,6 +87,10 @@ SQL_FUNCTIONS = {
     "log_0": ("x double", "double", "CASE WHEN x > 0 THEN ln(x) ELSE 0 END"),
     "sqrt_0": ("x double", "double", "CASE WHEN x >= 0 THEN sqrt(x) ELSE 0 END"),
     "div_0": ("a double, b double", "double", "coalesce(try_divide(a, b), 0)"),
+    # Equality of two numbers, of a text and a number (the text counts as 0) and of two texts.
+    "eq_0": ("a double, b double", "boolean", "coalesce(a, 0) = coalesce(b, 0)"),
+    "eq_text_0": ("t string, x double", "boolean", "coalesce(x, 0) = 0"),
+    "eq_texts": ("a string, b string", "boolean", "a <=> b"),
     "round_up": ("x double", "double", "floor(x + 0.5)"),
 }
 

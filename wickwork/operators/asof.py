@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickwork.functions.candles import SERIES
-from wickwork.operators.rollup import rollup_many
+from wickwork.operators.rollup import grouped_candles
 
 
 def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], take: list[str], right_on: str | None = None, bucket_days: int | None = None) -> DataFrame:
@@ -68,12 +68,8 @@ def spot_for_duration(spot: DataFrame, durations: list[int], preferred: tuple[in
     pick = Window.partitionBy("spot", "to").orderBy(F.col("duration").isin(*preferred).desc(), F.desc("duration"))
     base = stored.crossJoin(F.broadcast(want)).where("to % duration = 0").withColumn("n", F.row_number().over(pick)).where("n = 1")
     plan = base.select("spot", "duration", "to")
-    fine = spot.join(plan, ["spot", "duration"]).withColumn("duration", F.col("to"))
-    parts = [rollup_many(fine.where(F.col("duration") == d).drop("to"), spark.createDataFrame([(d,)], "duration int"), ["spot"], None) for d in durations]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    # Every bar goes once to each duration that it feeds, and all durations are grouped in one pass.
+    return grouped_candles(spot.join(plan, ["spot", "duration"]), ["spot"])
 
 
 def latest_spot(spot: DataFrame, among: tuple[int, ...] = (5, 15, 30, 60)) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wickwork.functions.scalars import truth
+
 #: Fields that depend on later prices.
 OUTCOMES = ("ratio", "univ_ratio", "univ_symbol", "state", "broke_out", "hold_candles", "peak_after")
 
@@ -55,19 +57,14 @@ def _flag(df: DataFrame, cond: str | Column, name: str) -> DataFrame:
     """The condition as a column: evaluated with missing numbers as 0; numbers count as true unless 0, texts unless empty, null as false."""
     kind = _empty(df, True).select(_column(cond).alias("c")).schema["c"].dataType
     rows = df.select(F.struct(*df.columns).alias("__row"), *df.columns)
-    flagged = fill_numeric(rows).withColumn(name, _truth(_column(cond), kind))
+    flagged = fill_numeric(rows).withColumn(name, truth(_column(cond), kind.simpleString()))
     return flagged.select("__row.*", name)
 
 
-def _truth(c: Column, kind: T.DataType) -> Column:
-    test = c if isinstance(kind, T.BooleanType) else (c != "" if isinstance(kind, T.StringType) else c != 0)
-    return F.coalesce(test, F.lit(False))
-
-
 def where_ex_ante(df: DataFrame, cond: str | Column) -> DataFrame:
     """Rows where the condition holds; it may not use outcomes."""
     try:
-        _empty(df, False).where(_truth(_column(cond), T.BooleanType())).schema  # noqa: B018
+        _empty(df, False).where(truth(_column(cond), "boolean")).schema  # noqa: B018
     except AnalysisException as e:
         if e.getCondition() and e.getCondition().startswith("UNRESOLVED"):
             raise LookAheadError(f"not known when the signal fires: {e.getMessage()}") from e

@@ -91,11 +91,14 @@ def _sweep(cap_candles: int):
 def merge_trades(trades: DataFrame, cap: int = 30) -> DataFrame:
     """Trades merged into events: a trade joins the last event if it overlaps it and stretches its end by `cap` candles at most.
 
-    Groups are one chain and type each, so they hold what its series trade, not the table.
+    Where no earlier trade of a chain and type reaches over, no event does, so
+    the order is swept island by island: a group is an island of overlapping
+    trades, however long its chain.
     """
-    keys = ["spot", "expiry", "duration", "type"]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in trades.schema)
-    swept = trades.groupBy(*keys).applyInPandas(_sweep(cap), f"{kinds}, event int")
+    keys = ["spot", "expiry", "duration", "type", "island"]
+    cutting = islands(trades, keys[:-1], "low_ts", "high_ts")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cutting.schema)
+    swept = cutting.groupBy(*keys).applyInPandas(_sweep(cap), f"{kinds}, event int")
     member = F.struct((-F.col("ratio")).alias("__r"), F.col("low_ts").alias("__t"), F.col("symbol"), F.col("high_ts"))
     best = F.struct(F.col("ratio"), (-F.unix_seconds("low_ts")).alias("t"), F.col("symbol"))
     merged = swept.groupBy(*keys, "event").agg(
@@ -104,4 +107,4 @@ def merge_trades(trades: DataFrame, cap: int = 30) -> DataFrame:
         F.floor(F.avg("hold_candles") + 0.5).cast("int").alias("hold_candles"), F.sort_array(F.collect_list(member)).alias("__m"),
     )
     tidy = F.transform("__m", lambda x: F.struct(x["symbol"].alias("symbol"), (-x["__r"]).alias("ratio"), x["__t"].alias("low_ts"), x["high_ts"].alias("high_ts")))
-    return merged.withColumn("instruments", tidy).drop("__m", "event")
+    return merged.withColumn("instruments", tidy).drop("__m", "event", "island")

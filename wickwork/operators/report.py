@@ -175,6 +175,26 @@ def heatmap(events: DataFrame, alive: DataFrame, at: Column, duration: int, kind
     return out.withColumns({"fired": F.coalesce("fired", F.lit(0)), "names": F.coalesce("names", F.array().cast("array<string>"))})
 
 
+def heatmap_at(events: DataFrame, alive: DataFrame, duration: int, kind: str, slots: int, min_value: float = 0.0, names: int = 14) -> DataFrame:
+    """heatmap for each moment of `alive` (alive_at), with the columns of `heatmap` and at.
+
+    A slot that is over counts the same at every later moment; only of the slot
+    that a moment lies in are the events after it left out.
+    """
+    size = duration * 60
+    slot_of = lambda c: F.floor((F.unix_seconds(c) - 43_200) / size) * size + 43_200
+    last = slot_of("at")
+    axis = alive.select("spot", "expiry", "at").withColumn("slot", F.explode(F.sequence(last - (slots - 1) * size, last, F.lit(size).cast("bigint"))))
+    fired = events.where((F.col("duration") == duration) & (F.col("type") == kind) & (F.col("max_value") >= min_value))
+    each = fired.select("spot", "expiry", slot_of("end_ts").alias("slot"), "end_ts", F.explode("instruments").alias("symbol"))
+    # The first time a symbol fires in a slot decides at which moments it is there.
+    each = each.groupBy("spot", "expiry", "slot", "symbol").agg(F.min("end_ts").alias("__first"))
+    keys = ["spot", "expiry", "slot"]
+    hits = axis.join(each, keys).where("__first <= at").groupBy(*keys, "at").agg(F.count("*").alias("fired"), F.slice(F.sort_array(F.collect_list("symbol")), 1, names).alias("names"))
+    out = axis.join(hits, [*keys, "at"], "left")
+    return out.withColumns({"fired": F.coalesce("fired", F.lit(0)), "names": F.coalesce("names", F.array().cast("array<string>"))})
+
+
 def heatmap_totals(cells: DataFrame) -> DataFrame:
     return cells.agg(F.max("fired").alias("most"), F.sum("fired").alias("total"))
 

@@ -50,6 +50,11 @@ def rollup_many(candles: DataFrame, targets: DataFrame | list[int], by: list[str
     else:
         plan = candles.sparkSession.createDataFrame(sources_for(list(targets), bases), "to int, duration int")
         fine = candles.join(F.broadcast(plan), "duration").drop("duration")
+    return grouped_candles(fine, by)
+
+
+def grouped_candles(fine: DataFrame, by: list[str]) -> DataFrame:
+    """Candles of the durations in column `to`, from candles that each feed one of them."""
     low = F.when(F.col("low") != 0, F.col("low"))
     grouped = fine.groupBy(*by, F.col("to").alias("duration"), slot_start("ts", F.col("to")).alias("slot")).agg(
         F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.coalesce(F.min(low), F.lit(0.0)).alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume")

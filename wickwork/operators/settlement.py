@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wickwork.operators.rollup import START_HOURS
+from wickwork.operators.stab import stab_join
 
 #: Fixed value: time of day, in UTC seconds, at which an expiry settles unless something else is known.
 DEFAULT_SETTLE_SECONDS, LISTED_DAYS = 12 * 3600, 40
@@ -45,9 +46,18 @@ def active_durations(expiries: DataFrame, now: Column, windows: dict[int, float]
     return expiries.crossJoin(F.broadcast(dim)).where(tte_hours(now) < F.col("window_hours") + 1).drop("window_hours")
 
 
-def alive_expiries(expiries: DataFrame, candles: DataFrame, at: Column) -> DataFrame:
-    """Expiries listed by `at` (first candle of the coarsest duration, else 40 days before settlement) and not yet settled."""
+def listed_expiries(expiries: DataFrame, candles: DataFrame) -> DataFrame:
+    """Expiries with listed_ts: the first candle of the coarsest duration, else 40 days before settlement."""
     coarsest = candles.groupBy("spot", "expiry").agg(F.min(F.struct((-F.col("duration")).alias("d"), F.col("ts"))).alias("f")).select("spot", "expiry", F.col("f.ts").alias("__first"))
     listed = F.coalesce("__first", F.timestamp_seconds(F.unix_seconds("settle_ts") - LISTED_DAYS * 86_400))
-    rows = expiries.join(coarsest, ["spot", "expiry"], "left").withColumn("listed_ts", listed).drop("__first")
-    return rows.where((F.col("listed_ts") <= at) & (F.col("settle_ts") > at))
+    return expiries.join(coarsest, ["spot", "expiry"], "left").withColumn("listed_ts", listed).drop("__first")
+
+
+def alive_expiries(expiries: DataFrame, candles: DataFrame, at: Column) -> DataFrame:
+    """Expiries listed by `at` and not yet settled."""
+    return listed_expiries(expiries, candles).where((F.col("listed_ts") <= at) & (F.col("settle_ts") > at))
+
+
+def alive_at(expiries: DataFrame, candles: DataFrame, moments: DataFrame) -> DataFrame:
+    """The same for each moment of a table (column at), in one join."""
+    return stab_join(listed_expiries(expiries, candles), moments.select("at").distinct(), "listed_ts", "settle_ts")

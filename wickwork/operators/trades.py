@@ -40,22 +40,43 @@ def best_trade(candles: DataFrame, min_ratio: float = 0.0) -> DataFrame:
     return out.where(F.col("ratio") >= min_ratio)
 
 
+class Extremes:
+    """Place of the first largest (sign 1) or smallest (sign -1) value of any stretch, by a sparse table: one comparison a question."""
+
+    def __init__(self, values: np.ndarray, sign: int):
+        self.values = values * sign
+        self.rows = [np.arange(len(values), dtype=np.int32)]
+        while (step := 1 << len(self.rows) - 1) * 2 <= len(values):
+            a, b = self.rows[-1][:-step], self.rows[-1][step:]
+            self.rows.append(np.where(self.values[b] > self.values[a], b, a))
+
+    def __call__(self, a: int, b: int) -> int:
+        """Of the stretch [a, b), which is not empty."""
+        k = (b - a).bit_length() - 1
+        x, y = int(self.rows[k][a]), int(self.rows[k][b - (1 << k)])
+        return y if self.values[y] > self.values[x] else x
+
+
 def _partition(cap: int):
-    """All trades of one series: the highest high and the lowest low before it, then the bars left of the low and right of the high."""
+    """All trades of one series: the highest high and the lowest low before it, then the bars left of the low and right of the high.
+
+    Stretches to the right are split first; with a cap that order is part of the result.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", kind="stable")
-        high, low, ts = pdf["high"].to_numpy(), pdf["low"].to_numpy(), pdf["ts"].to_numpy()
+        high, low, ts = pdf["high"].to_numpy(float), pdf["low"].to_numpy(float), pdf["ts"].to_numpy()
+        highest, lowest = Extremes(high, 1), Extremes(low, -1)
         todo, found = [(0, len(pdf))], []
         while todo and len(found) < cap:
             a, b = todo.pop()
             if b - a < 2:
                 continue
-            top = a + int(np.argmax(high[a:b]))
+            top = highest(a, b)
             if top == a:
                 todo.append((a + 1, b))
                 continue
-            bottom = a + int(np.argmin(low[a:top]))
+            bottom = lowest(a, top)
             if low[bottom] > 0 and high[top] > 0:
                 found.append((bottom, top))
             todo += [(a, bottom), (top + 1, b)]

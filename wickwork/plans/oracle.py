@@ -448,6 +448,37 @@ SUPPLIER_BARS = (
 SUPPLIER_SQUEEZE = f"SELECT symbol, ts AS entry_ts, start AS pattern_start, len::INT AS seq_length, {r('greatest(r1, r2)', 3)} AS signal_value, {STATE} AS state, {RATIO} AS ratio FROM rsq WHERE greatest(r1, r2) >= 2"
 
 
+#: Many moments, counts that come with the rows, and streams with keyed state.
+_AT = "(SELECT DISTINCT ts // 43200 * 43200 AS moment FROM bars)"
+_ALIVE = f"(SELECT moment, expiry, listed_ts FROM {_AT} m, (SELECT expiry, min(ts) AS listed_ts FROM bars GROUP BY expiry) WHERE listed_ts <= moment AND {SETTLE} > moment)"
+_FIRED = "FROM sig0 WHERE signal <> 'green_stairs' OR pk IS NOT NULL"
+_LIVE = f"(SELECT * FROM b WHERE {SETTLE} > (SELECT max(ts) FROM bars))"
+SQL |= {
+    "alive_expiries_at": f"SELECT moment, {D}, listed_ts FROM {_ALIVE}",
+    "heatmap_at": (
+        f"SELECT a.moment, {D.replace('expiry::', 'a.expiry::')}, a.slot, coalesce(fired, 0) AS fired, coalesce(names, '') AS names FROM (SELECT moment, expiry, unnest(generate_series(moment // 7200 * 7200 - 11 * 7200, moment // 7200 * 7200, 7200)) AS slot FROM {_ALIVE}) a LEFT JOIN "
+        f"(SELECT moment, expiry, slot, len(l) AS fired, array_to_string(l[1:14], ',') AS names FROM (SELECT m.moment, e.expiry, e.end_ts // 7200 * 7200 AS slot, list_sort(list_distinct(flatten(list(syms)))) AS l FROM ev e, {_AT} m WHERE signal = 'otm_wall' AND type = 'C' "
+        "AND end_ts <= m.moment GROUP BY ALL)) g ON g.moment = a.moment AND g.expiry = a.expiry AND g.slot = a.slot"
+    ),
+    "clustered_candles": SQL["peak_after"],
+    "loose_equality": (
+        f"SELECT symbol, {D}, ts, x = -1 AS text_one, true AS text_zero, x <> 0 AS not_abc, x = CASE WHEN close > open THEN 1 ELSE 0 END AS number_flag, x IN (0, 1) AS listed, x IN (0, 3) AS mixed, x = 0 AS sql_zero, x = 1 AS sql_text "
+        "FROM (SELECT *, floor(close)::BIGINT % 4 AS x FROM bars)"
+    ),
+    "counted_rows": (
+        "SELECT 'tagged' AS of, count(*) AS n FROM tag WHERE mb IS NOT NULL UNION ALL SELECT 'trades', count(*) FROM tx WHERE ratio >= 5 UNION ALL SELECT 'excluded', count(*) FROM tag WHERE mb IS NULL "
+        "UNION ALL SELECT 'raw_trades', count(*) FROM tx UNION ALL SELECT 'qualifying', count(*) FROM tx WHERE ratio >= 5 UNION ALL SELECT 'empty ' || f, 1 FROM (VALUES ('distance_pct'), ('equal_steps'), ('dist')) x(f)"
+    ),
+    "stream_expiring": SQL["stream_signals"],
+    "stream_pass": (
+        f"SELECT signal AS kind, symbol, {D}, ts AS moment, value {_FIRED} UNION ALL SELECT 'point', symbol, {D}, ts, close FROM {_LIVE} WHERE n > size - 3 "
+        f"UNION ALL SELECT 'board', count(DISTINCT symbol)::VARCHAR, {D}, max(ts), (SELECT count(*) FROM sig0 x WHERE x.expiry = y.expiry AND (x.signal <> 'green_stairs' OR x.pk IS NOT NULL))::DOUBLE FROM {_LIVE} y GROUP BY expiry"
+    ),
+    "stream_followed": SQL["stream_outcomes"],
+    "stream_final": f"SELECT symbol, {D}, ts, close, volume FROM bars WHERE ts < (SELECT max(ts) FROM bars) - 43200",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     found = {k: build(v, "bars" if k == "folds" else "units") for k, v in SQL.items()}
     runs = ", ".join(f"{n} AS ({TABLES[n]})" for n in ("b", "rr", "rs", "rn", "ra", "rg", "rsq"))
