@@ -90,3 +90,45 @@ def test_key_of_the_session(spark):
         assert pii.session_key(spark) == "own"
     finally:
         spark.conf.unset(pii.KEY_CONF)
+
+
+def spaced(shape, core):
+    new = iter(core)
+    return "".join(next(new) if c.isalnum() else c for c in shape)
+
+
+def hexes(text):
+    core = text.replace(":", "")
+    return spaced(text, "".join(f"{x:x}" for x in network([int(c, 16) for c in core], [16] * len(core), "ip6")))
+
+
+def parts(text, order, sep):
+    y, m, d = date("-".join(f"{int(p):02d}" for p in (text.split(sep)[i] for i in order))).split("-")
+    return {"y": y, "m": m, "d": d}
+
+
+FORMS = {
+    "DE89 3704 0044 0532 0130 00": lambda t: spaced(t, iban(t.replace(" ", ""))), "3782 822463 10005": lambda t: spaced(t, card(t.replace(" ", ""))),
+    "378282246310005": card, "12/25/2023": lambda t: "{m}/{d}/{y}".format(**parts(t, (2, 0, 1), "/")), "2023/12/25": lambda t: "{y}/{m}/{d}".format(**parts(t, (0, 1, 2), "/")),
+    "1.2.2023": lambda t: ".".join(str(int(parts(t, (2, 1, 0), ".")[k])) for k in "dm") + "." + parts(t, (2, 1, 0), ".")["y"],
+    "555-123-4567": lambda t: digits(t, "phone"), "2001:db8:85a3:0:0:8a2e:370:7334": hexes, "fe80::1ff:fe23:4567:890a": hexes,
+}
+
+
+def test_common_forms(make):
+    got = {r["doc_id"]: (r["text"], r["n_pii"]) for r in pii.pseudonymise(make([f"see {t}, or ({t})" for t in FORMS]), KEY).collect()}
+    assert got == {i: (f"see {f(t)}, or ({f(t)})", 2) for i, (t, f) in enumerate(FORMS.items())}
+    # The same value has the same pseudonym in every form.
+    assert FORMS["DE89 3704 0044 0532 0130 00"]("DE89 3704 0044 0532 0130 00").replace(" ", "") == iban("DE89370400440532013000")
+
+
+def test_what_fails_its_check_stays(make):
+    stays = ["DE88 3704 0044 0532 0130 00", "3782 822463 10006", "13/32/2023", "2023/13/25", "31.2.2023", "1.13.2023", "5555-123-4567", "555-123-45678", "12:30:45", "a::b::c", "1.2.2023.4"]
+    got = [(r["text"], r["n_pii"]) for r in pii.pseudonymise(make([f"see {t} there" for t in stays]), KEY).orderBy("doc_id").collect()]
+    assert got == [(f"see {t} there", 0) for t in stays]
+
+
+def test_a_very_long_text(make):
+    text = "word " * 60_000 + "4111111111111111 " + "word " * 60_000
+    (row,) = pii.pseudonymise(make([text]), KEY).collect()
+    assert row["text"] == text.replace("4111111111111111", card("4111111111111111")) and row["n_pii"] == 1

@@ -29,12 +29,15 @@ YEAR, MONTH, DAY = r"(?:18|19|20|21)\d\d", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
-    "iso_date": rf"(?<![\d-]){YEAR}-{MONTH}-{DAY}(?![\d-])",
+    "ip6": r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
+    "iso_date": rf"(?<![\d/-]){YEAR}(?:-{MONTH}-{DAY}|/{MONTH}/{DAY})(?![\d/-])",
     "day_date": rf"(?<![\d./]){DAY}[./]{MONTH}[./]{YEAR}(?!\d)",
+    "month_date": rf"(?<![\d./]){MONTH}/(?:1[3-9]|2\d|3[01])/{YEAR}(?!\d)",
+    "bare_date": rf"(?<![\d./])(?:[1-9]|[12]\d|3[01])\.(?:[1-9]|1[0-2])\.{YEAR}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
-    "card": r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7})(?!\d)",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])",
+    "card": r"(?<!\d)(?:\d{13,19}|\d{4}([ -])(?:\d{4}\1\d{4}\1\d{1,7}|\d{6}\1\d{5}))(?!\d)",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])",
 }
 #: Days of a Gregorian cycle of 400 years, as two radices.
@@ -115,9 +118,9 @@ def _permute_alnum(text: Column, key: str, kind: str) -> Column:
     return _refill(text, new, _is_alnum)
 
 
-def _permute_hex(text: Column, key: str) -> Column:
+def _permute_hex(text: Column, key: str, kind: str = "secret") -> Column:
     values = F.transform(_chars(text), lambda c: F.conv(c, 16, 10).cast("int"))
-    new = let(values, lambda v: feistel(v, F.array_repeat(F.lit(16), F.size(v)), key, "secret"))
+    new = let(values, lambda v: feistel(v, F.array_repeat(F.lit(16), F.size(v)), key, kind))
     return let(F.array_join(F.transform(new, lambda v: F.hex(v)), ""), lambda x: F.when(text.rlike("[a-f]") | ~text.rlike("[A-F]"), F.lower(x)).otherwise(x))
 
 
@@ -155,6 +158,17 @@ def _iban(text: Column, key: str) -> Column:
     return F.when(_mod97(text) == 1, let(_permute_alnum(F.substring(text, 5, 40), key, "iban"), join))
 
 
+def _grouped_iban(text: Column, key: str) -> Column:
+    """An IBAN whose characters may stand in groups: it has the pseudonym that it has without the blanks."""
+    return let(_iban(F.replace(text, F.lit(" "), F.lit("")), key), lambda v: F.when(v.isNotNull(), _refill(text, _chars(v), _is_alnum)))
+
+
+def _ip6(text: Column, key: str) -> Column:
+    """The digits are permuted in their places, so an address that is written in another way has another pseudonym."""
+    is_hex = lambda c: c != ":"
+    return let(_permute_hex(F.replace(text, F.lit(":"), F.lit("")), key, "ip6"), lambda v: _refill(text, _chars(v), is_hex))
+
+
 def _date(day: Column, key: str) -> Column:
     start = F.lit(CYCLE_START).cast("date")
     halves = let(F.datediff(day, start), lambda n: F.array(F.floor(n / RADICES[1]).cast("int"), (n % RADICES[1]).cast("int")))
@@ -162,8 +176,16 @@ def _date(day: Column, key: str) -> Column:
 
 
 def session_key(spark: SparkSession) -> str:
-    """The session's key (KEY_CONF, then KEY_ENV); where neither is set that of the synthetic tables, which protects nothing."""
-    return spark.conf.get(KEY_CONF, None) or os.environ.get(KEY_ENV) or TEST_TABLES_KEY
+    """The session's key (KEY_CONF, then KEY_ENV).
+
+    Where neither is set that of the synthetic tables, which protects nothing,
+    but only under a local master: on a cluster a session without a key is
+    refused.
+    """
+    key = spark.conf.get(KEY_CONF, None) or os.environ.get(KEY_ENV)
+    if not key and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {KEY_CONF} or {KEY_ENV}: pseudonyms under a known key can be turned back")
+    return key or TEST_TABLES_KEY
 
 
 def _email(text: Column, at: Column, key: str) -> Column:
@@ -177,7 +199,9 @@ def _email(text: Column, at: Column, key: str) -> Column:
 def pseudonym(found: Column, key: str) -> Column:
     """The pseudonym of one match of PATTERNS; null if it fails its check."""
     at = F.instr(found, "@")
-    iso, dot = found.try_cast("date"), F.substring(found, 3, 1)
+    iso, dot = F.translate(found, "/", "-").try_cast("date"), F.substring(found, 3, 1)
+    american = F.concat_ws("-", F.substring(found, 7, 4), F.substring(found, 1, 2), F.substring(found, 4, 2)).try_cast("date")
+    bare = F.concat_ws("-", F.reverse(F.split(found, r"\."))).try_cast("date")
     day = F.concat_ws("-", F.substring(found, 7, 4), F.substring(found, 4, 2), F.substring(found, 1, 2)).try_cast("date")
     octets = F.transform(F.split(found, r"\."), lambda x: x.cast("int"))
     country = F.regexp_extract(found, r"^(\+\d{1,3}[ .-](?=\(?\d)|\+\d)?", 0)
@@ -185,12 +209,15 @@ def pseudonym(found: Column, key: str) -> Column:
     return (
         F.when(at > 0, _email(found, at, key))
         .when(whole("ip"), F.array_join(feistel(octets, F.array_repeat(F.lit(256), 4), key, "ip").cast("array<string>"), "."))
-        .when(whole("iso_date"), F.date_format(_date(iso, key), "yyyy-MM-dd"))
+        .when(whole("ip6"), _ip6(found, key))
+        .when(whole("iso_date"), F.replace(F.date_format(_date(iso, key), "yyyy-MM-dd"), F.lit("-"), F.substring(found, 5, 1)))
         .when(whole("day_date"), F.replace(F.date_format(_date(day, key), "dd-MM-yyyy"), F.lit("-"), dot))
+        .when(whole("month_date"), F.date_format(_date(american, key), "MM/dd/yyyy"))
+        .when(whole("bare_date"), F.date_format(_date(bare, key), "d.M.yyyy"))
         .when(whole("ssn"), _permute_digits(found, key, "ssn"))
         .when(whole("phone"), F.concat(country, _permute_digits(F.substring(found, F.length(country) + 1, F.length(found)), key, "phone")))
         .when(whole("card") & ~found.rlike("[a-fA-F]"), F.coalesce(_card(found, key), F.when(whole("secret"), _permute_hex(found, key))))
-        .when(whole("iban"), _iban(found, key))
+        .when(whole("iban"), _grouped_iban(found, key))
         .when(whole("secret"), _permute_hex(found, key))
     )
 
