@@ -20,7 +20,8 @@ from wickwork.llm.common import GAPS, cut, table, word_count
 SHARE, REPEAT, WEIGHTS = 1.5, 2.0, (3.0, 1.0, 2.0)
 #: Words a shard holds; there are at most MAX_SHARDS, so the driver's tables stay small.
 SHARD_WORDS, MAX_SHARDS = 1 << 16, 20_000
-BLOCK_WORDS, SEED = 64, 20240607
+#: Words of a block; it is smaller where that is more than a PART of the smallest target, so that every source gets its share.
+BLOCK_WORDS, PART, SEED = 64, 16, 20240607
 
 
 def fill_targets(sizes: list[float], weights: list[float], total: float, repeat: float = REPEAT) -> list[float]:
@@ -98,6 +99,7 @@ def plan_mix(sized: DataFrame, weights=WEIGHTS, share=SHARE, repeat=REPEAT, bloc
     sizes = [int(r["n"] or 0) for r in rows]
     total = sum(sizes)
     targets = fill_targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], share * total, repeat)
+    block = min(block, max(1, int(min((t for t in targets if t > 0), default=0) / PART)))
     shard_words = max(SHARD_WORDS, total / MAX_SHARDS)
     shards = [max(1, round(n / shard_words)) for n in sizes]
     dim = spark.createDataFrame([(r["source"], n, t, k) for r, n, t, k in zip(rows, sizes, targets, shards, strict=True)], "source string, source_size bigint, target double, shards int")
@@ -153,6 +155,7 @@ def _taken(sized: DataFrame, **how) -> DataFrame:
 def mix(docs: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken: one row per row of `docs`.
 
+    Each source's words come within a few of its target, however small it is.
     Null and blank texts have size 0 and give nothing. A null source is a
     source of its own, the last. Rows with a null doc_id stand first in their
     shard. Repeated rows are taken on their own places. Sources without a word

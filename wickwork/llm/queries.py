@@ -56,15 +56,16 @@ s1 AS (SELECT *, CASE (o - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0 ELSE 2
 s2 AS (SELECT *, row_number() OVER (ORDER BY cap / w, o) AS k, coalesce(sum(cap) OVER (ORDER BY cap / w, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(w) OVER (ORDER BY cap / w, o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM s1),
 s3 AS (SELECT coalesce(min(k) FILTER ((total - before) * w / open < cap), 1000000000) AS k0 FROM s2),
 s4 AS (SELECT source, n, o, total, CASE WHEN k < k0 THEN cap ELSE (SELECT (total - before) * 1.0 FROM s2 WHERE k = k0) * w / (SELECT open FROM s2 WHERE k = k0) END AS target, greatest(1, round_even(n / shard_words, 0)::BIGINT) AS shards FROM s2, s3),
-q AS (SELECT source, row_number() OVER (ORDER BY target / (2 * i + 1) DESC, o) AS nth, total FROM s4, LATERAL (SELECT unnest(range(0, 2 * n // 64)) AS i) WHERE target > 0),
-b AS (SELECT source, count(*) FILTER (nth <= floor(total)::BIGINT // 64) AS seats FROM q GROUP BY source),
+s5 AS (SELECT least(64, greatest(1, floor(min(target) / 16)))::BIGINT AS blk FROM s4 WHERE target > 0),
+q AS (SELECT source, row_number() OVER (ORDER BY target / (2 * i + 1) DESC, o) AS nth, total FROM s4, LATERAL (SELECT unnest(range(0, 2 * n // (SELECT blk FROM s5))) AS i) WHERE target > 0),
+b AS (SELECT source, count(*) FILTER (nth <= floor(total)::BIGINT // (SELECT blk FROM s5)) AS seats FROM q GROUP BY source),
 d AS (SELECT z.doc_id, z.source, z.size, n AS source_size, target, md5(concat_ws('|', '20240607', z.doc_id)) AS h, ('0x' || substr(md5(concat_ws('|', '20240608', z.doc_id)), 1, 8))::BIGINT % shards AS shard FROM z JOIN s4 ON z.source IS NOT DISTINCT FROM s4.source),
 e AS (SELECT *, (sum(size) OVER (PARTITION BY source, shard ORDER BY h NULLS FIRST, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING))::BIGINT AS stop FROM d),
 h AS (SELECT source, shard, sum(size)::BIGINT AS m FROM d GROUP BY ALL),
-r AS (SELECT source, shard, row_number() OVER (PARTITION BY source ORDER BY m / (2 * i + 1.0::DOUBLE) DESC, shard) AS nth FROM h, LATERAL (SELECT unnest(range(0, 2 * m // 64)) AS i)),
-g AS (SELECT r.source, shard, count(*) FILTER (nth <= coalesce(seats, 0)) * 64 AS quota FROM r LEFT JOIN b ON r.source IS NOT DISTINCT FROM b.source GROUP BY ALL),
+r AS (SELECT source, shard, row_number() OVER (PARTITION BY source ORDER BY m / (2 * i + 1.0::DOUBLE) DESC, shard) AS nth FROM h, LATERAL (SELECT unnest(range(0, 2 * m // (SELECT blk FROM s5))) AS i)),
+g AS (SELECT r.source, shard, count(*) FILTER (nth <= coalesce(seats, 0)) * (SELECT blk FROM s5) AS quota FROM r LEFT JOIN b ON r.source IS NOT DISTINCT FROM b.source GROUP BY ALL),
 f AS (SELECT e.*, m, stop - size AS start, CASE WHEN m > 0 THEN coalesce(quota, 0) // m ELSE 0 END AS passes, CASE WHEN m > 0 THEN coalesce(quota, 0) % m ELSE 0 END AS rest,
-  ('0x' || substr(md5(concat_ws('|', '20240609', e.source, e.shard)), 1, 8))::BIGINT % greatest(1, ceil(m / 64.0)::BIGINT) * 64 AS a
+  ('0x' || substr(md5(concat_ws('|', '20240609', e.source, e.shard)), 1, 8))::BIGINT % greatest(1, ceil(m / (SELECT blk FROM s5)::DOUBLE)::BIGINT) * (SELECT blk FROM s5) AS a
   FROM e JOIN h ON e.source IS NOT DISTINCT FROM h.source AND e.shard = h.shard LEFT JOIN g ON e.source IS NOT DISTINCT FROM g.source AND e.shard = g.shard)
 SELECT doc_id, size, source_size, target, (passes * size + greatest(0, least(stop, a + rest) - greatest(start, a)) + greatest(0, least(stop, a + rest - m) - start))::BIGINT AS taken FROM f
 """
