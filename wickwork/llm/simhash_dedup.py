@@ -18,12 +18,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wickwork.llm.common import cut, table
+from wickwork.llm.common import cut, filter_bits, may_hold, table
 from wickwork.llm.components import connected_components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
@@ -140,19 +141,26 @@ def keep_one(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = simhas
     gives (doc_id, key, root) of the rows. All columns of `docs` are returned
     unchanged.
     """
-    kinds = grouped(docs).groupBy("root", F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.count("*").alias("n"))
+    kinds = grouped(docs).groupBy("root", F.col("doc_id").alias("id"), "key").agg(F.count("*").alias("n"))
     kinds = cut(kinds, "kinds")
-    first = cut(kinds.groupBy("root").agg(F.min("__id").alias("lowest"), F.count("*").alias("kinds"), F.sum("n").alias("n")).where("n > 1").drop("n"), "first")
+    first = cut(kinds.groupBy("root").agg(F.min("id").alias("lowest"), F.sum("n").alias("all")).where("all > 1").drop("all"), "first")
     # Only rows of groups of several; one kind of row may still occur often.
-    shared = cut(kinds.join(first, "root").withColumn("best", F.col("__id").eqNullSafe(F.col("lowest"))), "shared")
+    shared = cut(kinds.join(first, "root").withColumn("best", F.col("id").eqNullSafe(F.col("lowest"))), "shared")
     tied = shared.where("best").groupBy("root").agg(F.sum("n").alias("rows")).where("rows > 1").select("root")
-    tied = cut(shared.where("best").join(tied, "root").select("root", "__id", "__key"), "tied")
-    gone = shared.where("not best").select("__id", "__key").unionByName(tied.select("__id", "__key"))
-    match = docs["doc_id"].cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__key"))
-    once = docs.join(gone, match, "left_anti")
-    order = Window.partitionBy("__root").orderBy(F.col("text").asc_nulls_last())
-    many = docs.join(tied.withColumnRenamed("root", "__root"), match).withColumn("__nth", F.row_number().over(order)).where("__nth = 1")
-    return once.unionByName(many.select(*[f"`{c}`" for c in docs.columns]))
+    tied = cut(shared.where("best").join(tied, "root").select("root", "id", "key"), "tied")
+    gone = cut(shared.where("not best").select("id", "key").unionByName(tied.select("id", "key")), "gone")
+    # Rows that are in no list, as the filter tells, need no join and are not shuffled.
+    bits = docs.sparkSession.sparkContext.broadcast(filter_bits(gone.select(F.xxhash64("id", "key").alias("listed"))))
+    listed = F.pandas_udf(lambda keys: pd.Series(may_hold(bits.value, keys.to_numpy())), "boolean")
+    # The row stands in a column of its own, so that none of its names can clash.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("__id"), text_key("text").alias("__key"))
+    packed = packed.withColumn("__listed", listed(F.xxhash64("__id", "__key")))
+    match = F.col("__id").eqNullSafe(F.col("id")) & (F.col("__key") == F.col("key"))
+    untouched = packed.where("not __listed").select("row")
+    once = packed.where("__listed").join(gone, match, "left_anti").select("row")
+    order = Window.partitionBy("root").orderBy(F.col("row.text").asc_nulls_last())
+    many = packed.where("__listed").join(tied, match).withColumn("nth", F.row_number().over(order)).where("nth = 1").select("row")
+    return untouched.unionByName(once).unionByName(many).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op7_simhash_dedup(spark, sf_dir: str) -> DataFrame:
