@@ -377,7 +377,7 @@ RECENT = f"ts >= {NOW} - 172800"
 #: Round trips, filters, functions and streams.
 SQL |= {
     "candle_pages": f"SELECT symbol || '@' || {DAY} AS symbol, 120 AS duration, ts, open, high, low, close, volume FROM bars",
-    "compact_candles": f"SELECT 'EVT' AS spot, {D}, 120 AS duration, symbol, ts, open, high, low, close, volume FROM bars WHERE typ = 'C'",
+    "compact_candles": f"SELECT 'EVT' AS spot, {D}, 120 AS duration, symbol, ts, open, high, low, close, volume FROM bars",
     "candle_table": f"SELECT symbol, {D}, ts, close, volume + CASE WHEN day(expiry) <= 7 THEN 1 ELSE 0 END AS volume FROM bars WHERE expiry <= DATE '2024-01-16'",
     "spot_table": "SELECT ts, close + CASE WHEN ts % 14400 = 0 THEN 1 ELSE 0 END AS close FROM spot WHERE ts >= epoch(DATE '2024-01-05') AND ts < epoch(DATE '2024-01-21')",
     "instrument_list": f"SELECT {D}, symbol, CASE WHEN id % 7 <> 0 AND id % 5 <> 0 THEN id ELSE -1 END AS product_id FROM {CHAIN} WHERE id % 7 <> 0 AND id % 5 <> 0 OR id % 3 = 0",
@@ -385,7 +385,7 @@ SQL |= {
         f"SELECT p.spot, strftime(p.expiry, '%Y-%m-%d') AS expiry, epoch(p.expiry)::BIGINT + coalesce(e.a, g.b, p.c) AS settle_ts FROM (SELECT DISTINCT expiry, v.spot, v.c FROM bars, (VALUES ('EVT', 43200), ('OWN', 36000), ('NEW', 43200)) v(spot, c)) p "
         f"LEFT JOIN (SELECT 'EVT' AS spot, expiry, arg_max(s, id) AS a FROM {TAUGHT} GROUP BY expiry) e ON e.spot = p.spot AND e.expiry = p.expiry LEFT JOIN (SELECT 'EVT' AS spot, arg_max(s, (epoch(expiry), id)) AS b FROM {TAUGHT}) g ON g.spot = p.spot"
     ),
-    "event_table": f"SELECT signal, {D}, duration, type, start_ts, n, univ_ratio, instruments FROM ev WHERE signal = 'otm_wall' AND expiry = (SELECT min(expiry) FROM ev WHERE signal = 'otm_wall' AND expiry > {FIRST_WALL})",
+    "event_table": f"SELECT signal, {D}, duration, type, start_ts, n, univ_ratio, instruments FROM ev WHERE NOT (signal = 'otm_wall' AND expiry = {FIRST_WALL})",
     "pattern_table": f"SELECT symbol, {D}, ts AS entry_ts, value AS signal_value FROM sigs WHERE signal = 'otm_wall'",
     "trade_tables": f"SELECT 'event' AS kind, {D}, max_symbol AS symbol, max_ratio AS ratio FROM te UNION ALL SELECT 'best', {D}, symbol, ratio FROM bt",
     "snapshot_table": f"SELECT symbol, {D}, ts, close + CASE WHEN day(expiry) % 2 = 0 THEN 1 ELSE 0 END AS close FROM b WHERE n > size - 2 AND {SETTLE} >= {NOW}",

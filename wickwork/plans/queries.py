@@ -640,7 +640,7 @@ def candle_pages(spark, d):
 @query
 def compact_candles(spark, d):
     """Bars as compact arrays, one file a series, read again."""
-    bars, at = views.chain_bars(spark, d).where("symbol like 'C-%'"), _table(spark, "compact")
+    bars, at = views.chain_bars(spark, d), _table(spark, "compact")
     row = F.concat_ws(",", F.unix_seconds("ts").cast("string"), *[F.col(c).cast("string") for c in candle_tables.VALUES])
     # A file is one series.
     files = bars.groupBy(*SERIES).agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("["), row, F.lit("]")))), ","), F.lit("]")).alias("value"))
@@ -702,14 +702,12 @@ def settlements_learned(spark, d):
 
 @query
 def event_table(spark, d):
-    """Events of two scopes; one scope is then stored again without rows."""
+    """All events, every scope in one write; the first wall's scope is then stored again without rows."""
     events, at = cut(_events(spark, d).drop("settle_ts"), "events"), _table(spark, "events")
-    wall = events.where("signal = 'otm_wall'")
-    days = [r["expiry"] for r in wall.select("expiry").distinct().orderBy("expiry").collect()]
-    for day in days[:2]:
-        result_tables.write_events(wall.where(F.col("expiry") == F.lit(day)), at, "otm_wall", "EVT", str(day))
-    for day in days[:1]:
-        result_tables.write_events(wall.limit(0), at, "otm_wall", "EVT", str(day))
+    result_tables.write_all_events(events, at)
+    (first,) = events.where("signal = 'otm_wall'").agg(F.min("expiry")).first()
+    if first is not None:
+        result_tables.write_events(events.limit(0), at, "otm_wall", "EVT", str(first))
     return _plain(result_tables.read_events(spark, at).select("signal", "expiry", "duration", "type", "start_ts", "n", "univ_ratio", "instruments"))
 
 

@@ -22,6 +22,11 @@ def write_events(df: DataFrame, path: str, signal: str, spot: str, expiry: str)
     write_scope(df, path, {"signal": signal, "spot": spot, "expiry": expiry}, ["signal", "spot", "expiry", "duration"])
 
 
+def write_all_events(df: DataFrame, path: str) -> None:
+    """Replace every scope that `df` has events of, in one job; scopes without a row stay as they are."""
+    write_partitioned(df, path, ["signal", "spot", "expiry", "duration"])
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, EVENTS).withColumn("univ_ratio", F.coalesce("univ_ratio", F.lit(0.0)))
 
