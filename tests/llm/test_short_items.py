@@ -47,3 +47,13 @@ def test_items_without_an_id_and_repeated_items(spark, make):
     got = sorted(((r["doc_id"], r["item_id"], r["n_item"]) for r in decontamination.find_overlaps(docs, bench).collect()), key=str)
     assert got == sorted([(0, None, 15), (0, 3, 15), (1, 1, 14), (1, 2, 14), (1, 3, 15)], key=str)
     assert [r["doc_id"] for r in decontamination.decontaminate(docs, bench).collect()] == [2]
+
+
+def test_stage_leaves_out_the_shortest_items(spark, make, tmp_path):
+    import corpus_pipeline
+
+    items = [(1, "Yes"), (2, "no one there"), (3, "a rather long item of seven words"), (4, None)]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = make(["Yes we can", "there was no one there", "it holds a rather long item of seven words indeed"])
+    kept = lambda **how: sorted(r["doc_id"] for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path), **how).collect())
+    assert kept() == [0, 1] and kept(least=1) == []

@@ -7,13 +7,15 @@ are indexed by anchor and content, each content with its first place.
 
 A document is parsed from left to right. Where a block's content stands
 earlier, a factor (place, words, reference, place in the reference) begins, and
-it goes on over the next blocks as long as they follow each other in that
-reference: the longest such run is the factor. A factor can also begin and end
-inside a block. Such a block shares its anchor with a block of other content,
-so there, at the factor boundaries, the windows are indexed and looked up one by
-one, which carries factors on, word by word, to where their reference ends.
-Factors are of WINDOW words at least; every window that stands earlier lies in
-one, and the words that factors cover are removed.
+it goes on over the next blocks as long as their first places follow each other
+in one reference. It ends where a block stands still earlier elsewhere, so it
+need not be the longest match over all places (README tells why); what factors
+cover does not depend on that. A factor can also begin and end inside a block.
+Such a block shares its anchor with a block of other content, so there, at the
+factor boundaries, the windows are indexed and looked up one by one, which
+carries factors on, word by word, to where their reference ends. Factors are of
+WINDOW words at least; every window that stands earlier lies in one, and the
+words that factors cover are removed.
 
 A third of all rows may hold one passage: blocks and windows are counted with
 partial aggregation and joined to one row per key, which adaptive execution
