@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-SOME = ["ohlcv_60m", "ohlcv_multi", "daily_bars_supplier", "asof_spot", "green_stairs", "otm_wall", "universe_further_otm", "merge_events", "hit_tree", "walk_forward", "best_trade", "stream_candles", "supplier_squeeze", "outcomes_multi", "spot_by_duration", "candle_pages", "compact_candles", "settlements_learned", "scalar_functions", "sql_functions", "stream_signals", "stream_outcomes", "live_snapshot"]
+SOME = ["ohlcv_60m", "ohlcv_multi", "daily_bars_supplier", "asof_spot", "green_stairs", "otm_wall", "universe_further_otm", "merge_events", "hit_tree", "walk_forward", "best_trade", "stream_candles", "supplier_squeeze", "outcomes_multi", "spot_by_duration", "candle_pages", "compact_candles", "settlements_learned", "scalar_functions", "sql_functions", "stream_signals", "stream_outcomes", "live_snapshot", "alive_expiries_at", "loose_equality", "clustered_candles", "stream_followed"]
 
 
 def plain(v):
