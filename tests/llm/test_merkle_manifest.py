@@ -74,9 +74,9 @@ def some(sizes):
     return rows + [(None, None, "en", None, None), (None, "", None, "", 0), (3, "Ünï", "en", "s", 3), (3, "Ünï", "en", "s", 3), (3, "x " * 50_000, "en", "s", 3)]
 
 
-@pytest.mark.parametrize("height", [2, 7])
+@pytest.mark.parametrize("height", [3, 7])
 def test_manifest_equals_plain_trees(spark, monkeypatch, height):
-    """Trees of many sizes, one of one leaf, with builders of 4 and of 128 leaves."""
+    """Trees of many sizes, one of one leaf, with builders of 8 and of 128 leaves."""
     monkeypatch.setattr(mm, "HEIGHT", height)
     monkeypatch.setattr(mm, "FAN", 1 << height)
     rows = some({"en": 70, None: 33, "de": 1, "fr": 17, "é": 16, "0": 2, "": 5})
