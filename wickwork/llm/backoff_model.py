@@ -80,13 +80,16 @@ class Grams:
     """
 
     def __init__(self, texts: list[bytes | None], order: int):
-        known: dict[bytes, int] = {BEGIN: 0, END: 1}
-        rows = []
-        for t in texts:
-            rows.append([0, *(known.setdefault(w, len(known)) for w in (t or b"").lower().split()), 1])
-        sizes = np.array([len(r) for r in rows])
-        self.words = np.fromiter((w for r in rows for w in r), np.int64, int(sizes.sum()))
+        rows = [(t or b"").lower().split() for t in texts]
+        sizes = np.array([len(r) + 2 for r in rows])
+        told = pa.array([w for r in rows for w in r], pa.binary()).dictionary_encode()
+        known = [BEGIN, END, *told.dictionary.to_pylist()]
         self.starts, self.sizes = np.cumsum(sizes) - sizes, sizes
+        self.words = np.zeros(int(sizes.sum()), np.int64)
+        self.words[self.starts + sizes - 1] = 1
+        inside = np.ones(len(self.words), bool)
+        inside[self.starts] = inside[self.starts + sizes - 1] = False
+        self.words[inside] = told.indices.to_numpy(zero_copy_only=False) + 2
         hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known))[self.words]
         inner = np.arange(len(self.words)) - np.repeat(self.starts, sizes)
         self.keys, self.at, code = [], [], hashed.copy()
@@ -163,62 +166,61 @@ def _answers(key: tuple, rows: pa.Table) -> pa.Table:
 class Automaton:
     """States, arcs and failure arcs over the n-grams of some texts, from their counts in training.
 
-    State 0 is the empty context. weight[a] and target[a] are those of arc a,
-    arcs[state * width + word] names it. Weights are logarithms to base 10.
+    State 0 is the empty context; depth is how many words a state knows.
+    weight[a] and target[a] are those of arc a. An arc is found by the n-gram of
+    the state's words and the next one: at[d][t] is the arc that leads from a
+    state of depth d over the word at place t, -1 where there is none. Weights
+    are logarithms to base 10.
     """
 
     def __init__(self, grams: Grams, counts: list[np.ndarray], tokens: int, kinds: int, prior: float):
-        words, levels = grams.words, len(grams.keys)
-        self.width, self.unknown = int(words.max(initial=0)) + 1, np.log10(0.5 / (tokens + 0.5 * (kinds + 1)))
+        levels = len(grams.keys)
+        self.unknown = float(np.log10(0.5 / (tokens + 0.5 * (kinds + 1))))
         chance = (counts[0] + 0.5) / (tokens + 0.5 * (kinds + 1))
         state, n = [], 1
         for c in counts[: levels - 1]:
             state.append(np.where(c > 0, n - 1 + np.cumsum(c > 0), 0))
             n += int((c > 0).sum())
-        fail, drop = np.zeros(n, np.int64), np.zeros(n)
-        keys, weights, targets = [], [], []
+        fail, drop, depth = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64)
+        weights, targets, self.at, arcs = [], [], [], 0
         for m in range(levels):
             at = grams.at[m]
             # One place of each n-gram of this level, in the order of its keys.
             ends = np.empty(len(grams.keys[m]), np.int64)
             ends[at[at >= 0]] = np.flatnonzero(at >= 0)
-            word, held = words[ends], counts[m] > 0
+            held = counts[m] > 0
             if m:
                 before = grams.at[m - 1][ends - 1]
                 shorter = grams.at[m - 1][ends]
                 context = counts[m - 1][before]
                 chance = (counts[m] + prior * chance[shorter]) / (context + prior)
-                source = state[m - 1][before]
-            else:
-                source, shorter = np.zeros(len(ends), np.int64), None
             if m < levels - 1:
                 own = state[m][held]
-                fail[own] = state[m - 1][shorter[held]] if m else 0
+                fail[own], depth[own] = state[m - 1][shorter[held]] if m else 0, m + 1
                 drop[own] = np.log10(prior / (counts[m][held] + prior))
                 target = state[m]
             else:
                 target = state[m - 1][shorter] if m else np.zeros(len(ends), np.int64)
-            # A text's first word is never read, so it needs no arc.
-            use = held & (word != 0)
-            keys.append(source[use] * self.width + word[use])
-            weights.append(np.log10(chance[use]))
-            targets.append(target[use])
+            arc = np.where(held, arcs - 1 + np.cumsum(held), -1)
+            arcs += int(held.sum())
+            weights.append(np.log10(chance[held]))
+            targets.append(target[held])
+            self.at.append(np.where(at >= 0, arc[at], -1).tolist())
         self.first = int(state[0][grams.at[0][grams.starts[0]]]) if levels > 1 and len(grams.starts) else 0
-        self.arcs = dict(zip(np.concatenate(keys).tolist(), range(sum(map(len, keys))), strict=True))
         self.weight, self.target = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
-        self.fail, self.drop = fail.tolist(), drop.tolist()
+        self.fail, self.drop, self.depth = fail.tolist(), drop.tolist(), depth.tolist()
 
-    def score(self, words: list[int]) -> float:
-        """log10 of the probability of a text's words, the last one END."""
-        arcs, weight, target, fail, drop, width = self.arcs, self.weight, self.target, self.fail, self.drop, self.width
+    def score(self, start: int, size: int) -> float:
+        """log10 of the probability of the text whose BEGIN stands at `start`: of its words and END."""
+        at, weight, target, fail, drop, depth = self.at, self.weight, self.target, self.fail, self.drop, self.depth
         state, total = self.first, 0.0
-        for w in words:
-            arc = arcs.get(state * width + w)
-            while arc is None and state:
+        for t in range(start + 1, start + size):
+            arc = at[depth[state]][t]
+            while arc < 0 and state:
                 total += drop[state]
                 state = fail[state]
-                arc = arcs.get(state * width + w)
-            if arc is None:
+                arc = at[depth[state]][t]
+            if arc < 0:
                 total += self.unknown
             else:
                 total += weight[arc]
@@ -245,7 +247,7 @@ def _scored(order: int, prior: float, tokens: int, kinds: int):
         inner[grams.starts] = False
         total = np.add.reduceat(np.where(inner, base, 0.0), grams.starts)
         known = np.add.reduceat(((single > 0) & inner).astype(np.int64), grams.starts)
-        score = [model.score(grams.words[a + 1 : a + n].tolist()) for a, n in zip(grams.starts.tolist(), grams.sizes.tolist(), strict=True)]
+        score = [model.score(a, n) for a, n in zip(grams.starts.tolist(), grams.sizes.tolist(), strict=True)]
         return pa.table([rows["doc_id"], rows["learn"], pa.array(grams.sizes - 1), pa.array(known), pa.array(total), pa.array(score, pa.float64())], ["doc_id", "learned", "n_tokens", "n_known", "base_score", "score"])
 
     return run
