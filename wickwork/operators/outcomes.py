@@ -15,11 +15,11 @@ def with_peak_after(candles: DataFrame, series: list[str] | None = None) -> Data
     The frame runs backwards from the end, so each bar costs one step.
     """
     by = series or SERIES
-    forward = Window.partitionBy(*by).orderBy("ts")
-    later = Window.partitionBy(*by).orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, -1)
-    best = F.max(F.struct("high", (-F.col("__n")).alias("back"))).over(later)
-    ranked = candles.withColumn("__n", F.row_number().over(forward)).withColumn("__p", best)
-    return ranked.withColumns({"peak_after": F.col("__p.high"), "peak_bars": -F.col("__p.back") - F.col("__n")}).drop("__n", "__p")
+    back = Window.partitionBy(*by).orderBy(F.desc("ts"))
+    ranked = candles.withColumn("__n", F.row_number().over(back))
+    # Of equal highs the one furthest from the end comes first in time.
+    best = F.max(F.struct("high", "__n")).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    return ranked.withColumn("__p", best).withColumns({"peak_after": F.col("__p.high"), "peak_bars": F.col("__n") - F.col("__p.__n")}).drop("__n", "__p")
 
 
 def rounded_peak(peak: Column) -> Column:

@@ -15,6 +15,8 @@ START_HOURS = {
 }
 DIRECT = (5, 15, 30, 60, 120, 240, 360, 1440)
 WARMUP_MINUTES = 100
+#: Rows of one task where windows or groups follow, which hold a task's rows in memory.
+TASK_ROWS = 100_000
 
 
 def ticks_to_candles(ticks: DataFrame, duration: int, by: list[str], seq: str = "seq") -> DataFrame:
@@ -62,9 +64,20 @@ def grouped_candles(fine: DataFrame, by: list[str]) -> DataFrame:
     return grouped.withColumnRenamed("slot", "ts")
 
 
+def spread(df: DataFrame, rows: int, by: list[str] | None = None) -> DataFrame:
+    """Rows dealt by series, or by columns `by`, over a task for each TASK_ROWS of about `rows`; windows and groups by these columns or more need no further shuffle.
+
+    Shuffled bytes do not tell what a task will hold: constant columns shrink to nothing in them. No series is split.
+    """
+    return df.repartition(max(1, -(-rows // TASK_ROWS)), *(by or SERIES))
+
+
 def gapless(candles: DataFrame, series: list[str] | None = None) -> DataFrame:
-    """Each candle opens at the close before it, high and low widened to hold that price."""
-    before = F.lag("close").over(Window.partitionBy(*(series or SERIES)).orderBy("ts"))
+    """Each candle opens at the close before it, high and low widened to hold that price.
+
+    Read from the end, as with_peak_after reads, so that both share a sort.
+    """
+    before = F.lead("close").over(Window.partitionBy(*(series or SERIES)).orderBy(F.desc("ts")))
     opened = candles.withColumn("open", F.coalesce(before, F.col("open")))
     return opened.withColumns({"high": F.greatest("high", "open"), "low": F.least("low", "open")})
 

@@ -118,7 +118,7 @@ def peak_after(spark, d):
 
 @query
 def supplier_peak_after(spark, d):
-    return _plain(with_peak_after(views.supplier_bars(spark, d)).select("symbol", "ts", "close", "peak_after"))
+    return _plain(with_peak_after(views.supplier_series(spark, d)).select("symbol", "ts", "close", "peak_after"))
 
 
 # Joins in time
@@ -183,7 +183,7 @@ def otm_wall(spark, d):
 
 @query
 def supplier_squeeze(spark, d):
-    found = annotate_outcomes(detect.detect_red_squeeze(with_peak_after(gapless(views.supplier_bars(spark, d))), min_value=2.0))
+    found = annotate_outcomes(detect.detect_red_squeeze(with_peak_after(gapless(views.supplier_series(spark, d))), min_value=2.0))
     return _plain(found.select("symbol", "entry_ts", "pattern_start", "seq_length", "signal_value", "state", "ratio"))
 
 
