@@ -1,13 +1,13 @@
 """Language identification by compression with per-language zstandard dictionaries.
 
-A language's dictionary is raw content: pieces of a bounded sample of its
-labelled texts. A text is cut into pieces of at most PIECE bytes (all of them
+A language's dictionary is raw content: the terms that make up most of its
+labelled texts, counted over all of them. A text is cut into pieces of at most PIECE bytes (all of them
 count), each piece is compressed once per dictionary, and the language with
 the smallest sum wins. A text that is shorter than SHORT bytes is written TIMES
 times, as zstandard stores what it can hardly shorten as it is, whichever the
 dictionary. Narrow margins are rejected: the runner-up has to be larger by a
-share that all but LOSS of the right predictions reach on labelled rows that
-no dictionary has seen.
+share that all but LOSS of the right predictions reach on a fold of labelled
+rows, all of it, under dictionaries that have not seen the fold.
 """
 
 from __future__ import annotations
@@ -19,18 +19,19 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wickwork.llm.common import crc_mod, held_out, table
 
 FOLDS, HELD, CALIBRATE = 5, 0, 1
-#: The sample: at most about this many pieces of this many characters for each language.
-PIECES, PIECE_CHARS, SEED = 240, 280, 11
+#: A term: a word and the white space after it, or such a slice of a longer word. Every character is in one term.
+TERM = r"\S{1,16}\s?"
+#: The size of a dictionary: at most this many terms and characters.
+TERMS, CHARS = 8192, 67_200
 PIECE, LEVEL, SHORT, TIMES = 8192, 6, 128, 4
-#: The margin: the share of right predictions that may fall below it, and about how many labelled rows set it.
-LOSS, MARGIN_ROWS = 0.002, 4000
+#: The margin: the share of right predictions that may fall below it, and its steps.
+LOSS, STEPS = 0.002, 10_000
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -47,45 +48,54 @@ def _labelled(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("lang").cast("string").alias("lang"), text.alias("text")).where(F.col("lang").isNotNull() & text.rlike(r"\p{L}"))
 
 
-def dictionaries(rows: DataFrame, pieces: int = PIECES, chars: int = PIECE_CHARS) -> dict[str, bytes]:
-    """Dictionaries by language from rows (doc_id, lang, text).
+def dictionaries(rows: DataFrame, apart: Column | None = None, terms: int = TERMS, chars: int = CHARS) -> tuple[dict[str, bytes], dict[str, bytes]]:
+    """Dictionaries by language from rows (doc_id, lang, text): those of all rows, and those without the rows `apart`.
 
-    Which rows are sampled follows from a hash of their id alone, at a rate set
-    by the language's count; of equal pieces one is taken, and 2 * `pieces` of
-    a language at most, so the sample is bounded at any input size.
+    Every term of every row counts. A dictionary takes the terms that cover
+    most characters, in this order.
     """
+    apart = F.lit(False) if apart is None else apart
     # One row per language.
-    rate = rows.groupBy("lang").agg(F.count("*").alias("n"), (F.lit(float(pieces)) / F.count("*")).alias("rate"))
-    h = F.xxhash64(F.lit(SEED), "doc_id")
-    at = F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.greatest(F.lit(1), F.length("text") - chars + 1)) + 1
-    drawn = rows.join(F.broadcast(rate), "lang").where(F.pmod(h, F.lit(1 << 30)) < F.col("rate") * (1 << 30))
-    taken = drawn.select("lang", "n", h.alias("h"), F.lower(F.substring("text", at.cast("int"), F.lit(chars))).alias("piece")).distinct()
-    first = Window.partitionBy("lang").orderBy("h", "piece")
-    taken = taken.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= 2 * pieces).collect()
-    found: dict[str, list] = {}
-    for r in sorted(taken, key=lambda r: (-r["n"], r["lang"], r["nth"])):
-        found.setdefault(r["lang"], []).append(r["piece"])
-    return {k: "\n".join(v).encode() for k, v in found.items()}
-
-
-def learn(labelled: DataFrame, loss: float = LOSS, rows: int = MARGIN_ROWS) -> Model:
+    texts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    each = rows.select("lang", apart.alias("apart"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
+    counted = each.groupBy("lang", "term").agg(F.count("*").alias("n"), F.count(F.when(~F.col("apart"), True)).alias("seen"))
+    uses = F.array(F.struct(F.lit(True).alias("whole"), F.col("n").alias("n")), F.struct(F.lit(False).alias("whole"), F.col("seen").alias("n")))
+    sized = counted.select("lang", "term", F.explode(uses).alias("x")).select("lang", "term", "x.whole", (F.col("x.n") * F.length("term")).alias("size")).where("size > 0")
+    best = Window.partitionBy("lang", "whole").orderBy(F.desc("size"), "term")
+    # Each task leaves its best `terms` of a language first, so no task gets all terms of one.
+    taken = sized.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= terms)
+    taken = taken.withColumn("chars", F.sum(F.length("term")).over(best.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("chars") <= chars).collect()
+    found: tuple[dict[str, list], dict[str, list]] = ({}, {})
+    for r in sorted(taken, key=lambda r: (-texts[r["lang"]], r["lang"], r["nth"])):
+        found[0 if r["whole"] else 1].setdefault(r["lang"], []).append(r["term"])
+    return tuple({k: "".join(v).encode() for k, v in x.items()} for x in found)
+
+
+def least_margin(gaps: DataFrame, loss: float) -> float:
+    """The largest multiple of 1 / STEPS, 1 at most, that no more than a share `loss` of the rows' gaps lie below; 0 without rows."""
+    step = F.least(F.floor(F.col("gap") * STEPS), F.lit(STEPS)).alias("step")
+    counts = sorted((r["step"], r["n"]) for r in gaps.groupBy(step).agg(F.count("*").alias("n")).collect())
+    below, total = 0, sum(n for _, n in counts)
+    for at, n in counts:
+        below += n
+        if below > loss * total:
+            return at / STEPS
+    return 0.0
+
+
+def learn(labelled: DataFrame, loss: float = LOSS) -> Model:
     """The model from rows (doc_id, text, lang); rows without a text or a language teach nothing.
 
-    One fold of the rows sets the margin, on about `rows` of them chosen by a
-    hash of their id; the others make the dictionaries. Without a right
+    All rows make the dictionaries. One fold of them, every row of it, sets the
+    margin under dictionaries that the other rows make. Without a right
     prediction in that fold only ties are rejected.
     """
     known = _labelled(labelled)
     apart = F.coalesce(crc_mod("doc_id", FOLDS) == CALIBRATE, F.lit(False))
-    made = dictionaries(known.where(~apart))
-    rest = known.where(apart)
-    n = rest.count()
-    h = F.pmod(F.xxhash64(F.lit(SEED + 2), "doc_id"), F.lit(1 << 30))
-    seen = rest.where(h < max(1, min(1, rows / max(1, n)) * (1 << 30))).select("lang", "text")
-    tested = seen.mapInArrow(_classifier(Model(made)), f"lang string, {_FOUND}")
-    # One number, from the right predictions that are no ties.
-    right = tested.where("lang = lang_pred and gap > 0")
-    return Model(made, float(right.agg(F.percentile("gap", F.lit(loss))).first()[0] or 0.0))
+    made, unseen = dictionaries(known, apart)
+    tested = known.where(apart).select("lang", "text").mapInArrow(_classifier(Model(unseen)), f"lang string, {_FOUND}")
+    # Right predictions that are no ties.
+    return Model(made, least_margin(tested.where("lang = lang_pred and gap > 0"), loss))
 
 
 def _compressors(models: dict[str, bytes]) -> list:
@@ -113,24 +123,41 @@ def classify(text: str | None, compressors: list) -> tuple[str, float, float]:
     return lang, score, (sizes[1][0] - best) / best
 
 
+_NAMES = ["lang_pred", "score", "gap", "rejected"]
 _FOUND = "lang_pred string, score double, gap double, rejected boolean"
 
 
+def _columns(texts: pa.Array, compressors: list, margin: float) -> list[pa.Array]:
+    """The columns _FOUND of an Arrow column of texts."""
+    found = [classify(t.as_py(), compressors) for t in texts]
+    lang, score, gap = zip(*found, strict=True) if found else ((), (), ())
+    rejected = [g <= 0 or g < margin for g in gap]
+    return [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(gap, pa.float64()), pa.array(rejected, pa.bool_())]
+
+
 def _classifier(model: Model):
     """Puts what is found in the place of the last column, the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = _compressors(model.dictionaries)
         for batch in batches:
-            found = [classify(t.as_py(), compressors) for t in batch.column(batch.num_columns - 1)]
-            lang, score, gap = zip(*found, strict=True) if found else ((), (), ())
-            rejected = [g <= 0 or g < model.margin for g in gap]
-            columns = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(gap, pa.float64()), pa.array(rejected, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], "lang_pred", "score", "gap", "rejected"])
+            columns = _columns(batch.column(batch.num_columns - 1), compressors, model.margin)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], *_NAMES])
 
     return run
 
 
+def _found(model: Model):
+    """What is found of a text as a struct: rows stay where they are, their texts alone go to Python, and once."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        compressors = _compressors(model.dictionaries)
+        for texts in batches:
+            yield pa.StructArray.from_arrays(_columns(texts, compressors, model.margin), _NAMES)
+
+    return F.arrow_udf(run, _FOUND)
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, gap, rejected: one row per row of `docs` (doc_id, text).
 
@@ -146,10 +173,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of `docs`, all columns, whose language is not rejected; a null lang becomes the prediction."""
     names = docs.columns
-    inside = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("d"), F.col("text").cast("string").alias("text"))
-    schema = T.StructType([inside.schema["d"], *T.StructType.fromDDL(_FOUND)])
-    seen = inside.mapInArrow(_classifier(model), schema).where("not rejected")
-    lang = F.coalesce("d.lang", "lang_pred")
+    # The row stands in a column of its own, so that none of its names can clash.
+    inside = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("d"))
+    seen = inside.withColumn("found", _found(model)(F.col("d.text").cast("string"))).where("not found.rejected")
+    lang = F.coalesce("d.lang", "found.lang_pred")
     return seen.select(*[(lang if c == "lang" else F.col(f"d.`{c}`")).alias(c) for c in names])
 
 
