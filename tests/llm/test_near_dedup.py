@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from wickwork.llm import shingle_dedup
-from wickwork.llm.simhash_dedup import keep_one
+from wickwork.llm.simhash_dedup import fingerprint, keep_one
 
 
 def words_of(n, seed):
@@ -97,3 +97,17 @@ def test_blocks_find_what_the_hub_does_not(make, monkeypatch):
             texts.append(" ".join(words))
     want = groups(texts)
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(None, make(texts), "").collect()} == set(want) and len(set(want)) > 1
+
+
+def test_fingerprints_propose_what_bands_do_not(make, monkeypatch):
+    """Without any band the near copies within two bits of SimHash are still found, and exact sets still decide."""
+    words, texts = words_of(4000, 31), []
+    for k in range(12):
+        texts.append(" ".join([*words[: 50 * k], f"changed{k}", *words[50 * k + 1 :]]))
+    texts += [" ".join(words_of(300, 40 + k)) for k in range(6)] + ["one two three four five", None]
+    prints = [fingerprint(t.encode() if t else None, shingle_dedup.SHINGLE) for t in texts]
+    within = [[(a ^ b).bit_count() <= 2 for b in prints] for a in prints]
+    monkeypatch.setattr(shingle_dedup, "bands", lambda shingles: [])
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(None, make(texts), "").collect()}
+    want = groups(texts)
+    assert set(want) <= got and {i for i in range(12) if i and any(within[i][:i])}.isdisjoint(got) and len(got) < len(texts) - 6

@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of their word shingles: MinHash bands propose, exact sets decide.
+"""Near copies by the Jaccard similarity of their word shingles: SimHash and MinHash bands propose, exact sets decide.
 
 A document is the set of its five-word shingles, the nth occurrence of one being
 an element of its own: else a passage of few distinct shingles, however long,
@@ -8,6 +8,10 @@ probability s^ROWS, so of pairs at SHARE itself all but (1 - SHARE^ROWS)^BANDS,
 7 in 100,000, meet in some bucket, and more of closer ones. Every link is
 checked on the whole sets.
 
+SimHash proposes as in simhash_dedup, over the same shingles: fingerprints
+within two bits are found by its covering masks, none of them missed, and the
+nodes of a component of such fingerprints share a bucket.
+
 Documents of equal sets are one node. A bucket's members are first compared
 with one of them, its hub: the one that a hash puts first, so that buckets of
 one group mostly share it. All that meets a hub in some bucket is one group;
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 
 from wickwork.llm.common import cut, filter_bits, may_hold, text_slices
 from wickwork.llm.components import connected_components, labels
-from wickwork.llm.simhash_dedup import shingle_hashes, text_key
+from wickwork.llm.simhash_dedup import fingerprint_of, links, shingle_hashes, signed, text_key
 
 SHINGLE, SHARE, BANDS, ROWS, SEED = 5, 0.8, 24, 5, 42
 #: Odd multipliers, each a permutation of the 64-bit shingle hashes.
@@ -49,7 +53,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_set(text: bytes | None) -> np.ndarray:
     """Distinct hashes of a UTF-8 text's shingles and their occurrences, equal for equal bags; of a shorter text the one of all its words."""
-    h = np.sort(np.array(shingle_hashes(text, SHINGLE), np.uint64))
+    return _numbered(shingle_hashes(text, SHINGLE))
+
+
+def _numbered(hashes: np.ndarray | list[int]) -> np.ndarray:
+    h = np.sort(np.array(hashes, np.uint64))
     again = np.zeros(len(h), bool)
     again[1:] = h[1:] == h[:-1]
     if again.any():
@@ -75,11 +83,13 @@ def _node(shingles: np.ndarray) -> int:
 def _signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, texts in text_slices(batch.column(2)):
-            sets = [shingle_set(t) for t in texts]
+            # Lists of one text's hashes at a time; arrays are an eighth of them.
+            hashes = [np.array(shingle_hashes(t, SHINGLE), np.uint64) for t in texts]
+            sets = [_numbered(h) for h in hashes]
             part = batch.slice(start, len(texts))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))],
-                ["doc_id", "key", "node", "size", "bands"],
+                [part.column(0), part.column(1), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signed(fingerprint_of(h)) for h in hashes], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))],
+                ["doc_id", "key", "node", "size", "fp", "bands"],
             )
 
 
@@ -189,6 +199,15 @@ def _block_links(rest: DataFrame, sets: DataFrame) -> DataFrame:
     return cells.groupBy("hub", "i", "j").applyInPandas(_linked, "a bigint, b bigint")
 
 
+def _alike(nodes: DataFrame) -> DataFrame:
+    """(node, size, bucket) of nodes whose fingerprints lie in one component of links of two bits, where it has several nodes."""
+    fps = nodes.select("node", "size", "fp")
+    roots = connected_components(links(fps.select("fp").distinct())).select(F.col("node").alias("fp"), "root")
+    named = cut(fps.join(roots, "fp", "left").select("node", "size", F.xxhash64(F.lit(BANDS), F.coalesce("root", "fp")).alias("bucket")), "alike")
+    several = named.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    return named.join(several, "bucket").select("node", "size", "bucket")
+
+
 def shingle_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, key, root) of each row of `docs`: key is that of its text, root names its group of near copies.
 
@@ -196,15 +215,15 @@ def shingle_groups(docs: DataFrame) -> DataFrame:
     that are null, empty or blank are one group.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key("text").alias("key"), F.col("text").cast("string").alias("text"))
-    rows = cut(rows.mapInArrow(_signed_rows, "doc_id bigint, key bigint, node bigint, size bigint, bands array<bigint>"), "signatures")
+    rows = cut(rows.mapInArrow(_signed_rows, "doc_id bigint, key bigint, node bigint, size bigint, fp bigint, bands array<bigint>"), "signatures")
     # Texts of equal sets are one node, for which one of them stands.
     one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("p")
-    nodes = cut(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"), one), "nodes")
+    nodes = cut(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), one), "nodes")
     # Most buckets hold one node: a filter of the others spares them the exact join.
     counts = nodes.select(F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
     sc = docs.sparkSession.sparkContext
     open_ = sc.broadcast(filter_bits(cut(counts.where("n > 1").select("bucket"), "open")))
-    keyed = cut(nodes.select("node", "size", "bands").mapInArrow(_open_bands(open_), "node bigint, size bigint, bucket bigint"), "keyed").select(F.struct("node", "size").alias("x"), "bucket")
+    keyed = cut(nodes.select("node", "size", "bands").mapInArrow(_open_bands(open_), "node bigint, size bigint, bucket bigint").unionByName(_alike(nodes)), "keyed").select(F.struct("node", "size").alias("x"), "bucket")
     turned = F.struct(F.xxhash64(F.lit(SEED), "x.node").alias("h"), "x")
     hubs = keyed.groupBy("bucket").agg(F.min(turned).alias("h0"), F.max(turned).alias("h1")).where("h0.x.node <> h1.x.node")
     hubs = cut(hubs.select("bucket", F.col("h0.x").alias("y")), "buckets")

@@ -41,7 +41,7 @@ def text_key(text: str) -> Column:
     return F.xxhash64(F.col(text).cast("string"))
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
@@ -61,8 +61,12 @@ def shingle_hashes(text: bytes | None, size: int = SHINGLE) -> list[int]:
 
 def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
     """Unsigned SimHash of a UTF-8 text; 0 where it has no word."""
-    hashes = shingle_hashes(text, size)
-    if not hashes:
+    return fingerprint_of(shingle_hashes(text, size))
+
+
+def fingerprint_of(hashes: list[int]) -> int:
+    """Unsigned SimHash of 64-bit hashes; 0 where there is none."""
+    if not len(hashes):
         return 0
     bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little").view("<u8")[0])
@@ -72,7 +76,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = batch.column(1).cast(pa.binary()).to_pylist()
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *batch.columns[2:], pa.array([_signed(fingerprint(t)) for t in texts], pa.int64())], ["doc_id", *batch.schema.names[2:], "fp"]
+            [batch.column(0), *batch.columns[2:], pa.array([signed(fingerprint(t)) for t in texts], pa.int64())], ["doc_id", *batch.schema.names[2:], "fp"]
         )
 
 
@@ -90,8 +94,8 @@ def links(fps: DataFrame) -> DataFrame:
     in one point only those with the smallest member are given.
     """
     kept = masks()
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(_signed(m)).alias("mask")) for t, m in enumerate(kept)])
-    dropped = F.array(*[F.array(F.lit(0).cast("bigint"), *[F.lit(_signed(1 << i)) for i in range(BITS) if not m >> i & 1]) for m in kept])
+    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(signed(m)).alias("mask")) for t, m in enumerate(kept)])
+    dropped = F.array(*[F.array(F.lit(0).cast("bigint"), *[F.lit(signed(1 << i)) for i in range(BITS) if not m >> i & 1]) for m in kept])
     keyed = fps.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", F.col("fp").bitwiseAND(F.col("x.mask")).alias("key"))
     # Written first, so that a bucket with very many members is split in the join.
     shared = cut(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
