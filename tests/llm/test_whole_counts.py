@@ -43,3 +43,9 @@ def test_the_margin_comes_from_the_whole_fold(make, spark):
         assert language_id.learn(docs.unionByName(learned)).margin == 0.5 and seen == [docs.count()]
     finally:
         language_id.least_margin, language_id.dictionaries = kept, old
+
+
+def test_rows_to_keep_are_classified_once(make):
+    kept = language_id.keep_identified(make(["sol mar", "luz pan"]), language_id.Model({"es": b"sol mar luz pan"}))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and kept.count() == 2

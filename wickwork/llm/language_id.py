@@ -155,7 +155,8 @@ def _found(model: Model):
         for texts in batches:
             yield pa.StructArray.from_arrays(_columns(texts, compressors, model.margin), _NAMES)
 
-    return F.arrow_udf(run, _FOUND)
+    # Else the filter is pushed below and each text is classified once for it and once more for the columns.
+    return F.arrow_udf(run, _FOUND).asNondeterministic()
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
