@@ -6,6 +6,7 @@ import hashlib
 import pytest
 import xxhash
 
+import corpus_pipeline
 from wickwork.llm import pii
 
 KEY = "tests"
@@ -92,6 +93,21 @@ def test_key_of_the_session(spark):
         spark.conf.unset(pii.KEY_CONF)
 
 
+def test_a_cluster_without_a_key_draws_one(make, spark, tmp_path, monkeypatch):
+    monkeypatch.delenv(pii.KEY_ENV, raising=False)
+    make(["mail jo@a.com", "or jo@a.com"], clash=False).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    with pytest.warns(UserWarning, match=pii.KEY_ENV):
+        key = pii.session_key(spark)
+    assert key not in ("", pii.TEST_TABLES_KEY) and len(key) == 64 and pii.drawn_key("another") != key
+    with pytest.warns(UserWarning):
+        got = {r["doc_id"]: r["text"] for r in pii.op4_pii(spark, str(tmp_path)).collect()}
+    # Stage and query of one application agree.
+    with pytest.warns(UserWarning):
+        stage = corpus_pipeline.personal_data(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
+    assert {r["doc_id"]: r["text"] for r in stage.collect()} == got and got[0].split()[1] == got[1].split()[1]
+
+
 def spaced(shape, core):
     new = iter(core)
     return "".join(next(new) if c.isalnum() else c for c in shape)
