@@ -108,6 +108,15 @@ def test_a_cluster_without_a_key_draws_one(make, spark, tmp_path, monkeypatch):
     assert {r["doc_id"]: r["text"] for r in stage.collect()} == got and got[0].split()[1] == got[1].split()[1]
 
 
+def test_domains_of_any_number_of_labels(make):
+    texts = ["see jo@" + "b." * 20_000 + "com", "see jo@" + "b." * 20_000 + "1", "see jo@a.bb..c", "see jo@a." + "c" * 70, "see jo@.a.com", "see jo@a.b.1.cc.1"]
+    got = [(r["text"], r["n_pii"]) for r in pii.pseudonymise(make(texts), KEY).orderBy("doc_id").collect()]
+    assert [n for _, n in got] == [1, 0, 1, 1, 0, 1]
+    assert got[0][0].startswith(f"see {alnum('jo', 'email')}@") and got[0][0].endswith(".com") and len(got[0][0]) == len(texts[0]) and got[1][0] == texts[1]
+    # The domain ends after its last label that letters follow, and the last label takes 24 of them.
+    assert got[2][0].endswith("@" + alnum("a.", "domain") + "bb..c") and got[3][0].endswith(alnum("a.", "domain") + "c" * 70) and got[5][0].endswith(alnum("a.b.1.", "domain") + "cc.1")
+
+
 def spaced(shape, core):
     new = iter(core)
     return "".join(next(new) if c.isalnum() else c for c in shape)
