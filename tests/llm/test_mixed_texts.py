@@ -37,3 +37,13 @@ def test_a_row_in_many_copies_is_spread(spark):
     rows = mixing.mix(docs).collect()
     assert len(rows) == 3001 and all(r["taken"] <= 2 * r["size"] for r in rows) and abs(sum(r["taken"] for r in rows) - 1.5 * 9002) <= 128
     assert mixing.mixed_texts(docs).agg(F.sum(word_count("text"))).first()[0] == sum(r["taken"] for r in rows)
+
+
+def test_documents_of_many_columns(make):
+    """Planning does not grow with the columns, repeated rows and parts keep all of them."""
+    docs = make([(1, "a b c"), (2, "d e f g"), (2, "d e f g"), (3, "h " * 30)], clash=False)
+    wide = docs.withColumns({f"x{i}" if i else "a.b": F.concat(F.lit(f"{i} of "), F.col("doc_id").cast("string")) for i in range(40)})
+    got = mixing.mixed_texts(wide).collect()
+    assert mixing.mixed_texts(wide).columns == [*wide.columns, "copy"] and {r["doc_id"] for r in got} == {1, 2, 3}
+    assert all(r[f"x{i}" if i else "a.b"] == f"{i} of {r['doc_id']}" for r in got for i in range(40))
+    assert all(len(r["text"]) == r["n_chars"] for r in got) and sum(len(r["text"].split()) for r in got) == sum(r["taken"] for r in mixing.mix(wide).collect())
